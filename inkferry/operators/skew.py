@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
-HOT_MIN_ROWS = 100_000
+HOT_SHARE = 1000  # a key is hot above 1/HOT_SHARE of the rows ...
+HOT_MIN_ROWS = 100_000  # ... and from this many rows on
 SALTS = 64
 ROW_BITS = 33  # monotonically_increasing_id: row number in the low 33 bits, partition above
 
@@ -50,19 +50,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(
-    df: DataFrame, keys: list[str], share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
-) -> DataFrame:
-    """Keys with at least `min_rows` rows and more than 1/share of all rows.
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with at least HOT_MIN_ROWS rows and more than 1/HOT_SHARE of all rows.
 
-    Fewer than `share` such keys can exist, which is what makes the result safe to broadcast.
+    Fewer than HOT_SHARE such keys can exist, which is what makes the result safe to broadcast.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return (
-        counts.filter((F.col("_n") >= min_rows) & (F.col("_n") * share > total))
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    hot = (F.col("_n") >= HOT_MIN_ROWS) & (F.col("_n") * HOT_SHARE > total)
+    return counts.filter(hot).select(*keys, F.lit(True).alias("_hot"))
 
 
 def skew_join(
@@ -71,26 +67,23 @@ def skew_join(
     keys: list[str],
     how: str,
     spread_by: str,
-    share: int = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join a left side that may be hot on `keys` to a right side with few rows per key.
 
-    Left rows of a hot key are spread over `salts` groups by hashing `spread_by`; only the right
+    Left rows of a hot key are spread over SALTS groups by hashing `spread_by`; only the right
     rows of hot keys are repeated. Rows with a NULL key match nothing and are spread as well.
     """
-    hot = F.broadcast(hot_keys(left, keys, share, min_rows))
+    hot = F.broadcast(hot_keys(left, keys))
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     salted_left = (
         left.join(hot, keys, "left")
         .withColumn("_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
     salted_right = (
@@ -105,8 +98,6 @@ def number_within(
     order: list[str],
     out: str,
     block: Column,
-    share: int = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Number rows 1, 2, ... within `keys` by `order`, with no task per hot key.
 
@@ -114,7 +105,7 @@ def number_within(
     `id div 100000`). Rows of a hot key are numbered block by block and shifted by the size of the
     blocks before; all other keys are numbered by one ordinary window.
     """
-    hot = F.broadcast(hot_keys(df, keys, share, min_rows))
+    hot = F.broadcast(hot_keys(df, keys))
     tagged = (
         df.join(hot, keys, "left")
         .withColumn("_block", F.when(F.col("_hot"), block).otherwise(F.lit(0)).cast("bigint"))
