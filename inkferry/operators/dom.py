@@ -33,6 +33,8 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
+# Elements nested deeper than this become siblings, as in browsers; nothing is dropped.
+MAX_DEPTH = 512
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 # What the source platform's runtime strips as white space.
 NBSP = chr(0xA0)
@@ -99,6 +101,7 @@ def _attributes(source: str) -> dict[str, str]:
 def parse_html(source: str) -> Node:
     root = Node("#root")
     open_nodes = [root]
+    too_deep: dict[str, int] = {}
 
     def close(targets, boundary) -> bool:
         for depth in range(len(open_nodes) - 1, 0, -1):
@@ -122,7 +125,9 @@ def parse_html(source: str) -> Node:
             continue
         tag = match["tag"].lower()
         if match["close"]:
-            if tag == "p" or tag not in TABLE_PARTS:
+            if too_deep.get(tag):
+                too_deep[tag] -= 1
+            elif tag == "p" or tag not in TABLE_PARTS:
                 close((tag,), ("td", "th", "table"))
             else:
                 close((tag,), () if tag == "table" else ("table",))
@@ -143,7 +148,10 @@ def parse_html(source: str) -> Node:
                 decode = tag in DECODED_RAW_TEXT and "&" in raw
                 node.children.append(html.unescape(raw) if decode else raw)
             continue
-        open_nodes.append(node)
+        if len(open_nodes) < MAX_DEPTH:
+            open_nodes.append(node)
+        else:
+            too_deep[tag] = too_deep.get(tag, 0) + 1
     add_text(source[at:])
     return root
 

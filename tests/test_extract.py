@@ -163,12 +163,23 @@ def test_resolve_urls(spark):
     assert [r[0] for r in df.select(origin).collect()][:2] == ["https://s.org/1", "https://s.org/1"]
 
 
-def test_bad_page_becomes_an_error_row(spark):
-    deep = "<div>" * 60_000 + "x"
+def test_deep_pages_keep_their_text(spark):
+    deep = "<div><b>" * 30_000 + "x<p>y</p>" + "</b></div>" * 30_000 + "<p>z</p>"
     source = f'<div class="tt_article_useless_p_margin contents_style">{deep}</div>'
+    post = extract.parse_posts(pages(spark, source), CFG, ("content",)).first()
+    html = "".join(s.html for s in post.segments)
+    assert post.parse_error is None and [c for c in Page(html).root.text() if c.isalpha()] == ["x", "y", "z"]
+
+
+def test_errors_are_rows(spark):
     good = '<meta property="article:published_time" content="2025-01-01">'
-    errors = extract.post_errors(extract.parse_posts(pages(spark, source, good, "<p>no date</p>"))).collect()
-    assert sorted((e.url[-1], e.stage) for e in errors) == [("0", "parse"), ("2", "publish date")]
+    posts = extract.parse_posts(pages(spark, good, "<p>no date</p>", good))
+    broken = F.when(F.col("url").endswith("/2"), F.lit("ValueError: x"))
+    errors = extract.post_errors(posts.withColumn("parse_error", broken)).collect()
+    assert sorted((e.url[-1], e.stage, e.message) for e in errors) == [
+        ("1", "publish date", "Invalid time value"),
+        ("2", "parse", "ValueError: x"),
+    ]
 
 
 def test_tree_repairs_markup():
