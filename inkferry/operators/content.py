@@ -29,16 +29,20 @@ def clean_content(
 ) -> DataFrame:
     """The clean form of each page's content, `''` where the page has none.
 
-    `to_markdown` and `to_html` (usually pandas UDFs) are the two replaceable halves: either one
-    gets the HTML or the text of the other half.
+    `to_markdown` and `to_html` (usually pandas UDFs) replace the two halves of the usual way through
+    Markdown: the first gets the raw HTML of the content root instead of it being cleaned here, the
+    second gets the result so far.
     """
-    parsed = parse_stage(pages, cfg, ("content",), keep)
-    content = F.coalesce(joined(F.col("segments")), F.lit(""))
-    if to_markdown is not None:
-        content = to_markdown(content)
+    if to_markdown is None:
+        cleaned = parse_stage(pages, cfg, ("content",), keep)
+        content = F.coalesce(joined(F.col("segments")), F.lit(""))
+    else:
+        cleaned = parse_stage(pages, cfg, ("root_html",), keep)
+        root = F.coalesce("root_html", F.lit(""))
+        content = F.when(root == "", root).otherwise(to_markdown(root))
     if to_html is not None:
-        content = to_html(content)
-    return parsed.select(*keep, content.alias("content"))
+        content = F.when(content == "", content).otherwise(to_html(content))
+    return cleaned.select(*keep, content.alias("content"))
 
 
 def _key_of(kind: str) -> Column:

@@ -311,6 +311,10 @@ def outer_html(node: Node) -> str:
     return "".join(out)
 
 
+def inner_html(node: Node) -> str:
+    return "".join(escape_text(c) if isinstance(c, str) else outer_html(c) for c in node.children)
+
+
 # --- addresses, as browsers resolve them ---
 
 _SCHEME = re.compile(r"([a-zA-Z][a-zA-Z0-9+.-]*):")

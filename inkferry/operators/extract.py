@@ -19,7 +19,7 @@ from inkferry.functions.text import (
     slugify,
     url_host,
 )
-from inkferry.operators.dom import WHITE, Page
+from inkferry.operators.dom import WHITE, Page, inner_html
 from inkferry.operators.normal_form import NormalForm, page_images, page_links
 from inkferry.operators.page_batches import map_pages
 from inkferry.operators.skew import number_within, skew_join, staged
@@ -58,6 +58,7 @@ PARTS = {
         "images": pa.list_(_IMAGE),
         "links": pa.list_(_LINK),
     },
+    "root_html": {"root_html": _TEXT},
     "raw_text": {"raw_text": _TEXT, "clean_text": _TEXT},
     "page_links": {"page_links": pa.list_(_LINK)},
     "page_images": {"page_images": pa.list_(_IMAGE)},
@@ -98,6 +99,9 @@ def _parse_page(source: str, origin: str, cfg: MigrationConfig, parts: tuple[str
             if anchor is not None and anchor.attrs.get("href"):
                 found[id(node)] = (place, anchor.attrs["href"])
         out["bookmarks"] = [{"pos": place, "url": url} for place, url in found.values()]
+    if "root_html" in parts:
+        root = page.first(cfg.content_selector)
+        out["root_html"] = inner_html(root) if root is not None else ""
     if "content" in parts or "raw_text" in parts:
         root = page.first(cfg.content_selector)
         form = NormalForm(found if "content" in parts else {}, origin)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkferry.operators.skew import number_within, skew_join
+from inkferry.operators.skew import number_within, skew_join, staged
 
 MESSAGES_PER_ROW = 1000
 BLOCK_ROWS = 100_000
@@ -113,7 +113,9 @@ def failed_posts_report(
     """
     post = ["blog_url", "post_url"]
     failures = unresolved_failures(items, jobs, blog_url)
-    messages = failures.groupBy(*post, "error_message").agg(F.min("id").alias("seen_id"))
+    messages = staged(
+        failures.groupBy(*post, "error_message").agg(F.min("id").alias("seen_id")), "messages"
+    )
     first = messages.groupBy(*post).agg(F.min("seen_id").alias("first_id"))
     worded = messages.filter(F.coalesce("error_message", F.lit("")) != "")
     numbered = number_within(

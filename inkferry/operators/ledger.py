@@ -103,14 +103,15 @@ def cascade_delete(history: dict[str, DataFrame], job_ids: DataFrame) -> dict[st
     """The history without some jobs and all that hangs on them; the post map stays."""
     gone = job_ids.select("job_id").distinct()
     items = history["job_items"]
-    gone_items = skew_join(
-        items.select("id", "job_id"), gone, ["job_id"], "left_semi", spread_by="id"
-    ).select(F.col("id").alias("job_item_id"))
+    marked = skew_join(
+        items, gone.withColumn("_gone", F.lit(True)), ["job_id"], "left", spread_by="id"
+    )
+    gone_items = marked.filter("_gone").select(F.col("id").alias("job_item_id"))
     kept = dict(history)
     kept["post_jobs"] = history["post_jobs"].join(
         gone.withColumnRenamed("job_id", "id"), "id", "left_anti"
     )
-    kept["job_items"] = skew_join(items, gone, ["job_id"], "left_anti", spread_by="id")
+    kept["job_items"] = marked.filter("_gone IS NULL").select(*items.columns)
     for child in ("image_assets", "internal_links"):
         kept[child] = skew_join(
             history[child], gone_items, ["job_item_id"], "left_anti", spread_by="id"

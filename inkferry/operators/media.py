@@ -43,19 +43,21 @@ def media_plan(
     )
 
 
-def _uploads_of_failed_items(items: DataFrame, assets: DataFrame) -> DataFrame:
+def _failed_items(items: DataFrame, featured: DataFrame | None) -> DataFrame:
+    """Failed items with the address of their featured image, from `featured(job_item_id, image_url)`."""
     failed = items.filter(F.col("status") == "failed").select(F.col("id").alias("job_item_id"))
-    uploads = assets.filter((F.col("status") == "uploaded") & F.col("dest_media_id").isNotNull())
-    return skew_join(uploads, failed, ["job_item_id"], "left_semi", spread_by="id")
+    if featured is None:
+        return failed.withColumn("featured_url", F.lit(None).cast("string"))
+    address = featured.groupBy("job_item_id").agg(F.max("image_url").alias("featured_url"))
+    return failed.join(address, "job_item_id", "left")
 
 
-def _mark_featured(uploads: DataFrame, featured: DataFrame | None) -> DataFrame:
-    """Flag the uploads of the item's featured image; `featured(job_item_id, image_url)`."""
-    if featured is None:
-        return uploads.withColumn("is_featured", F.lit(False))
-    flags = featured.select("job_item_id", "image_url").distinct().withColumn("_f", F.lit(True))
-    marked = skew_join(uploads, flags, ["job_item_id", "image_url"], "left", spread_by="id")
-    return marked.withColumn("is_featured", F.coalesce("_f", F.lit(False))).drop("_f")
+def _uploads_of(failed: DataFrame, assets: DataFrame) -> DataFrame:
+    """Uploads of these items, the featured one flagged. One item may own many."""
+    uploads = assets.filter((F.col("status") == "uploaded") & F.col("dest_media_id").isNotNull())
+    return skew_join(uploads, failed, ["job_item_id"], "inner", spread_by="id").withColumn(
+        "is_featured", F.coalesce(F.col("image_url") == F.col("featured_url"), F.lit(False))
+    )
 
 
 def rollback_plan(
@@ -66,7 +68,7 @@ def rollback_plan(
     Sort by (job_item_id, step, asset_id) to carry it out. Unknown ids are skipped; something already
     gone counts as deleted.
     """
-    media = _mark_featured(_uploads_of_failed_items(items, assets), featured).select(
+    media = _uploads_of(_failed_items(items, featured), assets).select(
         "job_item_id",
         F.when(F.col("is_featured"), 1).otherwise(2).alias("step"),
         F.lit("media").alias("kind"),
@@ -92,7 +94,9 @@ def orphaned_media(
     leaves the item's earlier uploads behind.
     """
     broken = assets.filter(F.col("status") == "failed").select("job_item_id").distinct()
-    uploads = _mark_featured(_uploads_of_failed_items(items, assets), featured)
-    return skew_join(
-        uploads.filter(~F.col("is_featured")), broken, ["job_item_id"], "left_semi", spread_by="id"
-    ).select("id", "job_item_id", "image_url", "dest_media_id")
+    failed = _failed_items(items, featured).join(broken, "job_item_id", "left_semi")
+    return (
+        _uploads_of(failed, assets)
+        .filter(~F.col("is_featured"))
+        .select("id", "job_item_id", "image_url", "dest_media_id")
+    )

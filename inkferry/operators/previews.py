@@ -101,18 +101,21 @@ def _read_head(source: str | None) -> dict:
 def preview_metadata(bookmarks: DataFrame, fetched_pages: DataFrame) -> DataFrame:
     """Title, description and image of every distinct bookmark address.
 
-    An address without a fetched page keeps its address as title and carries an error.
+    Fetched pages are parsed where they are read, so that only their few texts are shuffled. An
+    address without a fetched page keeps its address as title and carries an error.
     """
     wanted = bookmarks.select(F.col("bookmark_url").alias("url")).distinct()
-    joined = wanted.join(fetched_pages.select("url", "html"), "url", "left")
-    heads = map_pages(joined, ("url",), ("html",), _FIELDS, _read_head)
+    parsed = map_pages(fetched_pages.select("url", "html"), ("url",), ("html",), _FIELDS, _read_head)
+    heads = wanted.join(parsed, "url", "left")
     icon = F.when(F.col("icon").isNotNull(), resolve_origin(F.col("url"), F.col("icon")))
     return heads.select(
         "url",
         F.coalesce("og_title", "title_text", "url").alias("title"),
         F.col("og_description").alias("description"),
         F.coalesce(F.col("og_image"), icon).alias("image"),
-        F.coalesce("parse_error", F.when(~F.col("fetched"), NOT_FETCHED)).alias("error"),
+        F.coalesce(
+            "parse_error", F.when(~F.coalesce("fetched", F.lit(False)), F.lit(NOT_FETCHED))
+        ).alias("error"),
     )
 
 

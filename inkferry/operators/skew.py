@@ -50,54 +50,53 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with at least HOT_MIN_ROWS rows and more than 1/HOT_SHARE of all rows.
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys with at least HOT_MIN_ROWS rows and more than 1/HOT_SHARE of all rows, None without any.
 
-    Fewer than HOT_SHARE such keys can exist, which is what makes the result safe to broadcast.
+    One pass with partial aggregation. Fewer than HOT_SHARE keys can qualify, whatever the table's
+    size; that bound is what makes them safe to fetch and to broadcast. They only steer how rows are
+    spread, so results do not depend on them.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = (F.col("_n") >= HOT_MIN_ROWS) & (F.col("_n") * HOT_SHARE > total)
-    return counts.filter(hot).select(*keys, F.lit(True).alias("_hot"))
+    found = counts.filter(hot).select(*keys, F.lit(True).alias("_hot"))
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str,
-    spread_by: str,
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: str
 ) -> DataFrame:
     """Join a left side that may be hot on `keys` to a right side with few rows per key.
 
-    Left rows of a hot key are spread over SALTS groups by hashing `spread_by`; only the right
-    rows of hot keys are repeated. Rows with a NULL key match nothing and are spread as well.
+    Without hot keys this is a plain join. Otherwise left rows of a hot key are spread over SALTS
+    groups by hashing `spread_by`, and only the right rows of hot keys are repeated. A hot NULL key
+    matches nothing and is just spread.
     """
-    hot = F.broadcast(hot_keys(left, keys))
-    null_key = F.lit(False)
-    for key in keys:
-        null_key = null_key | F.col(key).isNull()
+    hot = hot_keys(left, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    same_key = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     salted_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
-        .drop("_hot")
+        left.alias("l")
+        .join(F.broadcast(hot).alias("h"), same_key, "left")
+        .select("l.*", F.when(F.col("h._hot"), salt).otherwise(F.lit(0)).alias("_salt"))
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
     salted_right = (
-        right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        right.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.explode(copies))
+        .drop("_hot")
     )
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def number_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    out: str,
-    block: Column,
+    df: DataFrame, keys: list[str], order: list[str], out: str, block: Column
 ) -> DataFrame:
     """Number rows 1, 2, ... within `keys` by `order`, with no task per hot key.
 
@@ -105,10 +104,11 @@ def number_within(
     `id div 100000`). Rows of a hot key are numbered block by block and shifted by the size of the
     blocks before; all other keys are numbered by one ordinary window.
     """
-    hot = F.broadcast(hot_keys(df, keys))
-    tagged = (
-        df.join(hot, keys, "left")
-        .withColumn("_block", F.when(F.col("_hot"), block).otherwise(F.lit(0)).cast("bigint"))
+    hot = hot_keys(df, keys)
+    if hot is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    tagged = df.join(F.broadcast(hot), keys, "left").withColumn(
+        "_block", F.when(F.col("_hot"), block).otherwise(F.lit(0)).cast("bigint")
     )
     by_block = Window.partitionBy(*keys, "_block").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,8 +18,12 @@ LINK_FIELDS = ("source_url", "target_url", "link_text", "context")
 
 
 def write_posts(posts: DataFrame, path: str) -> None:
-    """Posts as parquet, one folder per blog; a hot blog keeps its many writing tasks."""
-    posts.write.mode("append").partitionBy("blog_url").parquet(path)
+    """Posts as parquet, one folder per blog.
+
+    Rebalancing gathers a blog's posts in few files, and adaptive execution splits a hot blog.
+    """
+    balanced = posts.hint("rebalance", "blog_url")
+    balanced.write.mode("append").partitionBy("blog_url").parquet(path)
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:

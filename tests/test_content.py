@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,10 +84,16 @@ def test_missing_content_is_empty(spark):
 
 
 def test_replaceable_halves(spark):
-    got = content.clean_content(
-        pages(spark, "<p>x</p>"), CFG, to_markdown=lambda c: F.concat(F.lit("#"), c), to_html=lambda c: F.concat(c, F.lit("!"))
-    ).first()
-    assert got.content == "#<p>x</p>!"
+    @F.pandas_udf("string")
+    def shout(texts: pd.Series) -> pd.Series:
+        return texts.str.upper()
+
+    frame = pages(spark, "<p class='c'>a &amp; <b>b</b></p>", "")
+    run = lambda **halves: [r.content for r in content.clean_content(frame, CFG, **halves).orderBy("url").collect()]
+    mark = lambda c: F.concat(c, F.lit("!"))
+    assert run(to_markdown=shout) == ['<P CLASS="C">A &AMP; <B>B</B></P>', ""]
+    assert run(to_markdown=shout, to_html=mark) == ['<P CLASS="C">A &AMP; <B>B</B></P>!', ""]
+    assert run(to_html=mark) == ["<p>a &amp; <strong>b</strong></p>!", ""]
 
 
 def fetched(spark, *rows):

@@ -11,6 +11,7 @@ def test_hot_keys_are_found_and_bounded(spark, monkeypatch):
     rows = [("hot", i) for i in range(400)] + [(f"k{i % 60}", i) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, v long")
     assert [r.k for r in skew.hot_keys(df, ["k"]).collect()] == ["hot"]
+    assert skew.hot_keys(df.filter("k <> 'hot'"), ["k"]) is None
 
 
 def test_skew_join_spreads_a_hot_key_and_keeps_all_rows(spark, monkeypatch):
