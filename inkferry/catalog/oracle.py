@@ -44,7 +44,7 @@ def escaped(column: str) -> str:
 
 # --- sources, sinks, text ---
 
-oracle("raw_pages", "", f"SELECT 'https://blog.example.com' AS blog_url, url, {trimmed('html')} AS html FROM pages")
+oracle("raw_pages", "", f"SELECT 'https://blog.example.com' AS blog_url, regexp_replace(url, '^https?://[^/]+/', 'https://blog.example.com/') AS url, {trimmed('html')} AS html FROM pages")
 oracle(
     "export_links",
     "internal_links job_items post_jobs",

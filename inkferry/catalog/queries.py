@@ -45,7 +45,7 @@ def _history(t: Tables) -> dict[str, DataFrame]:
 def raw_pages(t: Tables) -> DataFrame:
     padded = t.read("pages").select(
         F.lit("https://blog.example.com").alias("blog_url"),
-        "url",
+        F.regexp_replace("url", "^https?://[^/]+/", "").alias("url"),
         F.concat(F.lit("\n \t"), "html", F.lit("\r\n ")).alias("html"),
     )
     return tables.trimmed_pages(padded)

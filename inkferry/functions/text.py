@@ -102,12 +102,16 @@ def media_file_name(title: Column, mime: Column, index: Column | None = None) ->
 
 
 def parse_instant(text: Column) -> Column:
-    """Timestamp of a date text, NULL when it cannot be read."""
-    return F.coalesce(
-        F.try_to_timestamp(text),
-        F.try_to_timestamp(text, F.lit("yyyy/M/d[ H:mm[:ss]]")),
-        F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z")),
-    )
+    """Timestamp of a date text, NULL when it cannot be read.
+
+    A bare time of day is no date, although a cast would place it on the current day.
+    """
+    formats = ("yyyy/M/d[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "MMM d, yyyy[ H:mm:ss]", "MMMM d, yyyy[ H:mm:ss]")
+    readings = [F.when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text))]
+    readings += [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+    mail_date = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
+    readings.append(F.try_to_timestamp(mail_date, F.lit("d MMM yyyy HH:mm:ss z")))
+    return F.coalesce(*readings)
 
 
 def utc_wall(instant: Column) -> Column:

@@ -45,8 +45,8 @@ WHITE = "\t\n\v\f\r " + NBSP + "".join(
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)>",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -88,7 +88,9 @@ class Node:
         return self.attrs.get("class", "").split()
 
 
+@lru_cache(maxsize=8192)
 def _attributes(source: str) -> dict[str, str]:
+    """Attributes of a tag; equal tags share one dict, which nobody changes."""
     found: dict[str, str] = {}
     for name, double, single, bare in _ATTR.findall(source):
         value = double or single or bare
@@ -98,8 +100,10 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def parse_html(source: str) -> Node:
+def parse_html(source: str) -> tuple[Node, list[Node]]:
+    """The page's root and all its elements in document order."""
     root = Node("#root")
+    elements: list[Node] = []
     open_nodes = [root]
     too_deep: dict[str, int] = {}
 
@@ -114,20 +118,25 @@ def parse_html(source: str) -> Node:
         return False
 
     def add_text(text: str, decode: bool = True) -> None:
-        if text:
-            open_nodes[-1].children.append(html.unescape(text) if decode and "&" in text else text)
+        open_nodes[-1].children.append(html.unescape(text) if decode and "&" in text else text)
 
     at = 0
-    while match := _TOKEN.search(source, at):
-        add_text(source[at : match.start()])
-        at = match.end()
-        if not match["tag"]:
+    search = _TOKEN.search
+    while match := search(source, at):
+        start, end = match.span()
+        if start > at:
+            add_text(source[at:start])
+        at = end
+        closing, tag, attrs = match.groups()
+        if not tag:
             continue
-        tag = match["tag"].lower()
-        if match["close"]:
-            if too_deep.get(tag):
+        tag = tag.lower()
+        if closing:
+            if open_nodes[-1].tag == tag and not too_deep:
+                open_nodes.pop()
+            elif too_deep.get(tag):
                 too_deep[tag] -= 1
-            elif tag == "p" or tag not in TABLE_PARTS:
+            elif tag not in TABLE_PARTS:
                 close((tag,), ("td", "th", "table"))
             else:
                 close((tag,), () if tag == "table" else ("table",))
@@ -136,14 +145,16 @@ def parse_html(source: str) -> Node:
             close(("p",), ("td", "th", "table", "button", "object"))
         if tag in CLOSES:
             close(*CLOSES[tag])
-        node = Node(tag, _attributes(match["attrs"]) if match["attrs"] else {}, open_nodes[-1])
-        open_nodes[-1].children.append(node)
+        parent = open_nodes[-1]
+        node = Node(tag, _attributes(attrs) if attrs else {}, parent)
+        parent.children.append(node)
+        elements.append(node)
         if tag in VOID:
             continue
         if tag in RAW_TEXT:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            raw = source[at : end.start()] if end else source[at:]
-            at = end.end() if end else len(source)
+            end_tag = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            raw = source[at : end_tag.start()] if end_tag else source[at:]
+            at = end_tag.end() if end_tag else len(source)
             if raw:
                 decode = tag in DECODED_RAW_TEXT and "&" in raw
                 node.children.append(html.unescape(raw) if decode else raw)
@@ -152,8 +163,9 @@ def parse_html(source: str) -> Node:
             open_nodes.append(node)
         else:
             too_deep[tag] = too_deep.get(tag, 0) + 1
-    add_text(source[at:])
-    return root
+    if at < len(source):
+        add_text(source[at:])
+    return root, elements
 
 
 # --- selectors: type, *, #id, .class, [attr], [attr op value], descendant, child and comma lists ---
@@ -168,10 +180,15 @@ _PART = re.compile(r"#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([*^$~]?=)\s*(\"[^
 class _Compound:
     def __init__(self, tag, ids, classes, tests):
         self.tag, self.ids, self.classes, self.tests = tag, ids, classes, tests
+        self.needs_attributes = bool(ids or classes or tests)
 
     def matches(self, node: Node) -> bool:
         if self.tag and node.tag != self.tag:
             return False
+        if not self.needs_attributes:
+            return True
+        if not node.attrs:
+            return False
         for wanted in self.ids:
             if node.attrs.get("id") != wanted:
                 return False
@@ -245,20 +262,19 @@ class Page:
     """All elements of a parsed page, by tag and in document order."""
 
     def __init__(self, source: str):
-        self.root = parse_html(source)
-        self.elements = list(self.root.elements())
+        self.root, self.elements = parse_html(source)
         self._by_tag: dict[str, list[Node]] = {}
         for node in self.elements:
             self._by_tag.setdefault(node.tag, []).append(node)
 
     def select(self, selector: str) -> list[Node]:
         chains = compile_selector(selector)
-        if len(chains) == 1:
-            tag = chains[0][-1][1].tag
-            pool = self.elements if tag is None else self._by_tag.get(tag, ())
-        else:
-            pool = self.elements
-        return [n for n in pool if any(_matches_chain(n, steps, len(steps) - 1) for steps in chains)]
+        if len(chains) > 1:
+            return [n for n in self.elements if any(_matches_chain(n, c, len(c) - 1) for c in chains)]
+        steps = chains[0]
+        last, tag = len(steps) - 1, steps[-1][1].tag
+        pool = self.elements if tag is None else self._by_tag.get(tag, ())
+        return [n for n in pool if _matches_chain(n, steps, last)]
 
     def first(self, selector: str) -> Node | None:
         found = self.select(selector)
@@ -343,11 +359,21 @@ def _clean_path(path: str) -> str:
     return "/" + "/".join(kept)
 
 
+_PLAIN_PATH = re.compile(r"/(?:[A-Za-z0-9_-][A-Za-z0-9_/-]*)?")
+
+
 def absolute_url(href: str, origin: str) -> tuple[str, str] | None:
-    """Resolve against an http(s) origin: (address, host), or None when it is not valid.
+    """The address and host of a link on a site, or None when it is not valid.
 
-    Addresses of other schemes come back as they are, with an empty host.
+    Addresses of other schemes than http(s) and ftp come back as they are, with an empty host.
     """
+    if _PLAIN_PATH.fullmatch(href) and (site := _resolved("/", origin)):
+        return site[0][:-1] + href, site[1]
+    return _resolved(href, origin)
+
+
+@lru_cache(maxsize=4096)
+def _resolved(href: str, origin: str) -> tuple[str, str] | None:
     href = re.sub(r"[\t\n\r]", "", href.strip("".join(map(chr, range(33)))))
     scheme_match = _SCHEME.match(href)
     base_scheme, _, base_authority = origin.partition("://")

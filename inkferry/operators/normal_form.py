@@ -23,6 +23,7 @@ from inkferry.operators.dom import (
     escape_attr,
     escape_text,
     inside,
+    open_tag,
     outer_html,
 )
 
@@ -306,11 +307,8 @@ class NormalForm:
                 self._buffer.append("\n")
             self._write(block, parent)
 
-    def _write(self, item: Node | str, parent: Node) -> None:
+    def _write(self, item: Node, parent: Node) -> None:
         put = self._buffer.append
-        if isinstance(item, str):
-            put(item if parent.tag in ("td", "th") else escape_text(item))
-            return
         item.parent = parent
         tag = item.tag
         if tag == "#bookmark":
@@ -321,11 +319,8 @@ class NormalForm:
             self._write_image(item)
         else:
             if tag == "a":
-                self._add_link("a", item.attrs["href"], item, parent)
-            put(f"<{tag}")
-            for name, value in item.attrs.items():
-                put(f' {name}="{escape_attr(value)}"')
-            put(">")
+                self._add_link("a", item.attrs.get("href", ""), item, parent)
+            put(open_tag(item) if item.attrs else f"<{tag}>")
             if tag in VOID:
                 return
             if tag in ("blockquote", "ul", "ol"):
@@ -337,8 +332,12 @@ class NormalForm:
             ):
                 self._write_blocks(item.children, item)
             else:
+                raw = tag in ("td", "th")
                 for child in item.children:
-                    self._write(child, item)
+                    if isinstance(child, str):
+                        put(child if raw else escape_text(child))
+                    else:
+                        self._write(child, item)
             put(f"</{tag}>")
 
     def _write_image(self, image: Node) -> None:
@@ -377,7 +376,7 @@ class NormalForm:
         self._buffer.append(f"{CARD_OPEN}{outer_html(card)}{CARD_CLOSE}")
 
     def _add_link(self, kind: str, href: str, node: Node | None, parent: Node | None) -> None:
-        if self._recording:
+        if href and self._recording:
             self.links.add(kind, href, node, parent)
 
 

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkferry import schemas
-from inkferry.functions.text import js_trim
+from inkferry.functions.text import js_trim, resolve_url
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages, text trimmed; one row per address."""
+    """Raw pages, one row per address."""
     return trimmed_pages(spark.read.schema(schemas.PAGES).parquet(path))
 
 
 def trimmed_pages(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("html", js_trim(F.col("html")))
+    """Pages with absolute addresses and trimmed text; a relative path hangs below the blog."""
+    address = F.coalesce(resolve_url(F.col("blog_url"), F.col("url")), F.col("url"))
+    return pages.withColumns({"url": address, "html": js_trim(F.col("html"))})
 
 
 def read_list_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -171,6 +171,21 @@ def test_deep_pages_keep_their_text(spark):
     assert post.parse_error is None and [c for c in Page(html).root.text() if c.isalpha()] == ["x", "y", "z"]
 
 
+def test_date_texts(spark):
+    texts = {
+        "2024-01-15T10:00:00+09:00": "2024-01-15T01:00:00.000Z",
+        "2025-01-01": "2025-01-01T00:00:00.000Z",
+        "2024/1/5 9:30": "2024-01-05T09:30:00.000Z",
+        "2024-1-5": "2024-01-05T00:00:00.000Z",
+        "Mon, 15 Jan 2024 10:00:00 GMT": "2024-01-15T10:00:00.000Z",
+        "Jan 5, 2024": "2024-01-05T00:00:00.000Z",
+        "10:00:00": None, "T10:00": None, "not-a-date": None, "": None, "2024-13-45": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.v for r in df.select("t", text.iso_utc(text.parse_instant(F.col("t"))).alias("v")).collect()}
+    assert got == texts
+
+
 def test_errors_are_rows(spark):
     good = '<meta property="article:published_time" content="2025-01-01">'
     posts = extract.parse_posts(pages(spark, good, "<p>no date</p>", good))
