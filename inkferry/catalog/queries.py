@@ -450,7 +450,7 @@ def _starts(events: DataFrame) -> DataFrame:
 @query
 def rate_usage(t: Tables) -> DataFrame:
     used = streams.rate_usage(_starts(t.read("events")), "1 hour", 5)
-    return used.withColumn("interval_start", text.utc_wall(F.col("interval_start")))
+    return used.withColumn("interval_start", F.col("interval_start").cast("timestamp_ntz"))
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
@@ -505,7 +505,7 @@ def stream_rate_usage(t: Tables) -> DataFrame:
     usage = streams.rate_usage(_starts(_stream(t, "events")), "1 hour", 5, delay="1 hour")
     streams.run_updates(usage, out, checkpoint)
     state = streams.current_state(t.spark, out, ["blog_url", "interval_start"])
-    return state.withColumn("interval_start", text.utc_wall(F.col("interval_start")))
+    return state.withColumn("interval_start", F.col("interval_start").cast("timestamp_ntz"))
 
 
 @query

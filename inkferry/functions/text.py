@@ -107,7 +107,11 @@ def parse_instant(text: Column) -> Column:
     A bare time of day is no date, although a cast would place it on the current day.
     """
     formats = ("yyyy/M/d[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "MMM d, yyyy[ H:mm:ss]", "MMMM d, yyyy[ H:mm:ss]")
-    readings = [F.when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text))]
+    plain_date = text.rlike(r"^\d{4}-\d{2}-\d{2}$")  # means midnight UTC in any session
+    readings = [
+        F.when(plain_date, F.try_to_timestamp(F.concat(text, F.lit("T00:00:00Z"))))
+        .when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text))
+    ]
     readings += [F.try_to_timestamp(text, F.lit(f)) for f in formats]
     mail_date = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
     readings.append(F.try_to_timestamp(mail_date, F.lit("d MMM yyyy HH:mm:ss z")))
