@@ -45,10 +45,6 @@ def clean_content(
     return cleaned.select(*keep, content.alias("content"))
 
 
-def _key_of(kind: str) -> Column:
-    return F.transform(F.filter("segments", lambda s: s["kind"] == kind), lambda s: s["key"])
-
-
 def _with_html(kind: str, html: Callable[[Column], Column]) -> Column:
     return F.transform(
         "segments",
@@ -63,7 +59,7 @@ def replace_bookmarks(
     posts: DataFrame, previews: DataFrame, id_columns: tuple[str, ...] = ("url",)
 ) -> DataFrame:
     """Put a marked preview card in the place of every bookmark, and its text into the link's context."""
-    carded = attach_map(posts, list(id_columns), _key_of("bookmark"), preview_cards(previews), "_cards")
+    carded = attach_map(posts, list(id_columns), F.col("bookmarks.url"), preview_cards(previews), "_cards")
     card = lambda key: F.concat(
         F.lit(CARD_OPEN), F.try_element_at("_cards", key)["card"], F.lit(CARD_CLOSE)
     )
@@ -103,7 +99,7 @@ def rewrite_images(
     found = attach_map(
         posts,
         list(id_columns),
-        _key_of("image"),
+        F.col("images.url"),
         uploaded_images(image_assets),
         "_uploads",
         item_columns=("job_item_id",),

@@ -23,19 +23,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="inkferry-")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="inkferry-"))
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that values do not change on a recompute."""
     context = df.sparkSession.sparkContext
+    folder = checkpoint_dir(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
