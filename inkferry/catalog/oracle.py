@@ -275,6 +275,17 @@ FROM (SELECT url, 30 + CASE WHEN p % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p % 3 =
     POSTS,
 )
 
+# real pages: all visible text stays, so tags and references can be taken off by pattern
+_TEXT = "regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', '', 'g')"
+for _reference, _character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'")):
+    _TEXT = f"replace({_TEXT}, {quoted(_reference)}, {quoted(_character)})"
+_TEXT = rf"regexp_replace(regexp_replace({_TEXT}, '&amp;?', '&', 'g'), '[\s\p{{Z}}\x{{FEFF}}]+', '', 'g')"
+oracle(
+    "page_retention",
+    "",
+    f"SELECT page_id, CAST(n AS INTEGER) AS chars_before, CAST(n AS INTEGER) AS chars_after, true AS kept_99 FROM (SELECT page_id, length({_TEXT}) AS n FROM pages)",
+)
+
 # --- media and terms ---
 
 PLAN = """plan AS (SELECT url, title, CAST(-1 AS INTEGER) AS pos, featured AS image_url, concat('Featured image for ', title) AS alt_text FROM p WHERE featured IS NOT NULL

@@ -182,6 +182,11 @@ def items_by_job(
     return items if status is None else items.filter(F.col("status") == status)
 
 
+def by_id(table: DataFrame, row_id: int) -> DataFrame:
+    """One job, item or other history row."""
+    return table.filter(F.col("id") == row_id)
+
+
 def links_by_job(links: DataFrame, items: DataFrame, job_id: int | None = None) -> DataFrame:
     """Links with the job of their item. Plain shuffles on both sides, so skew is split adaptively."""
     chosen = items_by_job(items, job_id).select(F.col("id").alias("job_item_id"), "job_id")
