@@ -56,7 +56,7 @@ def _with_html(kind: str, html: Callable[[Column], Column]) -> Column:
 
 
 def replace_bookmarks(
-    posts: DataFrame, previews: DataFrame, id_columns: tuple[str, ...] = ("url",)
+    posts: DataFrame, previews: DataFrame, id_columns: tuple[str, ...] = ("row_id",)
 ) -> DataFrame:
     """Put a marked preview card in the place of every bookmark, and its text into the link's context."""
     carded = attach_map(posts, list(id_columns), F.col("bookmarks.url"), preview_cards(previews), "_cards")
@@ -90,7 +90,7 @@ def uploaded_images(image_assets: DataFrame) -> DataFrame:
 
 
 def rewrite_images(
-    posts: DataFrame, image_assets: DataFrame, id_columns: tuple[str, ...] = ("url",)
+    posts: DataFrame, image_assets: DataFrame, id_columns: tuple[str, ...] = ("row_id",)
 ) -> DataFrame:
     """Point images at their uploads (matched by `job_item_id` and address) and list the uploads.
 

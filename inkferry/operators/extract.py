@@ -208,8 +208,9 @@ def parse_posts(
 ) -> DataFrame:
     """Posts with metadata, bookmarks, content segments, images and links.
 
-    The result feeds several joins: write it with `sources.tables.staged` first, so that pages are
-    parsed once and later steps read only the columns they need.
+    The result feeds several joins: write it with `skew.staged` first, so that pages are parsed once
+    and later steps read only the columns they need. `row_id` then names each row for good, and later
+    joins use it, so copies of a page neither mix nor gather in one task. Streams have no `row_id`.
     """
     parsed = parse_stage(pages, cfg, parts, keep)
     if "meta" in parts:
@@ -217,7 +218,7 @@ def parse_posts(
         others = [c for c in parsed.columns if c not in raw]
         meta = [column.alias(name) for name, column in meta_columns(cfg).items()]
         parsed = parsed.select(*others, *meta)
-    return parsed
+    return parsed if pages.isStreaming else parsed.withColumn("row_id", F.monotonically_increasing_id())
 
 
 def post_errors(posts: DataFrame) -> DataFrame:

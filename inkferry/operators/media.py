@@ -35,7 +35,8 @@ def media_plan(
         uses = uses.groupBy("image_url").agg(first).select("u.*", "image_url")
     mime = F.lit(None).cast("string")
     if mimes is not None:
-        uses = skew_join(uses, mimes, ["image_url"], "left", spread_by="url")
+        one_each = mimes.groupBy("image_url").agg(F.max("mime").alias("mime"))
+        uses = skew_join(uses, one_each, ["image_url"], "left", spread_by="url")
         mime = F.col("mime")
     name = media_file_name(F.col("title"), F.coalesce(mime, F.lit(DEFAULT_MIME)))
     return uses.select(

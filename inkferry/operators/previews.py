@@ -106,7 +106,9 @@ def preview_metadata(bookmarks: DataFrame, fetched_pages: DataFrame) -> DataFram
     """
     wanted = bookmarks.select(F.col("bookmark_url").alias("url")).distinct()
     parsed = map_pages(fetched_pages.select("url", "html"), ("url",), ("html",), _FIELDS, _read_head)
-    heads = wanted.join(parsed, "url", "left")
+    # one row per address, also when a page was fetched several times
+    one_each = parsed.groupBy("url").agg(F.max(F.struct(*parsed.columns[1:])).alias("p"))
+    heads = wanted.join(one_each.select("url", "p.*"), "url", "left")
     icon = F.when(F.col("icon").isNotNull(), resolve_origin(F.col("url"), F.col("icon")))
     return heads.select(
         "url",

@@ -70,7 +70,7 @@ def build_payloads(
     terms: DataFrame,
     status: str = "pending",
     featured_media: DataFrame | None = None,
-    id_columns: tuple[str, ...] = ("url",),
+    id_columns: tuple[str, ...] = ("row_id",),
 ) -> tuple[DataFrame, DataFrame]:
     """Rows ready for an uploader, and the posts that cannot be sent with their message.
 
@@ -85,11 +85,12 @@ def build_payloads(
     errors = invalid.select("url", F.lit("publish date").alias("stage"), F.lit(INVALID_DATE_MESSAGE).alias("message"))
     ready = attach_map(posts.filter(F.col("publish_date").isNotNull()), list(id_columns), keys, table, "_ids")
     if featured_media is not None:
-        ready = ready.join(featured_media, "url", "left")
+        one_each = featured_media.groupBy("url").agg(F.max("featured_media").alias("featured_media"))
+        ready = ready.join(one_each, "url", "left")
     else:
         ready = ready.withColumn("featured_media", F.lit(None).cast("bigint"))
     payloads = ready.select(
-        *id_columns,
+        "url",
         "title",
         "content",
         F.lit(status).alias("status"),

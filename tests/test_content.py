@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from inkferry.config import MigrationConfig
 from inkferry.operators import content, extract, media, previews, terms
 from inkferry.operators.dom import Page
+from inkferry.operators.skew import staged
 
 BLOG = "https://example.blog.com"
 CFG = MigrationConfig()
@@ -175,6 +176,18 @@ def test_bookmarks_become_cards(spark, all_hot):
     assert 'href="https://e.com/gone"' in html["3"] and "src=" not in html["3"]
 
 
+def test_copies_of_a_page_stay_apart(spark, all_hot):
+    frame = pages(spark, MARK.format("https://e.com/a"), MARK.format("https://e.com/b"))
+    frame = frame.withColumn("url", F.lit(f"{BLOG}/same"))
+    frame = frame.unionByName(frame)
+    posts = staged(extract.parse_posts(frame, CFG), "posts")
+    known = [(f"https://e.com/{n}", f"<title>T{n}</title>") for n in "aab"] + [("https://e.com/a", "<title>S</title>")]
+    shown = previews.preview_metadata(extract.bookmarks(posts), fetched(spark, *known))
+    assert shown.count() == 2
+    html = [r.html for r in content.replace_bookmarks(posts, shown).select(content.joined(F.col("segments")).alias("html")).collect()]
+    assert sorted('e.com/a"' in h for h in html) == [False, False, True, True] and all(h.count("<figure") == 1 for h in html)
+
+
 def test_card_links_count_as_internal(spark):
     target = f"{BLOG}/7"
     got = replaced(spark, f'<p>a <a href="/1">one</a></p>{MARK.format(target)}', known=[(target, "<title>Seven</title>")])
@@ -264,7 +277,7 @@ def test_terms_and_payloads(spark):
         ("tag", "js"): (9, False, 0), ("category", "New"): (23, True, 0),
     }
     featured = spark.createDataFrame([("u1", 0)], "url string, featured_media long")
-    payloads, errors = terms.build_payloads(posts, found, "draft", featured)
+    payloads, errors = terms.build_payloads(posts, found, "draft", featured, id_columns=("url",))
     row = payloads.first()
     assert (row.categories, row.tags, row.date, row.status) == ([21, 7], [9, 22, 9], "2024-01-15T01:00:00.000Z", "draft")
     assert row.featured_media is None
