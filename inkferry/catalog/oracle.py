@@ -378,9 +378,9 @@ oracle(
     "post_jobs",
     "SELECT * FROM post_jobs WHERE status = 'running' QUALIFY row_number() OVER (PARTITION BY job_type, blog_url ORDER BY id DESC) = 1",
 )
-oracle("items_by_job", "job_items", "SELECT * FROM job_items WHERE job_id = 3 AND status = 'failed'")
+oracle("items_by_job", "job_items", "SELECT * FROM job_items WHERE status = 'failed'")
 oracle("links_by_job", "internal_links job_items", "SELECT l.*, i.job_id FROM internal_links l JOIN job_items i ON l.job_item_id = i.id")
-oracle("images_by_item", "image_assets", "SELECT * FROM image_assets WHERE job_item_id = 5")
+oracle("images_by_item", "image_assets", "SELECT * FROM image_assets")
 oracle(
     "map_lookup",
     "job_items post_map",
@@ -405,9 +405,10 @@ oracle(
 )
 oracle(
     "extend_post_map",
-    "job_items post_map",
-    """SELECT id, post_url, dest_post_id, CASE WHEN n > 1 OR post_url LIKE 'https://blog-0.%' THEN 'post_url already mapped' END AS reason
-FROM (SELECT id, post_url, dest_post_id, row_number() OVER (PARTITION BY post_url ORDER BY id) AS n FROM job_items WHERE status = 'completed')""",
+    LOG,
+    """SELECT id, post_url, dest_post_id, CASE WHEN n > 1 OR post_url IN (SELECT post_url FROM done WHERE job_type = 'full') THEN 'post_url already mapped' END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY post_url ORDER BY id) AS n FROM done WHERE job_type <> 'full')""",
+    "done AS (SELECT i.*, j.job_type FROM job_items i JOIN post_jobs j ON j.id = i.job_id WHERE i.status = 'completed')",
 )
 oracle(
     "apply_item_patches",

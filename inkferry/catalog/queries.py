@@ -291,7 +291,8 @@ def ensure_terms(t: Tables) -> DataFrame:
 @query
 def post_payloads(t: Tables) -> DataFrame:
     posts = staged(_posts(t, "meta", "content"), "posts").withColumn("content", content.joined(F.col("segments")))
-    featured = t.view("post_uploads").filter("id % 2 = 1").select(
+    # the first kind of upload stands for the featured image; a failed one has no id
+    featured = t.view("post_uploads").filter("image_url NOT LIKE '%/t.png%'").select(
         F.concat(F.expr("concat('https://blog-', (job_item_id - 1) % 4, '.example.com/', job_item_id - 1)")).alias("url"),
         F.expr("CASE WHEN status = 'failed' THEN 0 ELSE dest_media_id END").alias("featured_media"),
     )
@@ -351,7 +352,7 @@ def latest_running_job(t: Tables) -> DataFrame:
 
 @query
 def items_by_job(t: Tables) -> DataFrame:
-    return history.items_by_job(t.view("job_items"), job_id=3, status="failed")
+    return history.items_by_job(t.view("job_items"), status="failed")
 
 
 @query
@@ -361,7 +362,7 @@ def links_by_job(t: Tables) -> DataFrame:
 
 @query
 def images_by_item(t: Tables) -> DataFrame:
-    return history.images_by_item(t.view("image_assets"), 5)
+    return history.images_by_item(t.view("image_assets"))
 
 
 @query
@@ -386,8 +387,15 @@ def failure_causes(t: Tables) -> DataFrame:
 
 @query
 def extend_post_map(t: Tables) -> DataFrame:
-    mapped = t.view("post_map").filter(F.col("post_url").startswith("https://blog-0."))
-    new = t.view("job_items").filter("status = 'completed'").select("id", "post_url", "dest_post_id")
+    # posts completed by full runs are mapped; the other runs' completions come on top
+    done = history.items_by_job(t.view("job_items"), status="completed")
+    full = t.view("post_jobs").filter("job_type = 'full'").select(F.col("id").alias("job_id"))
+    mapped = (
+        done.join(full, "job_id", "left_semi")
+        .groupBy("post_url")
+        .agg(F.min("id").alias("id"), F.min("dest_post_id").alias("dest_post_id"))
+    )
+    new = done.join(full, "job_id", "left_anti").select("id", "post_url", "dest_post_id")
     accepted, rejected = ledger.extend_post_map(mapped, new)
     return accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
 

@@ -404,7 +404,9 @@ def _resolved(href: str, origin: str) -> tuple[str, str] | None:
         host = host.lower() if host.isascii() else unquote(host).lower().encode("idna").decode()
     except UnicodeError:
         return None
-    if not host or re.search(r"[\s<>^|%\"#]", host) or (port and not (port.isdigit() and int(port) < 65536)):
+    if not host or re.search(r"[\s<>^|%\"#]", host) or (
+        port and not (port.isascii() and port.isdigit() and int(port) < 65536)
+    ):
         return None
     port = "" if port == "" or port == _DEFAULT_PORT[scheme] else f":{int(port)}"
     address = f"{scheme}://{credentials}{at}{host}{port}"

@@ -49,7 +49,7 @@ def map_pages(
                 values = [column[row].as_py() for column in arguments]
                 try:
                     parsed, error = parse(*values), None
-                except (RecursionError, ValueError) as problem:
+                except Exception as problem:  # one odd page must not stop the others
                     parsed, error = {}, f"{type(problem).__name__}: {problem}"
                 for name in fields:
                     columns[name].append(parsed.get(name))
