@@ -9,7 +9,7 @@ from inkferry.functions.text import iso_utc
 from inkferry.operators.extract import INVALID_DATE_MESSAGE
 from inkferry.operators.ledger import assign_ids
 from inkferry.operators.lookup import attach_map
-from inkferry.operators.skew import skew_join
+from inkferry.operators.skew import skew_join, staged
 
 
 def used_terms(posts: DataFrame, order: str) -> DataFrame:
@@ -44,21 +44,28 @@ def ensure_terms(posts: DataFrame, existing_terms: DataFrame, order: str = "url"
     New ids follow the first use. The parent is not part of the lookup; it only goes into new terms.
     """
     known = existing_terms.groupBy("taxonomy", "name").agg(F.min("id").alias("id"))
-    matched = used_terms(posts, order).join(known, ["taxonomy", "name"], "left")
-    found = matched.filter(F.col("id").isNotNull()).select("taxonomy", "name", "id", F.lit(False).alias("is_new"), F.lit(None).cast("string").alias("parent_name"))
+    matched = staged(
+        used_terms(posts, order).join(known, ["taxonomy", "name"], "left"), "used-terms"
+    )
+    no_parent = F.lit(None).cast("string").alias("parent_name")
+    found = matched.filter(F.col("id").isNotNull()).select(
+        "taxonomy", "name", "id", F.lit(False).alias("is_new"), no_parent
+    )
     fresh = matched.filter(F.col("id").isNull()).select(
-        "taxonomy", "name", F.col("use._post").alias("_p"), F.col("use.k").alias("_k"), F.col("use.i").alias("_i"), F.col("use.parent").alias("parent_name")
+        "taxonomy", "name", "use._post", "use.k", "use.i", F.col("use.parent").alias("parent_name")
     )
-    created = assign_ids(fresh, ["_p", "_k", "_i", "taxonomy", "name"], existing_terms).select(
+    created = assign_ids(fresh, ["_post", "k", "i", "taxonomy", "name"], existing_terms).select(
         "taxonomy", "name", "id", F.lit(True).alias("is_new"), "parent_name"
     )
     terms = found.unionByName(created)
     parents = terms.filter(F.col("taxonomy") == "category").select(
-        F.col("name").alias("parent_name"), F.col("id").alias("parent_id"), F.lit("category").alias("taxonomy")
+        F.col("name").alias("parent_name"), F.col("id").alias("parent_id")
     )
-    return skew_join(terms, parents, ["taxonomy", "parent_name"], "left", spread_by="name").select(
-        "taxonomy", "name", "id", "is_new", F.coalesce("parent_id", F.lit(0)).alias("parent_id")
+    children = skew_join(
+        created.filter(F.col("parent_name").isNotNull()), parents, ["parent_name"], "left", spread_by="name"
     )
+    roots = terms.filter(F.col("parent_name").isNull()).withColumn("parent_id", F.lit(0).cast("bigint"))
+    return children.unionByName(roots).select("taxonomy", "name", "id", "is_new", "parent_id")
 
 
 def _ids(names: Column, taxonomy: str) -> Column:
