@@ -264,9 +264,7 @@ def internal_links(posts: DataFrame, links: str = "links", keep: tuple[str, ...]
 def discover_post_urls(list_pages: DataFrame, cfg: MigrationConfig = MigrationConfig()) -> DataFrame:
     """Posts linked from each blog's list pages 1, 2, ... up to the first missing or empty page.
 
-    A page is the last one when its successor does not exist, so the end of a blog comes from an
-    equi-join on (blog, page), not from a window over the whole blog. `page_no` and `pos` are the
-    place where a post is seen first.
+    `page_no` and `pos` are the place where a post is seen first.
     """
     parsed = parse_stage(list_pages, cfg, ("list_links",), ("blog_url", "page_no"))
     hrefs = F.coalesce("hrefs", F.array().cast("array<string>")).alias("hrefs")
@@ -274,18 +272,23 @@ def discover_post_urls(list_pages: DataFrame, cfg: MigrationConfig = MigrationCo
 
 
 def first_seen_posts(parsed: DataFrame, cfg: MigrationConfig = MigrationConfig()) -> DataFrame:
-    numbers = parsed.select("blog_url", "page_no", (F.size("hrefs") == 0).alias("_empty"))
-    has_next = numbers.select("blog_url", (F.col("page_no") - 1).alias("page_no"), F.lit(True).alias("_next"))
+    """Each page also marks page 1 and its successor, so a blog ends at the first page that is marked
+    but has no links. That takes one aggregation by (blog, page) and no window over a whole blog.
+    """
+    filled = F.size("hrefs") > 0
+    mark = lambda page_no, with_links: F.struct(page_no.alias("page_no"), with_links.alias("filled"))
+    marks = F.array(
+        mark(F.col("page_no"), filled),
+        mark(F.col("page_no") + 1, F.lit(False)),
+        mark(F.lit(1).cast("bigint"), F.lit(False)),
+    )
     ends = (
-        numbers.join(has_next, ["blog_url", "page_no"], "left")
+        parsed.select("blog_url", F.explode(marks).alias("m"))
+        .groupBy("blog_url", "m.page_no")
+        .agg(F.bool_or("m.filled").alias("filled"))
+        .filter("NOT filled")
         .groupBy("blog_url")
-        .agg(
-            F.min("page_no").alias("_first"),
-            F.min(
-                F.when(F.col("_empty"), F.col("page_no")).when(F.col("_next").isNull(), F.col("page_no") + 1)
-            ).alias("_end"),
-        )
-        .select("blog_url", F.when(F.col("_first") > 1, 1).otherwise(F.col("_end")).alias("_end"))
+        .agg(F.min("page_no").alias("_end"))
     )
     read = skew_join(parsed, ends, ["blog_url"], "inner", spread_by="page_no")
     seen = (

@@ -144,3 +144,32 @@ def test_schemas_name_every_checked_column():
     for table, columns in schemas.NOT_NULL.items():
         names = [f.split(" ")[0] for f in schemas.HISTORY[table].split(", ")]
         assert set(columns) <= set(names)
+
+
+def test_a_hot_job_is_split_adaptively(spark, tmp_path):
+    """The join of items and jobs stays a plain shuffle join that adaptive execution can split."""
+    rows = spark.range(400_000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 50000 END AS job_id", "concat('https://a/', id) AS post_url",
+        "CASE WHEN id % 2 = 0 THEN 'failed' ELSE 'running' END AS status",
+    )
+    rows.repartition(16).write.parquet(str(tmp_path / "items"))
+    spark.range(50_000).selectExpr("id", "'https://a' AS blog_url").write.parquet(str(tmp_path / "jobs"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        items_, jobs_ = spark.read.parquet(str(tmp_path / "items")), spark.read.parquet(str(tmp_path / "jobs"))
+        found = history.retry_urls(items_, jobs_)
+        assert len(found.collect()) == 200_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
