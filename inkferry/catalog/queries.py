@@ -103,7 +103,7 @@ def list_page_urls(t: Tables) -> DataFrame:
 
 @query
 def slugs(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
+    return tables.spread_few_files(t.read("documents")).select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query
@@ -117,7 +117,7 @@ def media_file_names(t: Tables) -> DataFrame:
         "CASE doc_id % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/svg+xml' WHEN 2 THEN 'image/png; charset=utf-8' "
         "WHEN 3 THEN 'image/webp' ELSE NULL END"
     )
-    return t.read("documents").select(
+    return tables.spread_few_files(t.read("documents")).select(
         "doc_id",
         text.media_file_name(F.col("text"), mime).alias("file_name"),
         text.media_file_name(F.col("text"), mime, F.col("doc_id")).alias("numbered_name"),

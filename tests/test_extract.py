@@ -87,6 +87,9 @@ def test_slug_keeps_letters_of_all_scripts(spark):
 def test_trim_covers_unicode_spaces(spark):
     df = spark.createDataFrame([("﻿ 　\t\n a b  \v",)], "s string")
     assert df.select(text.js_trim(F.col("s"))).first()[0] == "a b"
+    odd = ["", " ", "a", " a", "a ", "a" + " " * 200_000 + "b", "\n\n a\n"]
+    df = spark.createDataFrame([(o,) for o in odd], "s string")
+    assert [r[0] for r in df.select(text.js_trim(F.col("s"))).collect()] == [o.strip() for o in odd]
 
 
 def test_bookmark_places_can_have_gaps(spark):
