@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # What the source platform's runtime strips as white space. Java's \s is ASCII only.
 _WHITE = r"[\s\p{Z}\x{FEFF}]"
+_LEADING = rf"^{_WHITE}++"
 # the trailing run is tried once, from its start, so long inner runs cost nothing extra
-_TRIM = rf"^{_WHITE}+|(?<!{_WHITE}){_WHITE}++$"
+_TRAILING = rf"(?<!{_WHITE}){_WHITE}++$"
 
 # File extension per media type; anything else is stored as "bin".
 MEDIA_EXTENSIONS = {
@@ -24,7 +25,7 @@ FILE_PREFIX_LENGTH = 15
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, _TRIM, "")
+    return F.regexp_replace(F.regexp_replace(text, _LEADING, ""), _TRAILING, "")
 
 
 def none_if_empty(text: Column) -> Column:
