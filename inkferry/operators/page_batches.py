@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from inkferry.shipping import ship_package
+
 FLUSH_CHARS = 8_000_000
 RECURSION_LIMIT = 10_000  # ample for the depth that the page tree allows
 
@@ -64,4 +66,5 @@ def map_pages(
                     for done in columns.values():
                         done.clear()
 
+    ship_package(pages.sparkSession)
     return pages.mapInArrow(run, schema)
