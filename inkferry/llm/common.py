@@ -54,3 +54,10 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
         .saveAsTable(target)
     )
     return df.sparkSession.table(target)
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

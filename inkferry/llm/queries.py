@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.llm.common import crc_fold, table
+from inkferry.llm import compression, packing
+from inkferry.llm.common import crc_fold, table, vocabulary
 from inkferry.llm.decontaminate import decontaminate, is_contaminated
 
 
@@ -23,8 +24,26 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_compression(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = compression.train(docs, compression.training_rows(labels))
+    scored = compression.score(docs, model, out="score", keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        (crc_fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= compression.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op9_compression": op9_compression,
+    "op10_packing": op10_packing,
 }
 
 NORMAL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
