@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.llm import compression, packing
+from inkferry.llm import compression, minhash, packing
 from inkferry.llm.common import crc_fold, table, vocabulary
 from inkferry.llm.decontaminate import decontaminate, is_contaminated
 
@@ -24,6 +24,10 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle_words=2)
+
+
 def op9_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = compression.train(docs, compression.training_rows(labels))
@@ -42,6 +46,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_minhash": op3_minhash,
     "op9_compression": op9_compression,
     "op10_packing": op10_packing,
 }
