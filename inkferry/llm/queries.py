@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.llm import compression, minhash, packing
+from inkferry.llm import compression, minhash, packing, suffixes
 from inkferry.llm.common import crc_fold, table, vocabulary
 from inkferry.llm.decontaminate import decontaminate, is_contaminated
 
@@ -28,6 +28,17 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle_words=2)
 
 
+def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffixes.remove_repeats(table(spark, folder, "documents"), keep=["doc_id"])
+    return done.select(
+        "doc_id",
+        "removal.n_bytes",
+        "removal.n_removed",
+        F.size("removal.spans").cast("bigint").alias("n_spans"),
+        F.sha2("removal.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = compression.train(docs, compression.training_rows(labels))
@@ -47,6 +58,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
+    "op6_suffixes": op6_suffixes,
     "op9_compression": op9_compression,
     "op10_packing": op10_packing,
 }
