@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.llm import compression, minhash, packing, suffixes
+from inkferry.llm import compression, minhash, packing, repeats, suffixes
 from inkferry.llm.common import crc_fold, table, vocabulary
 from inkferry.llm.decontaminate import decontaminate, is_contaminated
 
@@ -39,6 +39,16 @@ def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    done = repeats.remove_seen_passages(table(spark, folder, "documents"), keep=["doc_id"])
+    return done.select(
+        "doc_id",
+        "repeats.n_words",
+        "repeats.n_removed",
+        F.sha2(F.col("repeats.kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op9_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = compression.train(docs, compression.training_rows(labels))
@@ -59,6 +69,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
     "op6_suffixes": op6_suffixes,
+    "op7_repeats": op7_repeats,
     "op9_compression": op9_compression,
     "op10_packing": op10_packing,
 }
@@ -68,6 +79,23 @@ NORMAL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLE = {
+    "op7_repeats": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT d, doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS win
+  FROM (SELECT d, doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS first_id FROM wins GROUP BY win),
+hits AS (
+  SELECT DISTINCT d, unnest(range(pos, pos + 13)) AS pos
+  FROM wins JOIN firsts USING (win) WHERE first_id < doc_id),
+gone AS (SELECT d, list(pos) AS cut FROM hits GROUP BY d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(cut), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(
+    [x[1] FOR x IN list_zip(w, range(1, len(w) + 1)) IF NOT list_contains(coalesce(cut, []), x[2])], ' '))
+    AS kept_sha256
+FROM docs LEFT JOIN gone USING (d)""",
     "op2_decontaminate": f"""
 WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, {NORMAL_WORDS} AS w FROM benchmark),
 windows AS (

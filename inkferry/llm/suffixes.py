@@ -152,17 +152,23 @@ def resolve_starts(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np
     return occurs_again(hashes), None
 
 
-REMOVED = "struct<n_bytes:bigint,n_removed:bigint,spans:array<struct<start:bigint,stop:bigint>>,kept:binary>"
+REMOVED = "struct<n_bytes:bigint,n_removed:bigint,spans:array<struct<start:bigint,stop:bigint>>,kept:{}>"
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", length: int = LENGTH, out: str = "removal", keep: list[str] | None = None
+    docs: DataFrame,
+    text: str = "text",
+    length: int = LENGTH,
+    out: str = "removal",
+    keep: list[str] | None = None,
+    as_text: bool = False,
 ) -> DataFrame:
     """Add a struct (n_bytes, n_removed, spans, kept): the text without its repeated bytes.
 
     A byte of the UTF-8 text goes if it lies in a string of `length` bytes that starts at another place
     too, in the same or another row; all copies go, and strings are judged on the input. `spans` are the
-    maximal removed runs, `kept` the rest joined, as bytes, since a cut may split a character.
+    maximal removed runs, `kept` the rest joined, as bytes, since a cut may split a character; with
+    `as_text` it is a string, without the characters that a cut has split.
 
     Null and empty texts have no bytes. Repeated rows are copies of each other, so all their bytes go
     from `length` bytes on. Shorter texts stay whole. A column already named `out` is replaced; an empty
@@ -210,7 +216,7 @@ def remove_repeats(
     schema = T.StructType(
         [
             *[T.StructField(o, docs.schema[c].dataType) for c, o in zip(columns, own)],
-            *T._parse_datatype_string(f"{out} {REMOVED}").fields,
+            T.StructField(out, T._parse_datatype_string(REMOVED.format("string" if as_text else "binary"))),
         ]
     )
 
@@ -224,18 +230,24 @@ def remove_repeats(
         rows = []
         for low, high in zip(block.starts[:-1].tolist(), block.starts[1:].tolist()):
             flags = gone[low:high]
+            rest = block.data[low:high][~flags].tobytes()
             edges = np.flatnonzero(np.diff(flags, prepend=False, append=False)).reshape(-1, 2)
             rows.append(
                 {
                     "n_bytes": high - low,
                     "n_removed": int(flags.sum()),
                     "spans": [{"start": a, "stop": b} for a, b in edges.tolist()],
-                    "kept": block.data[low:high][~flags].tobytes(),
+                    "kept": rest.decode(errors="ignore") if as_text else rest,
                 }
             )
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         kind = pa.struct(
-            [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]
+            [
+                ("n_bytes", pa.int64()),
+                ("n_removed", pa.int64()),
+                ("spans", span),
+                ("kept", pa.string() if as_text else pa.binary()),
+            ]
         )
         return table.select(own).append_column(out, pa.array(rows, kind))
 
