@@ -3,18 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkferry.llm.common import staged, table
+from inkferry.llm import compression, minhash, packing, suffixes
+from inkferry.llm.common import staged, table, vocabulary
 from inkferry.llm.decontaminate import decontaminate, is_contaminated
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects. It learns from the labelled part of `docs`."""
+    labels = compression.training_rows(table(spark, sf_dir, "labels"))
+    model = compression.train(docs, labels)
+    scored = compression.score(docs, model, out="_score")
+    return scored.filter(F.col("_score") >= compression.THRESHOLD).select(*docs.columns)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of near duplicates; rows without an id stay."""
+    found = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out the byte strings that repeat; every document stays, maybe with an empty text."""
+    done = suffixes.remove_repeats(docs, as_text=True, keep=[c for c in docs.columns if c != "text"])
+    return done.withColumn("text", F.when(F.col("removal.n_bytes") >= 0, F.col("removal.kept"))).withColumn(
+        "n_chars", F.length("text").cast("bigint")
+    ).select(*docs.columns)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth or more repeats benchmark items."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~is_contaminated()).select(*docs.columns)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), out="_contamination")
+    return found.filter(~is_contaminated("_contamination")).select(*docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in sequences of at most 4096, one row per piece."""
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("benchmark decontamination", benchmark_decontamination)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near deduplication", near_deduplication),
+    ("suffix deduplication", suffix_deduplication),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", sequence_packing),
+]
 
 ORACLE_SQL = None  # the stages learn, hash or search; tests hold them against plain Python
 
