@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.llm import compression, minhash, packing, repeats, suffixes
+from inkferry.llm import compression, minhash, packing, repeats, rules, suffixes
 from inkferry.llm.common import crc_fold, table, vocabulary
 from inkferry.llm.decontaminate import decontaminate, is_contaminated
 
 
+def op1_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = rules.judge(spark.read.parquet(f"{folder}/documents.parquet"), keep=["doc_id"])
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept posterior"
+    return judged.select(*names.split())
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"]
@@ -66,6 +72,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rules": op1_rules,
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
     "op6_suffixes": op6_suffixes,
