@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.llm import compression, minhash, packing, repeats, rules, suffixes
+from inkferry.llm import (
+    compression,
+    languages,
+    minhash,
+    packing,
+    repeats,
+    rules,
+    sharding,
+    suffixes,
+    warc,
+)
 from inkferry.llm.common import crc_fold, table, vocabulary
 from inkferry.llm.decontaminate import decontaminate, is_contaminated
 
@@ -34,6 +44,19 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle_words=2)
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    names = "page_id payload_bytes payload_digest record_type refers_to url archive offset"
+    return warc.round_trip(table(spark, folder, "pages")).select(*names.split())
+
+
+def op5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_fold("doc_id", 3) == 1
+    model = languages.train(docs.filter(~held_out))
+    found = languages.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     done = suffixes.remove_repeats(table(spark, folder, "documents"), keep=["doc_id"])
     return done.select(
@@ -55,6 +78,13 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    written = sharding.write_shards(table(spark, folder, "documents"), n_shards=8)
+    return written.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
 def op9_compression(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = compression.train(docs, compression.training_rows(labels))
@@ -75,8 +105,11 @@ QUERIES = {
     "op1_rules": op1_rules,
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
+    "op4_warc": op4_warc,
+    "op5_languages": op5_languages,
     "op6_suffixes": op6_suffixes,
     "op7_repeats": op7_repeats,
+    "op8_sharding": op8_sharding,
     "op9_compression": op9_compression,
     "op10_packing": op10_packing,
 }
