@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkferry.sources.tables import spread_few_files
-
 VIEWS = {
     "job_items": """
 SELECT event_id + 1 AS id,
@@ -161,16 +159,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        text = VIEWS[name]
-        for base in ("events", "pages"):
-            if f"FROM {base}" in text or any(f"FROM {base}" in VIEWS[n] for n in NEEDS.get(name, ())):
-                table = self.read(base)
-                if name in ("posts_raw", "list_pages"):
-                    table = spread_few_files(table)
-                table.createOrReplaceTempView(base)
-        return self.spark.sql(with_views(name, f"SELECT * FROM {name}"))
+        texts = [VIEWS[n] for n in ordered((name,))]
+        used = [b for b in ("events", "pages") if any(f"FROM {b}" in text for text in texts)]
+        return self.select(name, **{b: self.read(b) for b in used})
 
-    def sql(self, names: str, select: str, extra: str = "") -> DataFrame:
-        for base in ("events", "pages"):
-            self.read(base).createOrReplaceTempView(base)
-        return self.spark.sql(with_views(names, select, extra))
+    def select(self, name: str, **bases: DataFrame) -> DataFrame:
+        """A view over the given tables, which are bound to this statement alone."""
+        text = with_views(name, f"SELECT * FROM {name}")
+        for base in bases:
+            text = text.replace(f"FROM {base}", f"FROM {{{base}}}")
+        return self.spark.sql(text, **bases)

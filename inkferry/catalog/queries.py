@@ -103,7 +103,7 @@ def list_page_urls(t: Tables) -> DataFrame:
 
 @query
 def slugs(t: Tables) -> DataFrame:
-    return tables.spread_few_files(t.read("documents")).select("doc_id", text.slugify(F.col("text")).alias("slug"))
+    return t.read("documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query
@@ -117,7 +117,7 @@ def media_file_names(t: Tables) -> DataFrame:
         "CASE doc_id % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/svg+xml' WHEN 2 THEN 'image/png; charset=utf-8' "
         "WHEN 3 THEN 'image/webp' ELSE NULL END"
     )
-    return tables.spread_few_files(t.read("documents")).select(
+    return t.read("documents").select(
         "doc_id",
         text.media_file_name(F.col("text"), mime).alias("file_name"),
         text.media_file_name(F.col("text"), mime, F.col("doc_id")).alias("numbered_name"),
@@ -185,7 +185,7 @@ def preview_metadata(t: Tables) -> DataFrame:
 
 @query
 def internal_links(t: Tables) -> DataFrame:
-    pages = tables.spread_few_files(t.read("pages")).withColumn("blog_url", F.col("url"))
+    pages = t.read("pages").withColumn("blog_url", F.col("url"))
     parsed = extract.parse_stage(pages, CFG, ("page_links",), ("page_id", "blog_url"))
     return extract.internal_links(parsed, "page_links", ("page_id",))
 
@@ -249,7 +249,7 @@ def content_retention(t: Tables) -> DataFrame:
 
 @query
 def page_retention(t: Tables) -> DataFrame:
-    pages = tables.spread_few_files(t.read("pages")).withColumn("blog_url", F.col("url"))
+    pages = t.read("pages").withColumn("blog_url", F.col("url"))
     kept = content.content_retention(pages, MigrationConfig(content_selector="article"), ("page_id",))
     return kept.select("page_id", "chars_before", "chars_after", (F.col("kept") >= 0.99).alias("kept_99"))
 
@@ -468,10 +468,7 @@ def _stream(t: Tables, name: str) -> DataFrame:
 
 
 def _stream_view(t: Tables, base: str, view: str) -> DataFrame:
-    from inkferry.catalog.fixtures import with_views
-
-    _stream(t, base).createOrReplaceTempView(base)
-    return t.spark.sql(with_views(view, f"SELECT * FROM {view}"))
+    return t.select(view, **{base: _stream(t, base)})
 
 
 def _run_folder(t: Tables, name: str) -> tuple[str, str]:
@@ -484,9 +481,8 @@ def _run_folder(t: Tables, name: str) -> tuple[str, str]:
 @query
 def stream_item_state(t: Tables) -> DataFrame:
     out, checkpoint = _run_folder(t, "item_state")
-    patches = _stream_view(t, "events", "item_patches")
-    streams.run_updates(streams.stream_item_state(patches), out, checkpoint)
-    return streams.current_state(t.spark, out, ["id", "field"])
+    streams.run_partials(_stream_view(t, "events", "item_patches"), streams.item_state, out, checkpoint)
+    return streams.merged(t.spark, [out], streams.item_state)
 
 
 @query
@@ -494,8 +490,8 @@ def stream_retry_set(t: Tables) -> DataFrame:
     out, checkpoint = _run_folder(t, "retry_set")
     jobs = t.view("post_jobs")
     items = _stream_view(t, "events", "job_items")
-    streams.run_updates(streams.stream_retry_set(items, jobs), out, checkpoint)
-    return streams.due_for_retry(streams.current_state(t.spark, out, ["blog_url", "post_url"]))
+    streams.run_partials(items, lambda batch: streams.retry_counts(batch, jobs), out, checkpoint)
+    return streams.due_for_retry(streams.merged(t.spark, [out], streams.merged_counts))
 
 
 @query
@@ -503,17 +499,17 @@ def stream_new_urls(t: Tables) -> DataFrame:
     out, checkpoint = _run_folder(t, "new_urls")
     attempted = history.attempted_urls(t.view("crawl_items"), t.view("post_jobs"))
     pages = _stream_view(t, "pages", "list_pages")
-    streams.run_appends(streams.stream_new_urls(pages, attempted, LIST_CFG), out, checkpoint)
-    return t.spark.read.schema("blog_url STRING, post_url STRING").parquet(out)
+    streams.run_partials(pages, lambda batch: streams.listed_urls(batch, LIST_CFG), out, checkpoint)
+    return streams.merged(t.spark, [out], lambda listed: streams.new_urls(listed, attempted))
 
 
 @query
 def stream_rate_usage(t: Tables) -> DataFrame:
     out, checkpoint = _run_folder(t, "rate_usage")
-    usage = streams.rate_usage(_starts(_stream(t, "events")), "1 hour", 5, delay="1 hour")
-    streams.run_updates(usage, out, checkpoint)
-    state = streams.current_state(t.spark, out, ["blog_url", "interval_start"])
-    return state.withColumn("interval_start", F.col("interval_start").cast("timestamp_ntz"))
+    starts = _starts(_stream(t, "events"))
+    streams.run_partials(starts, lambda batch: streams.interval_starts(batch, "1 hour"), out, checkpoint)
+    usage = streams.against_cap(streams.merged(t.spark, [out], streams.merged_starts), 5)
+    return usage.withColumn("interval_start", F.col("interval_start").cast("timestamp_ntz"))
 
 
 @query

@@ -12,9 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000  # a key is hot above 1/HOT_SHARE of the rows ...
-HOT_MIN_ROWS = 100_000  # ... and from this many rows on
-SALTS = 64
+ROWS_PER_TASK = 1_000_000  # of one key; a key with more rows is hot and spread over several tasks
+MOST_HOT_KEYS = 100_000  # fewer keys than this can be hot, which bounds what is broadcast
 ROW_BITS = 33  # monotonically_increasing_id: row number in the low 33 bits, partition above
 
 
@@ -51,19 +50,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys with at least HOT_MIN_ROWS rows and more than 1/HOT_SHARE of all rows, None without any.
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than ROWS_PER_TASK rows, and for each the `_salts` that spread it.
 
-    One pass with partial aggregation. Fewer than HOT_SHARE keys can qualify, whatever the table's
-    size; that bound is what makes them safe to fetch and to broadcast. They only steer how rows are
-    spread, so results do not depend on them.
+    A key must also have more than one MOST_HOT_KEYS-th of all rows, so fewer than that can qualify:
+    the table is safe to broadcast whatever the input's size. It is part of the plan, counted by
+    partial aggregation when the plan runs; it only steers how rows are spread, never the result.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    hot = (F.col("_n") >= HOT_MIN_ROWS) & (F.col("_n") * HOT_SHARE > total)
-    found = counts.filter(hot).select(*keys, F.lit(True).alias("_hot"))
-    rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    hot = (F.col("_n") > ROWS_PER_TASK) & (F.col("_n") * MOST_HOT_KEYS > total)
+    salts = F.ceil(F.col("_n") / ROWS_PER_TASK).cast("bigint")
+    return counts.filter(hot).select(*keys, salts.alias("_salts"))
+
+
+def _tagged(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """The rows with the `_salts` of their key, NULL if it is not hot; a NULL key can be hot too."""
+    same_key = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    return df.alias("l").join(F.broadcast(hot).alias("h"), same_key, "left").select("l.*", "h._salts")
 
 
 def skew_join(
@@ -71,59 +75,46 @@ def skew_join(
 ) -> DataFrame:
     """Join a left side that may be hot on `keys` to a right side with few rows per key.
 
-    Without hot keys this is a plain join. Otherwise left rows of a hot key are spread over SALTS
-    groups by hashing `spread_by`, and only the right rows of hot keys are repeated. A hot NULL key
-    matches nothing and is just spread.
+    Left rows of a hot key are spread over its salts by hashing `spread_by`, and only the right rows of
+    hot keys are repeated, once per salt. A hot NULL key matches nothing and is just spread.
     """
     hot = hot_keys(left, keys)
-    if hot is None:
-        return left.join(right, keys, how)
-    same_key = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    salted_left = (
-        left.alias("l")
-        .join(F.broadcast(hot).alias("h"), same_key, "left")
-        .select("l.*", F.when(F.col("h._hot"), salt).otherwise(F.lit(0)).alias("_salt"))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_salts")))
+    salted_left = _tagged(left, keys, hot).withColumn("_salt", salt).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts") - 1, F.lit(0)))
+    salted_right = _tagged(right, keys, hot).withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def number_within(
     df: DataFrame, keys: list[str], order: list[str], out: str, block: Column
 ) -> DataFrame:
-    """Number rows 1, 2, ... within `keys` by `order`, with no task per hot key.
+    """Number rows 1, 2, ... (BIGINT) within `keys` by `order`, with no task per hot key.
 
     `block` must rise with `order` and hold a bounded number of rows per value (such as
     `id div 100000`). Rows of a hot key are numbered block by block and shifted by the size of the
-    blocks before; all other keys are numbered by one ordinary window.
+    blocks before; the rows of any other key are one block.
     """
-    hot = hot_keys(df, keys)
-    if hot is None:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_block", F.when(F.col("_hot"), block).otherwise(F.lit(0)).cast("bigint")
+    tagged = _tagged(df, keys, hot_keys(df, keys)).withColumn(
+        "_block", F.when(F.col("_salts").isNotNull(), block).otherwise(F.lit(0)).cast("bigint")
     )
     by_block = Window.partitionBy(*keys, "_block").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        tagged.filter("_hot")
+        tagged.filter("_salts IS NOT NULL")
         .groupBy(*keys, "_block")
         .agg(F.count(F.lit(1)).alias("_size"))
         .select(*keys, "_block", F.sum("_size").over(before).alias("_shift"))
     )
+    same_block = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "_block")]
+    number = (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("bigint")
     return (
         tagged.withColumn("_local", F.row_number().over(by_block))
-        .join(shifts, [*keys, "_block"], "left")
-        .withColumn(out, F.col("_local") + F.coalesce("_shift", F.lit(0)))
-        .drop("_hot", "_block", "_local", "_shift")
+        .alias("l")
+        .join(shifts.alias("s"), same_block, "left")
+        .select("l.*", "s._shift")
+        .withColumn(out, number)
+        .drop("_salts", "_block", "_local", "_shift")
     )
 
 

@@ -38,9 +38,3 @@ def read_history(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         name: spark.read.schema(schema).parquet(f"{folder}/{name}")
         for name, schema in schemas.HISTORY.items()
     }
-
-
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer files than cores; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

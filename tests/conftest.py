@@ -30,7 +30,6 @@ def all_hot(monkeypatch):
     """Treat nearly every key as hot, so that small tables take the salted and blocked paths."""
     from inkferry.operators import history, skew
 
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 2)
-    monkeypatch.setattr(skew, "HOT_SHARE", 100_000)
-    monkeypatch.setattr(skew, "SALTS", 3)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 2)
+    monkeypatch.setattr(skew, "MOST_HOT_KEYS", 10_000_000)
     monkeypatch.setattr(history, "BLOCK_ROWS", 100)

@@ -6,18 +6,18 @@ from inkferry.operators import skew
 
 
 def test_hot_keys_are_found_and_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 50)
-    monkeypatch.setattr(skew, "HOT_SHARE", 4)
-    rows = [("hot", i) for i in range(400)] + [(f"k{i % 60}", i) for i in range(600)]
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
+    rows = [("hot", i) for i in range(400)] + [(None, i) for i in range(90)] + [(f"k{i % 60}", i) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, v long")
+    found = {r.k: r["_salts"] for r in skew.hot_keys(df, ["k"]).collect()}
+    assert found == {"hot": 8, None: 2}  # the salts grow with the key
+    assert skew.hot_keys(df.filter("k LIKE 'k%'"), ["k"]).isEmpty()
+    monkeypatch.setattr(skew, "MOST_HOT_KEYS", 4)  # no key with less than a quarter of the rows
     assert [r.k for r in skew.hot_keys(df, ["k"]).collect()] == ["hot"]
-    assert skew.hot_keys(df.filter("k <> 'hot'"), ["k"]) is None
 
 
 def test_skew_join_spreads_a_hot_key_and_keeps_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 50)
-    monkeypatch.setattr(skew, "HOT_SHARE", 4)
-    monkeypatch.setattr(skew, "SALTS", 8)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
     rows = [("hot", i) for i in range(400)] + [(None, i) for i in range(400, 500)] + [("cold", 500), ("lone", 501)]
     left = spark.createDataFrame(rows, "k string, v long")
     right = spark.createDataFrame([("hot", 1), ("cold", 2), ("unused", 3)], "k string, w long")
@@ -37,6 +37,17 @@ def test_number_within_crosses_blocks(spark, all_hot):
         assert {(r.id, r.n) for r in got if r.k == key} == {(i, n + 1) for n, i in enumerate(ids)}
 
 
+def test_numbers_have_one_type_with_and_without_hot_keys(spark, monkeypatch):
+    rows = [("a", i) for i in range(20)] + [(None, i) for i in range(20)] + [("b", 1)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    block = F.floor(F.col("id") / 3)
+    plain = skew.number_within(df, ["k"], ["id"], "n", block)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 5)
+    split = skew.number_within(df, ["k"], ["id"], "n", block)
+    assert dict(plain.dtypes)["n"] == dict(split.dtypes)["n"] == "bigint"
+    assert sorted(plain.collect(), key=str) == sorted(split.collect(), key=str)
+
+
 def test_number_rows_is_dense_and_ordered(spark):
     rows = [(f"u{i % 37:02d}", i) for i in range(5000)]
     df = spark.createDataFrame(rows, "u string, id long").repartition(7)
