@@ -61,6 +61,49 @@ FROM events
 UNION ALL
 SELECT event_id + 1 AS id, event_id AS seq, 'dest_post_id' AS field, CAST(event_id + 900000 AS VARCHAR(20)) AS value
 FROM events WHERE event_type = 'error'""",
+    "job_patches": """
+SELECT CAST(FLOOR(event_id / 100) AS BIGINT) + 1 AS id, event_id AS seq, 'status' AS field,
+  CASE event_id % 2 WHEN 0 THEN 'completed' ELSE 'failed' END AS value
+FROM events WHERE event_id % 50 = 7
+UNION ALL
+SELECT CAST(FLOOR(event_id / 100) AS BIGINT) + 1 AS id, event_id AS seq, 'error_message' AS field,
+  CASE WHEN event_id % 4 = 0 THEN concat('job ', CAST(event_id AS VARCHAR(20))) END AS value
+FROM events WHERE event_id % 30 = 2""",
+    "asset_patches": """
+SELECT event_id + 1 AS id, event_id AS seq, 'dest_media_id' AS field, CAST(event_id + 800000 AS VARCHAR(20)) AS value
+FROM events WHERE event_id % 7 = 1
+UNION ALL
+SELECT event_id + 1 AS id, event_id AS seq, 'status' AS field, 'uploaded' AS value
+FROM events WHERE event_id % 7 = 1
+UNION ALL
+SELECT event_id + 1 AS id, event_id AS seq, 'dest_media_url' AS field,
+  CASE WHEN event_id % 2 = 0 THEN concat('https://dest.example.com/', CAST(event_id AS VARCHAR(20))) END AS value
+FROM events WHERE event_id % 5 = 3""",
+    "broken_post_jobs": """
+SELECT id, CASE WHEN id % 11 = 3 THEN NULL ELSE blog_url END AS blog_url,
+  CASE WHEN id % 13 = 4 THEN 'double' WHEN id % 17 = 5 THEN NULL ELSE job_type END AS job_type,
+  CASE WHEN id % 19 = 6 THEN 'paused' WHEN id % 23 = 7 THEN NULL ELSE status END AS status,
+  CASE WHEN id % 7 = 2 THEN NULL ELSE created_at END AS created_at
+FROM post_jobs WHERE job_type <> 'single'""",
+    "broken_job_items": """
+SELECT id, CASE WHEN id % 101 = 1 THEN NULL ELSE job_id END AS job_id, CASE WHEN id % 103 = 2 THEN NULL ELSE post_url END AS post_url,
+  CASE WHEN id % 107 = 3 THEN 'lost' WHEN id % 109 = 4 THEN NULL ELSE status END AS status,
+  CASE WHEN id % 113 = 5 THEN NULL ELSE created_at END AS created_at, CASE WHEN id % 127 = 6 THEN NULL ELSE updated_at END AS updated_at
+FROM job_items WHERE id % 40 <> 0""",
+    "broken_image_assets": """
+SELECT id, CASE WHEN id % 101 = 1 THEN NULL ELSE job_item_id END AS job_item_id, CASE WHEN id % 103 = 2 THEN NULL ELSE image_url END AS image_url,
+  CASE WHEN image_url LIKE '%9.jpg' THEN 'lost' WHEN id % 109 = 4 THEN NULL ELSE status END AS status,
+  CASE WHEN id % 113 = 5 THEN NULL ELSE created_at END AS created_at, CASE WHEN id % 127 = 6 THEN NULL ELSE updated_at END AS updated_at
+FROM image_assets""",
+    "broken_internal_links": """
+SELECT id, CASE WHEN id % 101 = 1 THEN NULL ELSE job_item_id END AS job_item_id, CASE WHEN id % 103 = 2 THEN NULL ELSE source_url END AS source_url,
+  CASE WHEN id % 107 = 3 THEN NULL ELSE target_url END AS target_url, CASE WHEN id % 113 = 5 THEN NULL ELSE created_at END AS created_at
+FROM internal_links""",
+    "broken_map": """
+SELECT id, CASE WHEN id % 31 = 8 THEN NULL ELSE post_url END AS post_url,
+  CASE WHEN id % 29 = 3 THEN NULL ELSE CAST(FLOOR(dest_post_id / 4) AS BIGINT) END AS dest_post_id,
+  CASE WHEN id % 37 = 9 THEN NULL ELSE created_at END AS created_at
+FROM job_items WHERE status = 'completed'""",
     "posts_raw": """
 SELECT page_id,
   concat('https://blog-', CAST(page_id % 4 AS VARCHAR(9)), '.example.com') AS blog_url,
@@ -129,6 +172,11 @@ NEEDS = {
     "post_jobs": ("job_items",),
     "post_map": ("job_items",),
     "featured_of_item": ("image_assets",),
+    "broken_post_jobs": ("job_items", "post_jobs"),
+    "broken_job_items": ("job_items",),
+    "broken_image_assets": ("image_assets",),
+    "broken_internal_links": ("internal_links",),
+    "broken_map": ("job_items",),
 }
 
 

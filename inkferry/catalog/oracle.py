@@ -7,7 +7,6 @@ oracle needs no HTML parser.
 from __future__ import annotations
 
 from inkferry.catalog.fixtures import VIEWS, with_views
-from inkferry.operators import previews
 
 ORACLE: dict[str, str] = {}
 
@@ -63,16 +62,46 @@ OPEN = (
     "open_failures AS (SELECT * FROM tagged f WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM tagged c "
     "WHERE c.blog_url = f.blog_url AND c.post_url = f.post_url AND c.status = 'completed'))"
 )
+MESSAGES = """messages AS (SELECT blog_url, post_url, error_message, MIN(id) AS seen, COALESCE(error_message, '') <> '' AS worded,
+  MIN(MIN(id)) OVER (PARTITION BY blog_url, post_url) AS first_id, bool_or(COALESCE(error_message, '') <> '') OVER (PARTITION BY blog_url, post_url) AS any_worded
+FROM open_failures GROUP BY blog_url, post_url, error_message)"""
 LOG = "job_items post_jobs"
+LINK_ITEM = """concat('{"source_url":', to_json(source_url), ',"target_url":', to_json(target_url),
+  CASE WHEN link_text IS NULL THEN '' ELSE concat(',"link_text":', to_json(link_text)) END,
+  CASE WHEN context IS NULL THEN '' ELSE concat(',"context":', to_json(context)) END, '}')"""
+oracle(
+    "links_document",
+    "internal_links job_items post_jobs",
+    """SELECT 0 AS section, CAST(0 AS BIGINT) AS ord, concat('{"blog_url":"', (SELECT blog_url FROM post_jobs WHERE id = 2),
+  '","exported_at":"2024-06-01T00:00:00.000Z","count":', (SELECT COUNT(*) FROM entries), ',"items":[') AS line
+UNION ALL SELECT 1, id, concat(CASE WHEN id = (SELECT MIN(id) FROM entries) THEN '' ELSE ',' END, item) FROM entries
+UNION ALL SELECT 2, 0, ']}'""",
+    f"entries AS (SELECT l.id, {LINK_ITEM} AS item FROM internal_links l JOIN job_items i ON l.job_item_id = i.id WHERE i.job_id = 2)",
+)
 oracle(
     "failed_posts_report",
     LOG,
-    """SELECT blog_url, MIN(seen) AS ord, CAST(0 AS BIGINT) AS part,
-  concat('{"post_url":', to_json(post_url), ',"error_messages":',
-    COALESCE(CAST(to_json(list(error_message ORDER BY seen) FILTER (WHERE error_message <> '')) AS VARCHAR), '[]'), '}') AS item
-FROM (SELECT blog_url, post_url, error_message, MIN(id) AS seen FROM open_failures GROUP BY ALL) GROUP BY blog_url, post_url""",
+    """SELECT blog_url, post_url, first_id AS ord, CASE WHEN worded THEN row_number() OVER (PARTITION BY blog_url, post_url, worded ORDER BY seen) ELSE 0 END AS n,
+  CASE WHEN worded THEN error_message END AS error_message
+FROM messages WHERE worded OR NOT any_worded""",
     TAGGED,
     OPEN,
+    MESSAGES,
+)
+oracle(
+    "failed_posts_document",
+    LOG,
+    """SELECT 0 AS section, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS n, concat('{"blog_url":"https://blog-1.example.com","exported_at":"2024-06-01T00:00:00.000Z","count":',
+  (SELECT COUNT(*) FROM one_blog WHERE n <= 1), ',"items":[') AS line
+UNION ALL SELECT 1, ord, n, concat(CASE WHEN n > 1 THEN ',' ELSE concat(CASE WHEN ord = (SELECT MIN(ord) FROM one_blog) THEN '' ELSE ']},' END,
+    '{"post_url":', to_json(post_url), ',"error_messages":[') END, CASE WHEN error_message IS NULL THEN '' ELSE CAST(to_json(error_message) AS VARCHAR) END) FROM one_blog
+UNION ALL SELECT 2, 0, 0, CASE WHEN EXISTS (SELECT 1 FROM one_blog) THEN ']}]}' ELSE ']}' END""",
+    TAGGED,
+    OPEN,
+    MESSAGES,
+    """one_blog AS (SELECT post_url, first_id AS ord, CASE WHEN worded THEN row_number() OVER (PARTITION BY post_url, worded ORDER BY seen) ELSE 0 END AS n,
+  CASE WHEN worded THEN error_message END AS error_message
+FROM messages WHERE (worded OR NOT any_worded) AND blog_url = 'https://blog-1.example.com')""",
 )
 oracle(
     "append_items",
@@ -185,6 +214,43 @@ FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin, unn
 
 # --- previews and content ---
 
+# The card that the destination shows, and its text nodes.
+EXPECTED_CARD = (
+    '<figure class="bookmark-card" style="border: 1px solid #e5e7eb; border-radius: 10px; overflow: hidden; background-color: #ffffff; box-shadow: 0 2px 6px rgba(0, 0, 0, 0.05); margin: 12px 0; min-height: 80px; position: relative">\n'
+    '    <a class="bookmark-overlay-link" href="{url}" target="_blank" rel="noopener noreferrer" aria-label="{title}" style="position: absolute; inset: 0; display: block; z-index: 3; text-decoration: none"></a>\n'
+    '    <div class="bookmark-row" style="display: flex; gap: 14px; align-items: stretch; position: relative; z-index: 1">\n'
+    '    <div class="bookmark-featured-image" style="position: relative; background-color: #f3f4f6; overflow: hidden; flex: 0 0 30%">{image}</div>\n'
+    '    <div class="bookmark-content" style="padding: 12px 14px; display: flex; flex-direction: column; justify-content: center; flex: 1">\n'
+    '      <p class="bookmark-title" style="margin: 0 0 4px 0; font-size: 0.95rem; font-weight: 500; color: #111827; line-height: 1.3; overflow-wrap: anywhere">\n'
+    '        {title}\n'
+    '      </p>\n'
+    '      {description}\n'
+    '    </div>\n'
+    '  </div>\n'
+    '  </figure>'
+)
+EXPECTED_IMAGE = (
+    '\n'
+    '        <img src="{image_url}" alt="{title}" style="width: 100%; height: 100%; object-fit: cover; display: block" />\n'
+    '      '
+)
+EXPECTED_DESCRIPTION = '<p class="bookmark-description" style="margin: 4px 0 0 0; font-size: 0.85rem; color: #6b7280; line-height: 1.4; max-height: 3.6em; overflow: hidden">{text}</p>'
+EXPECTED_TEXT = (
+    '\n'
+    '    \n'
+    '    \n'
+    '    {image}\n'
+    '    \n'
+    '      \n'
+    '        {title}\n'
+    '      \n'
+    '      {description}\n'
+    '    \n'
+    '  \n'
+    '  '
+)
+EXPECTED_TEXT_IMAGE = '\n        \n      '
+
 PREVIEWS = """previews AS (SELECT concat('https://site-', s, '.example.org/a') AS url,
   CASE WHEN s % 10 IN (0, 2) THEN concat('OG ', s) WHEN s % 10 = 4 THEN concat('T ', s) ELSE concat('https://site-', s, '.example.org/a') END AS title,
   CASE WHEN s % 10 IN (0, 2) THEN 'D <b>' END AS description,
@@ -192,10 +258,10 @@ PREVIEWS = """previews AS (SELECT concat('https://site-', s, '.example.org/a') A
   CASE WHEN s % 10 = 8 THEN 'page could not be fetched' END AS error
 FROM (SELECT DISTINCT page_id % 50 AS s FROM pages WHERE page_id % 2 = 0))"""
 oracle("preview_metadata", "", "SELECT * FROM previews", PREVIEWS)
-_CARD_IMAGE = filled(previews.CARD_IMAGE, {"image_url": escaped("image"), "title": escaped("title")})
-_CARD_DESCRIPTION = filled(previews.CARD_DESCRIPTION, {"text": escaped("description")})
+_CARD_IMAGE = filled(EXPECTED_IMAGE, {"image_url": escaped("image"), "title": escaped("title")})
+_CARD_DESCRIPTION = filled(EXPECTED_DESCRIPTION, {"text": escaped("description")})
 _CARD = filled(
-    previews.CARD,
+    EXPECTED_CARD,
     {
         "url": escaped("url"),
         "title": escaped("title"),
@@ -204,10 +270,10 @@ _CARD = filled(
     },
 )
 _CONTEXT = filled(
-    previews.CARD_TEXT,
+    EXPECTED_TEXT,
     {
         "title": "title",
-        "image": f"CASE WHEN image IS NULL THEN '' ELSE {quoted(previews.CARD_TEXT_IMAGE)} END",
+        "image": f"CASE WHEN image IS NULL THEN '' ELSE {quoted(EXPECTED_TEXT_IMAGE)} END",
         "description": "COALESCE(description, '')",
     },
 )
@@ -314,7 +380,7 @@ oracle(
     "rollback_plan",
     "job_items image_assets featured_of_item",
     """SELECT job_item_id, CAST(CASE WHEN is_featured THEN 1 ELSE 2 END AS INTEGER) AS step, 'media' AS kind, dest_media_id AS target_id, id AS asset_id FROM uploads
-UNION ALL SELECT id, 3, 'post', dest_post_id, NULL FROM job_items WHERE status = 'failed' AND dest_post_id IS NOT NULL""",
+UNION ALL SELECT id, 3, 'post', id + 300000, NULL FROM job_items WHERE status = 'failed' AND id % 3 = 0""",
     FAILED_UPLOADS,
 )
 oracle(
@@ -380,7 +446,15 @@ oracle(
 )
 oracle("items_by_job", "job_items", "SELECT * FROM job_items WHERE status = 'failed'")
 oracle("links_by_job", "internal_links job_items", "SELECT l.*, i.job_id FROM internal_links l JOIN job_items i ON l.job_item_id = i.id")
-oracle("images_by_item", "image_assets", "SELECT * FROM image_assets")
+oracle("images_by_item", "image_assets", "SELECT * FROM image_assets WHERE job_item_id = 7")
+oracle("items_of_one_job", "job_items", "SELECT * FROM job_items WHERE status = 'failed' AND job_id = 2")
+oracle(
+    "links_of_one_job",
+    "internal_links job_items",
+    "SELECT l.*, i.job_id FROM internal_links l JOIN job_items i ON l.job_item_id = i.id WHERE i.job_id = 2",
+)
+oracle("links_by_item", "internal_links", "SELECT * FROM internal_links WHERE job_item_id = 9")
+oracle("item_by_id", "job_items", "SELECT * FROM job_items WHERE id = 42")
 oracle(
     "map_lookup",
     "job_items post_map",
@@ -419,6 +493,39 @@ FROM job_items i LEFT JOIN latest d ON d.id = i.id AND d.field = 'dest_post_id'
   LEFT JOIN latest e ON e.id = i.id AND e.field = 'error_message'""",
     "latest AS (SELECT * FROM item_patches QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY seq DESC) = 1)",
 )
+NEWEST = "newest AS (SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY seq DESC) = 1)"
+
+
+def patched(field: str, kind: str, otherwise: str) -> str:
+    """The newest patch of a field, or the old value; a patch may set NULL."""
+    found = f"SELECT {{}} FROM newest n WHERE n.id = r.id AND n.field = '{field}'"
+    return (
+        f"CASE WHEN EXISTS ({found.format('1')}) THEN CAST(({found.format('value')}) AS {kind}) "
+        f"ELSE {otherwise} END AS {field}"
+    )
+
+
+oracle(
+    "apply_job_patches",
+    "post_jobs job_patches",
+    f"""SELECT id, blog_url, job_type, {patched('status', 'VARCHAR', 'status')}, created_at, CAST(NULL AS TIMESTAMP) AS completed_at,
+  {patched('error_message', 'VARCHAR', 'NULL')} FROM post_jobs r""",
+    NEWEST.format("job_patches"),
+)
+oracle(
+    "apply_asset_patches",
+    "image_assets asset_patches",
+    f"""SELECT id, job_item_id, image_url, {patched('status', 'VARCHAR', 'status')}, {patched('dest_media_id', 'BIGINT', 'dest_media_id')}, created_at, updated_at,
+  {patched('dest_media_url', 'VARCHAR', 'NULL')}, CAST(NULL AS VARCHAR) AS error_message FROM image_assets r""",
+    NEWEST.format("asset_patches"),
+)
+oracle(
+    "failure_patches",
+    LOG,
+    """SELECT id, CAST(9 AS BIGINT) AS seq, unnest(['status', 'error_message']) AS field, unnest(['failed', concat('broken ', post_url)]) AS value
+FROM tagged r WHERE status = 'running' AND EXISTS (SELECT 1 FROM tagged b WHERE b.blog_url = r.blog_url AND b.post_url = r.post_url AND b.status = 'running' AND b.id % 4 = 0)""",
+    TAGGED,
+)
 oracle(
     "stream_item_state",
     "item_patches",
@@ -434,16 +541,79 @@ UNION ALL SELECT 'internal_links', id FROM internal_links WHERE job_item_id IN (
 UNION ALL SELECT 'post_map', id FROM post_map""",
     "kept_items AS (SELECT id FROM job_items WHERE job_id IN (SELECT id FROM post_jobs WHERE job_type <> 'retry'))",
 )
+NOT_NULL_COLUMNS = {
+    "post_jobs": "blog_url job_type status created_at",
+    "job_items": "job_id post_url status created_at updated_at",
+    "image_assets": "job_item_id image_url status created_at updated_at",
+    "internal_links": "job_item_id source_url target_url created_at",
+    "map": "post_url dest_post_id created_at",
+}
+BREACHES = [
+    f"SELECT '{column} not null' AS rule, '{'post_map' if table == 'map' else table}' AS table_name, CAST(id AS VARCHAR) AS key, "
+    f"CAST(1 AS BIGINT) AS n FROM broken_{table} WHERE {column} IS NULL"
+    for table, columns in NOT_NULL_COLUMNS.items()
+    for column in columns.split()
+]
+BREACHES += [
+    f"SELECT '{column} allowed', '{table}', CAST(id AS VARCHAR), 1 FROM broken_{table} WHERE {column} NOT IN ({allowed})"
+    for table, column, allowed in (
+        ("post_jobs", "job_type", "'full', 'single', 'retry'"),
+        ("post_jobs", "status", "'running', 'completed', 'failed'"),
+        ("job_items", "status", "'running', 'completed', 'failed'"),
+        ("image_assets", "status", "'pending', 'uploaded', 'failed'"),
+    )
+]
+BREACHES += [
+    f"SELECT '{column} refers to {parent}', '{table}', CAST(c.id AS VARCHAR), 1 FROM broken_{table} c "
+    f"WHERE {column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM broken_{parent} p WHERE p.id = c.{column})"
+    for table, column, parent in (
+        ("job_items", "job_id", "post_jobs"),
+        ("image_assets", "job_item_id", "job_items"),
+        ("internal_links", "job_item_id", "job_items"),
+    )
+]
+BREACHES += [
+    f"SELECT '{column} unique', 'post_map', CAST({column} AS VARCHAR), COUNT(*) FROM broken_map WHERE {column} IS NOT NULL GROUP BY {column} HAVING COUNT(*) > 1"
+    for column in ("post_url", "dest_post_id")
+]
 oracle(
     "constraint_violations",
-    "post_jobs image_assets",
-    """SELECT 'status allowed' AS rule, 'image_assets' AS table_name, CAST(id AS VARCHAR) AS key, CAST(1 AS BIGINT) AS n FROM image_assets WHERE image_url LIKE '%9.jpg'
-UNION ALL SELECT 'job_id refers to post_jobs', 'job_items', CAST(id AS VARCHAR), 1 FROM job_items WHERE job_id NOT IN (SELECT id FROM post_jobs WHERE job_type <> 'single')
-UNION ALL SELECT 'post_url unique', 'post_map', post_url, COUNT(*) FROM job_items WHERE status = 'completed' GROUP BY post_url HAVING COUNT(*) > 1""",
+    "broken_post_jobs broken_job_items broken_image_assets broken_internal_links broken_map",
+    "\nUNION ALL ".join(BREACHES),
 )
 
 # --- plans and streams ---
 
+OPEN_POSTS = """open_posts AS (SELECT * FROM discovered d WHERE NOT EXISTS (SELECT 1 FROM crawled c WHERE c.blog_url = d.blog_url AND c.post_url = d.post_url))"""
+oracle(
+    "full_run",
+    "list_pages post_jobs crawl_items",
+    """SELECT blog_url, post_url, n, CAST(floor((n - 1) / 2) AS BIGINT) AS slot, CAST(floor((n - 1) / 2) AS BIGINT) * 1000 AS start_ms, (n - 1) % 3 AS lane
+FROM (SELECT blog_url, post_url, row_number() OVER (PARTITION BY blog_url ORDER BY page_no, pos) AS n FROM open_posts)""",
+    DISCOVERED,
+    CRAWLED,
+    OPEN_POSTS,
+)
+oracle(
+    "full_run_summary",
+    "list_pages post_jobs job_items crawl_items",
+    """SELECT s.* EXCLUDE (skipped), CAST(COALESCE(k.n, 0) AS BIGINT) AS skipped FROM summary s LEFT JOIN
+  (SELECT r.id, (SELECT COUNT(*) FROM discovered d WHERE d.blog_url = r.blog_url) - (SELECT COUNT(*) FROM open_posts o WHERE o.blog_url = r.blog_url) AS n
+   FROM (SELECT blog_url, MAX(id) AS id FROM post_jobs WHERE status = 'running' AND job_type = 'full' GROUP BY blog_url) r) k ON k.id = s.job_id""",
+    DISCOVERED,
+    CRAWLED,
+    OPEN_POSTS,
+    SUMMARY,
+)
+oracle(
+    "retry_run",
+    LOG,
+    """SELECT blog_url, post_url, n, CAST(floor((n - 1) / 2) AS BIGINT) AS slot, CAST(floor((n - 1) / 2) AS BIGINT) * 1000 AS start_ms, (n - 1) % 3 AS lane
+FROM (SELECT blog_url, post_url, row_number() OVER (PARTITION BY blog_url ORDER BY post_url) AS n FROM states WHERE done = 0 AND bad > 0)""",
+    TAGGED,
+    STATES,
+)
+
 oracle(
     "dispatch_plan",
     LOG,

@@ -12,7 +12,7 @@ from inkferry.config import MigrationConfig
 from inkferry.functions import text
 from inkferry.operators import content, extract, history, ledger, media, previews, terms
 from inkferry.operators.skew import checkpoint_dir, staged
-from inkferry.plans import dispatch
+from inkferry.plans import dispatch, runs
 from inkferry.sources import exports, tables
 from inkferry.streaming import streams
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 CFG = MigrationConfig()
 LIST_CFG = MigrationConfig(list_link_selector="nav a")
+RUN_CFG = MigrationConfig(list_link_selector="nav a", rate_cap=2, rate_interval_ms=1000, workers=3)
 KEEP = ("page_id", "blog_url", "url")
 CLOSED_AT = "2024-06-01 00:00:00"
 
@@ -59,7 +60,21 @@ def export_links(t: Tables) -> DataFrame:
 @query
 def failed_posts_report(t: Tables) -> DataFrame:
     report = history.failed_posts_report(t.view("job_items"), t.view("post_jobs"))
-    return exports.failed_post_items(report)
+    return report.select("blog_url", "post_url", F.col("first_id").alias("ord"), "n", "error_message")
+
+
+@query
+def failed_posts_document(t: Tables) -> DataFrame:
+    now = F.lit(CLOSED_AT).cast("timestamp")
+    return exports.failed_posts_document(
+        t.view("job_items"), t.view("post_jobs"), "https://blog-1.example.com", now
+    )
+
+
+@query
+def links_document(t: Tables) -> DataFrame:
+    now = F.lit(CLOSED_AT).cast("timestamp")
+    return exports.links_document(t.view("internal_links"), t.view("job_items"), t.view("post_jobs"), 2, now)
 
 
 @query
@@ -271,7 +286,11 @@ def media_plan_deduped(t: Tables) -> DataFrame:
 
 @query
 def rollback_plan(t: Tables) -> DataFrame:
-    return media.rollback_plan(t.view("job_items"), t.view("image_assets"), t.view("featured_of_item"))
+    # some posts were created before their item failed
+    items = t.view("job_items").withColumn(
+        "dest_post_id", F.expr("CASE WHEN status = 'failed' AND id % 3 = 0 THEN id + 300000 ELSE dest_post_id END")
+    )
+    return media.rollback_plan(items, t.view("image_assets"), t.view("featured_of_item"))
 
 
 @query
@@ -362,7 +381,27 @@ def links_by_job(t: Tables) -> DataFrame:
 
 @query
 def images_by_item(t: Tables) -> DataFrame:
-    return history.images_by_item(t.view("image_assets"))
+    return history.images_by_item(t.view("image_assets"), item_id=7)
+
+
+@query
+def items_of_one_job(t: Tables) -> DataFrame:
+    return history.items_by_job(t.view("job_items"), job_id=2, status="failed")
+
+
+@query
+def links_of_one_job(t: Tables) -> DataFrame:
+    return history.links_by_job(t.view("internal_links"), t.view("job_items"), job_id=2)
+
+
+@query
+def links_by_item(t: Tables) -> DataFrame:
+    return history.links_by_item(t.view("internal_links"), 9)
+
+
+@query
+def item_by_id(t: Tables) -> DataFrame:
+    return history.by_id(t.view("job_items"), 42)
 
 
 @query
@@ -405,6 +444,31 @@ def apply_item_patches(t: Tables) -> DataFrame:
     return ledger.apply_patches("job_items", t.view("job_items"), t.view("item_patches"))
 
 
+@query
+def apply_job_patches(t: Tables) -> DataFrame:
+    jobs = t.view("post_jobs").withColumns(
+        {"completed_at": F.lit(None).cast("timestamp_ntz"), "error_message": F.lit(None).cast("string")}
+    )
+    return ledger.apply_patches("post_jobs", jobs, t.view("job_patches"))
+
+
+@query
+def apply_asset_patches(t: Tables) -> DataFrame:
+    assets = t.view("image_assets").withColumns(
+        {"dest_media_url": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")}
+    )
+    return ledger.apply_patches("image_assets", assets, t.view("asset_patches"))
+
+
+@query
+def failure_patches(t: Tables) -> DataFrame:
+    errors = t.view("job_items").filter("status = 'running' AND id % 4 = 0").join(
+        t.view("post_jobs").select(F.col("id").alias("job_id"), "blog_url"), "job_id"
+    )
+    named = errors.select("blog_url", F.col("post_url").alias("url"), F.concat(F.lit("broken "), "post_url").alias("message"))
+    return ledger.failure_patches(named, *_log(t), F.lit(9))
+
+
 @query
 def cascade_delete(t: Tables) -> DataFrame:
     tables_ = _history(t)
@@ -421,15 +485,36 @@ def cascade_delete(t: Tables) -> DataFrame:
 def constraint_violations(t: Tables) -> DataFrame:
     found = _history(t)
     # the map of all completions repeats addresses; items whose job ran too early have none
-    found["post_map"] = found["job_items"].filter("status = 'completed'").select("id", "post_url", "dest_post_id", "created_at")
-    found["post_jobs"] = found["post_jobs"].filter("job_type <> 'single'")
-    found["image_assets"] = found["image_assets"].withColumn("status", F.expr("CASE WHEN image_url LIKE '%9.jpg' THEN 'lost' ELSE status END"))
+    found["post_map"] = t.view("broken_map")
+    for name in ("post_jobs", "job_items", "image_assets", "internal_links"):
+        found[name] = t.view(f"broken_{name}")
     return ledger.constraint_violations(found)
 
 
 # --- plans and streams ---
 
 
+def _full_run(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return runs.plan_full_run(t.view("list_pages"), t.view("crawl_items"), t.view("post_jobs"), RUN_CFG)
+
+
+@query
+def full_run(t: Tables) -> DataFrame:
+    return _full_run(t)[0]
+
+
+@query
+def full_run_summary(t: Tables) -> DataFrame:
+    jobs = t.view("post_jobs")
+    skipped = history.skipped_of_jobs(_full_run(t)[1], jobs)
+    return history.job_summary(jobs, t.view("job_items"), skipped)
+
+
+@query
+def retry_run(t: Tables) -> DataFrame:
+    return runs.plan_retry_run(*_log(t), RUN_CFG)
+
+
 @query
 def dispatch_plan(t: Tables) -> DataFrame:
     due = history.retry_urls(*_log(t))

@@ -9,6 +9,7 @@ from inkferry.operators.dom import compile_selector
 FIRST_IS_PARENT = "first-is-parent"
 LAST_IS_PARENT = "last-is-parent"
 POST_STATUSES = ("draft", "publish", "pending", "private")
+LONGEST_BOOKMARK_SELECTOR = 200
 
 
 class ConfigurationError(ValueError):
@@ -17,6 +18,7 @@ class ConfigurationError(ValueError):
 
 @dataclass(frozen=True)
 class MigrationConfig:
+    # The source platform's markup and the default limits.
     title_selector: str = 'meta[name="title"]'
     publish_date_selector: str = 'meta[property="article:published_time"]'
     modified_date_selector: str = 'meta[property="article:modified_time"]'
@@ -43,8 +45,12 @@ class MigrationConfig:
         for f in fields(self):
             if f.name.endswith("_selector"):
                 value = getattr(self, f.name)
-                if not value or len(value) > 200:
-                    raise ConfigurationError(f"{f.name} must have 1 to 200 characters")
+                if not value:
+                    raise ConfigurationError(f"{f.name} must not be empty")
+                if f.name == "bookmark_selector" and len(value) > LONGEST_BOOKMARK_SELECTOR:
+                    raise ConfigurationError(
+                        f"{f.name} must have at most {LONGEST_BOOKMARK_SELECTOR} characters"
+                    )
                 compile_selector(value)
         # enumerated options are trimmed before they are checked
         for name, allowed in (

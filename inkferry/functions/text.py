@@ -22,6 +22,14 @@ MEDIA_EXTENSIONS = {
     "image/tiff": "tiff",
 }
 FILE_PREFIX_LENGTH = 15
+_DAYS = ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "M/d/yyyy")
+_CLOCKS = ("[ H:mm[:ss]]", " h:mm[:ss] a", " H:mm:ss 'GMT'xx")
+DATE_FORMATS = (
+    "yyyy/M/d[ H:mm[:ss]]",
+    "yyyy-M-d[ H:mm[:ss]]",
+    *[day + clock for day in _DAYS for clock in _CLOCKS],
+    "d MMM yyyy HH:mm:ss z",
+)
 
 
 def js_trim(text: Column) -> Column:
@@ -108,15 +116,22 @@ def parse_instant(text: Column) -> Column:
 
     A bare time of day is no date, although a cast would place it on the current day.
     """
-    formats = ("yyyy/M/d[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "MMM d, yyyy[ H:mm:ss]", "MMMM d, yyyy[ H:mm:ss]")
     plain_date = text.rlike(r"^\d{4}-\d{2}-\d{2}$")  # means midnight UTC in any session
     readings = [
         F.when(plain_date, F.try_to_timestamp(F.concat(text, F.lit("T00:00:00Z"))))
         .when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text))
     ]
-    readings += [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    mail_date = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
-    readings.append(F.try_to_timestamp(mail_date, F.lit("d MMM yyyy HH:mm:ss z")))
+    # a leading day of the week and a trailing remark in brackets say nothing new
+    bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},? (?=[A-Z0-9])|\s*\([^()]*\)$", "")
+    bare = F.when(text.rlike(r"^(?i)(mon|tue|wed|thu|fri|sat|sun)"), bare).otherwise(text)
+    # a leading day of the week and a trailing remark in brackets say nothing new
+    named_day = text.rlike(r"^(?i)(mon|tue|wed|thu|fri|sat|sun)")
+    bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},? (?=[A-Z0-9])|\s*\([^()]*\)$", "")
+    bare = F.when(named_day, bare).otherwise(text)
+    tried = F.transform(
+        F.array(*[F.lit(f) for f in DATE_FORMATS]), lambda f: F.try_to_timestamp(bare, f)
+    )
+    readings.append(F.get(F.filter(tried, lambda t: t.isNotNull()), F.lit(0)))
     return F.coalesce(*readings)
 
 

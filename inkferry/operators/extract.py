@@ -27,6 +27,7 @@ from inkferry.operators.skew import number_within, skew_join, staged
 MAX_CATEGORIES = 2
 PAGES_PER_BLOCK = 1000
 INVALID_DATE_MESSAGE = "Invalid time value"
+INVALID_ADDRESS_MESSAGE = "Invalid URL"
 
 _TEXT = pa.string()
 _IMAGE = pa.struct([("pos", pa.int32()), ("url", _TEXT), ("alt_text", _TEXT)])
@@ -221,12 +222,34 @@ def parse_posts(
     return parsed if pages.isStreaming else parsed.withColumn("row_id", F.monotonically_increasing_id())
 
 
+def _problem() -> Column:
+    """Stage and message of what stops a post first, NULL if nothing does."""
+
+    def problem(stage: str, message: Column | str) -> Column:
+        text = F.lit(message) if isinstance(message, str) else message
+        return F.struct(F.lit(stage).alias("stage"), text.alias("message"))
+
+    address = F.col("featured_image_url")
+    return (
+        F.when(F.col("parse_error").isNotNull(), problem("parse", F.col("parse_error")))
+        .when(F.col("publish_date_invalid"), problem("publish date", INVALID_DATE_MESSAGE))
+        .when(
+            address.isNotNull() & url_host(address).isNull(),
+            problem("featured image", INVALID_ADDRESS_MESSAGE),
+        )
+    )
+
+
+def is_refused() -> Column:
+    return _problem().isNotNull()
+
+
 def post_errors(posts: DataFrame) -> DataFrame:
     """Posts that cannot go on, with the stage and message that a failed item records."""
-    message = F.coalesce("parse_error", F.when(F.col("publish_date_invalid"), INVALID_DATE_MESSAGE))
-    stage = F.when(F.col("parse_error").isNotNull(), "parse").otherwise("publish date")
-    return posts.select("blog_url", "url", stage.alias("stage"), message.alias("message")).filter(
-        F.col("message").isNotNull()
+    return (
+        posts.select("blog_url", "url", _problem().alias("problem"))
+        .filter("problem IS NOT NULL")
+        .select("blog_url", "url", "problem.stage", "problem.message")
     )
 
 

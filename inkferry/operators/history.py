@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from inkferry.operators.skew import number_within, skew_join, staged
 
-MESSAGES_PER_ROW = 1000
 BLOCK_ROWS = 100_000
 JOB_FAILED_MESSAGE = "Some items failed to migrate"
 
@@ -106,10 +105,10 @@ def unresolved_failures(
 def failed_posts_report(
     items: DataFrame, jobs: DataFrame, blog_url: str | None = None
 ) -> DataFrame:
-    """Per unresolved post its distinct non-empty messages in the order they first came up.
+    """Per unresolved post its distinct non-empty messages, numbered in the order they first came up.
 
-    `first_id` is the post's first failure. A post with more than MESSAGES_PER_ROW distinct messages
-    continues on further rows, counted by `part`.
+    One row per message, so that no row or task holds all messages of a post; a post without any has
+    one row with `n` 0 and no message. `first_id` is the post's first failure.
     """
     post = ["blog_url", "post_url"]
     failures = unresolved_failures(items, jobs, blog_url)
@@ -121,16 +120,23 @@ def failed_posts_report(
     numbered = number_within(
         worded, post, ["seen_id"], "n", block=F.floor(F.col("seen_id") / BLOCK_ROWS)
     )
-    parts = (
-        numbered.groupBy(*post, F.floor((F.col("n") - 1) / MESSAGES_PER_ROW).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("n", "error_message"))).alias("found"))
-        .select(*post, "part", F.col("found.error_message").alias("error_messages"))
+    with_first = skew_join(numbered, first, post, "inner", spread_by="seen_id")
+    wordless = first.join(worded.select(*post).distinct(), post, "left_anti")
+    return with_first.select(*post, "first_id", "n", "error_message").unionByName(
+        wordless.select(
+            *post,
+            "first_id",
+            F.lit(0).cast("bigint").alias("n"),
+            F.lit(None).cast("string").alias("error_message"),
+        )
     )
-    return first.join(parts, post, "left").select(
-        *post,
-        "first_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("error_messages", F.array().cast("array<string>")).alias("error_messages"),
+
+
+def skipped_of_jobs(skipped: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Skipped posts of a blog, from planning, as those of its newest running full job."""
+    running = latest_running_job(jobs).filter("job_type = 'full'")
+    return skipped.join(running.select("blog_url", F.col("id").alias("job_id")), "blog_url").select(
+        "job_id", "skipped"
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkferry import schemas
-from inkferry.operators.skew import durable, number_rows, skew_join
+from inkferry.operators.history import items_of_blogs
+from inkferry.operators.skew import durable, number_rows, skew_join, staged
 
 # The fields a patch may set, per table.
 PATCHABLE = {
@@ -119,50 +120,78 @@ def cascade_delete(history: dict[str, DataFrame], job_ids: DataFrame) -> dict[st
     return kept
 
 
-def constraint_violations(history: dict[str, DataFrame]) -> DataFrame:
-    """All breaches of NOT NULL, allowed values, foreign keys and uniqueness, as rows.
+def failure_patches(errors: DataFrame, items: DataFrame, jobs: DataFrame, seq: Column) -> DataFrame:
+    """Errors (blog_url, url, message) as patches that set the post's running items to failed."""
+    running = items_of_blogs(items.filter("status = 'running'"), jobs).select(
+        "id", "blog_url", F.col("post_url").alias("url")
+    )
+    broken = running.join(errors.groupBy("blog_url", "url").agg(F.min("message").alias("message")), ["blog_url", "url"])
+    set_ = F.explode(
+        F.array(
+            F.struct(F.lit("status").alias("field"), F.lit("failed").alias("value")),
+            F.struct(F.lit("error_message").alias("field"), F.col("message").alias("value")),
+        )
+    )
+    return broken.select("id", seq.cast("bigint").alias("seq"), set_.alias("p")).select("id", "seq", "p.*")
 
-    `key` is the row's id, or the repeated value for a broken uniqueness; `n` counts its rows.
-    """
 
-    def found(rule: str, table: str, rows: DataFrame, key: str, n: Column) -> DataFrame:
-        return rows.select(
-            F.lit(rule).alias("rule"),
-            F.lit(table).alias("table_name"),
-            F.col(key).cast("string").alias("key"),
-            n.cast("bigint").alias("n"),
-        )
+def _facts(table: str, rows: DataFrame, history: dict[str, DataFrame]) -> DataFrame:
+    """What one scan of a table says: broken rules, its ids, its references and its unique values."""
 
-    one = F.lit(1)
-    breaches = []
-    for table, columns in schemas.NOT_NULL.items():
-        for column in columns:
-            if table in history and column in history[table].columns:
-                nulls = history[table].filter(F.col(column).isNull())
-                breaches.append(found(f"{column} not null", table, nulls, "id", one))
-    for table, column, allowed in schemas.CHECKS:
-        if table in history:
-            odd = history[table].filter(~F.col(column).isin(*allowed))
-            breaches.append(found(f"{column} allowed", table, odd, "id", one))
+    def fact(kind: str, name: str, value: Column, if_: Column) -> Column:
+        found = F.struct(
+            F.lit(kind).alias("kind"), F.lit(name).alias("name"), value.cast("string").alias("value")
+        )
+        return F.when(if_, found)
+
+    key, facts = F.col("id"), []
+    for column in schemas.NOT_NULL.get(table, ()):
+        if column in rows.columns:
+            facts.append(fact("broken", f"{column} not null", key, F.col(column).isNull()))
+    for owner, column, allowed in schemas.CHECKS:
+        if owner == table and column in rows.columns:
+            facts.append(fact("broken", f"{column} allowed", key, ~F.col(column).isin(*allowed)))
     for child, column, parent in schemas.FOREIGN_KEYS:
-        if child in history and parent in history:
-            parents = history[parent].select(F.col("id").alias(column))
-            orphans = skew_join(
-                history[child].select("id", column).filter(F.col(column).isNotNull()),
-                parents,
-                [column],
-                "left_anti",
-                spread_by="id",
-            )
-            breaches.append(found(f"{column} refers to {parent}", child, orphans, "id", one))
-    for table, column in schemas.UNIQUE:
-        if table in history:
-            repeated = (
-                history[table]
-                .filter(F.col(column).isNotNull())
-                .groupBy(column)
-                .agg(F.count(F.lit(1)).alias("_n"))
-                .filter("_n > 1")
-            )
-            breaches.append(found(f"{column} unique", table, repeated, column, F.col("_n")))
-    return reduce(DataFrame.unionByName, breaches)
+        if child == table and parent in history:
+            name = f"{column} refers to {parent}"
+            facts.append(fact("reference", name, F.col(column), F.col(column).isNotNull()))
+        if parent == table and child in history:
+            facts.append(fact("own", f"{column} refers to {parent}", key, key.isNotNull()))
+    for owner, column in schemas.UNIQUE:
+        if owner == table:
+            facts.append(fact("unique", f"{column} unique", F.col(column), F.col(column).isNotNull()))
+    found = F.filter(F.array(*facts), lambda f: f.isNotNull())
+    return rows.select(F.lit(table).alias("table_name"), "id", F.explode(found).alias("f")).select(
+        "table_name", "id", "f.*"
+    )
+
+
+def constraint_violations(history: dict[str, DataFrame]) -> DataFrame:
+    """All breaches of NOT NULL, allowed values, foreign keys and uniqueness, as rows.
+
+    `key` is the row's id, or the repeated value for a broken uniqueness; `n` counts its rows. Every
+    table is scanned once; what the rules need of it is staged as narrow rows.
+    """
+    facts = staged(
+        reduce(DataFrame.unionByName, [_facts(t, rows, history) for t, rows in history.items()]), "facts"
+    )
+    breach = ["rule", "table_name", "key", "n"]
+    broken = facts.filter("kind = 'broken'").select(
+        F.col("name").alias("rule"), "table_name", F.col("value").alias("key"), F.lit(1).cast("bigint").alias("n")
+    )
+    owned = facts.filter("kind = 'own'").select("name", "value").distinct()
+    orphans = skew_join(
+        facts.filter("kind = 'reference'"), owned, ["name", "value"], "left_anti", spread_by="id"
+    ).select(
+        F.col("name").alias("rule"),
+        "table_name",
+        F.col("id").cast("string").alias("key"),
+        F.lit(1).cast("bigint").alias("n"),
+    )
+    repeated = (
+        facts.filter("kind = 'unique'")
+        .groupBy(F.col("name").alias("rule"), "table_name", F.col("value").alias("key"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+    )
+    return broken.select(breach).unionByName(orphans.select(breach)).unionByName(repeated.select(breach))

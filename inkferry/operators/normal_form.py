@@ -39,7 +39,7 @@ RENAMED = {
 }
 VERBATIM = frozenset(("sup", "sub"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-DROPPED = frozenset("script style noscript template title head meta link noembed noframes xmp textarea".split())
+DROPPED = frozenset("script style noscript template title head meta link".split())
 BLOCKS = (CLOSES_P | frozenset("body html iframe video audio canvas noscript output tfoot thead tbody tr td th caption".split()))
 _SPACES = re.compile(r"[ \t\r\n\f]+")
 _URI_SAFE = ";/?:@&=+$,#-_.!~*'()%"
@@ -201,7 +201,7 @@ class NormalForm:
             out = Node(cell.tag)
             out.children = [cell.text().strip(WHITE)]
             image = next((e for e in cell.elements() if e.tag == "img"), None)
-            if image is not None and "src" in image.attrs:
+            if image is not None and image.attrs.get("src"):
                 attrs = {"src": image.attrs["src"].strip(WHITE)}
                 attrs.update({k: image.attrs[k] for k in ("width", "height") if image.attrs.get(k)})
                 out.children.append(Node("img", attrs))
@@ -341,15 +341,16 @@ class NormalForm:
             put(f"</{tag}>")
 
     def _write_image(self, image: Node) -> None:
-        address = image.attrs["src"]
-        self._buffer.append('<img src="')
+        address = image.attrs.get("src")
+        self._buffer.append("<img")
         if address and self._recording:
+            self._buffer.append(' src="')
             self._flush()
             self.segments.append({"kind": "image", "html": escape_attr(address), "key": address})
             self.images.append({"pos": len(self.images), "url": address, "alt_text": image.attrs.get("alt")})
-        else:
-            self._buffer.append(escape_attr(address))
-        self._buffer.append('"')
+            self._buffer.append('"')
+        elif address is not None:
+            self._buffer.append(f' src="{escape_attr(address)}"')
         for name, value in image.attrs.items():
             if name != "src":
                 self._buffer.append(f' {name}="{escape_attr(value)}"')

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkferry.functions.text import iso_utc
-from inkferry.operators.extract import INVALID_DATE_MESSAGE
+from inkferry.operators.extract import is_refused, post_errors
 from inkferry.operators.ledger import assign_ids
 from inkferry.operators.lookup import attach_map
 from inkferry.operators.skew import skew_join, staged
@@ -88,9 +88,8 @@ def build_payloads(
         F.transform("tags", lambda t: F.concat(F.lit("tag:"), t["name"])),
     )
     table = terms.select(F.concat_ws(":", "taxonomy", "name").alias("key"), F.col("id").alias("value"))
-    invalid = posts.filter(F.col("publish_date").isNull())
-    errors = invalid.select("url", F.lit("publish date").alias("stage"), F.lit(INVALID_DATE_MESSAGE).alias("message"))
-    ready = attach_map(posts.filter(F.col("publish_date").isNotNull()), list(id_columns), keys, table, "_ids")
+    errors = post_errors(posts).drop("blog_url")
+    ready = attach_map(posts.filter(~is_refused()), list(id_columns), keys, table, "_ids")
     if featured_media is not None:
         one_each = featured_media.groupBy("url").agg(F.max("featured_media").alias("featured_media"))
         ready = ready.join(one_each, "url", "left")

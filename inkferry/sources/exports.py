@@ -49,31 +49,45 @@ def link_items(
 
 
 def failed_post_items(report: DataFrame) -> DataFrame:
-    """Every row of the failed-posts report as its JSON entry."""
-    entry = F.to_json(F.struct("post_url", "error_messages"))
-    return report.select("blog_url", F.col("first_id").alias("ord"), "part", entry.alias("item"))
+    """The failed-posts report as pieces of JSON, one per message.
+
+    A post's first piece opens its entry, and the next post's first piece closes it, so an entry of any
+    length is written by many tasks.
+    """
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("error_message").alias("m"))), r"(?s)^\{\"m\":(.*)\}$", 1)
+    address = F.regexp_extract(F.to_json(F.struct(F.col("post_url").alias("u"))), r"(?s)^\{\"u\":(.*)\}$", 1)
+    opening = F.concat(F.lit('{"post_url":'), address, F.lit(',"error_messages":['))
+    item = F.when(F.col("n") <= 1, F.concat(opening, quoted)).otherwise(F.concat(F.lit(","), quoted))
+    return report.select("blog_url", F.col("first_id").alias("ord"), "n", item.alias("item"))
 
 
 def document_lines(
-    items: DataFrame, order: list[str], count: Column, blog_url: Column, exported_at: Column
+    items: DataFrame, order: list[str], count: Column, blog_url: Column, exported_at: Column, parted: bool = False
 ) -> DataFrame:
-    """The lines of one JSON document: a head line, one line per item, a closing line."""
+    """The lines of one JSON document: a head line, one line per item, a closing line.
+
+    With `parted`, the last column of `order` numbers the pieces of an item: the first piece (0 or 1)
+    closes the item before, and the closing line the last one.
+    """
     totals = items.agg(F.min(F.struct(*order)).alias("first"), count.alias("count"))
     when = F.date_format(exported_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     head = F.to_json(
         F.struct(blog_url.alias("blog_url"), when.alias("exported_at"), F.col("count"))
     )
     place = [F.lit(0).cast("bigint").alias(c) for c in order]
-    comma = F.when(F.struct(*order) == totals.select("first").scalar(), "").otherwise(",")
+    between = F.when(F.struct(*order) == totals.select("first").scalar(), "").otherwise("]}," if parted else ",")
+    end = F.when(F.col("count") > 0, "]}]}").otherwise("]}") if parted else F.lit("]}")
+    if parted:
+        between = F.when(F.col(order[-1]) <= 1, between).otherwise("")
     opening = totals.select(
         F.lit(0).alias("section"), *place, F.regexp_replace(head, r"\}$", ',"items":[').alias("line")
     )
     body = items.select(
         F.lit(1).alias("section"),
         *[F.col(c).cast("bigint").alias(c) for c in order],
-        F.concat(comma, "item").alias("line"),
+        F.concat(between, "item").alias("line"),
     )
-    closing = totals.select(F.lit(2).alias("section"), *place, F.lit("]}").alias("line"))
+    closing = totals.select(F.lit(2).alias("section"), *place, end.alias("line"))
     return opening.unionByName(body).unionByName(closing)
 
 
@@ -82,22 +96,29 @@ def write_document(lines: DataFrame, order: list[str], path: str) -> None:
     lines.repartitionByRange(*sort).sortWithinPartitions(*sort).select("line").write.text(path)
 
 
+def links_document(
+    links: DataFrame, items: DataFrame, jobs: DataFrame, job_id: int, now: Column
+) -> DataFrame:
+    """Lines of the link report of one job; a job that does not exist reports the blog as unknown."""
+    found = link_items(links, items, jobs, job_id)
+    blog = jobs.filter(F.col("id") == job_id).agg(F.max("blog_url")).scalar()
+    return document_lines(found, ["ord"], F.count(F.lit(1)), F.coalesce(blog, F.lit(UNKNOWN_BLOG)), now)
+
+
+def failed_posts_document(items: DataFrame, jobs: DataFrame, blog_url: str, now: Column) -> DataFrame:
+    """Lines of the failed-posts report of one blog; `count` is the number of posts."""
+    report = failed_post_items(failed_posts_report(items, jobs, blog_url))
+    count = F.count_if(F.col("n") <= 1)
+    return document_lines(report, ["ord", "n"], count, F.lit(blog_url), now, parted=True)
+
+
 def export_links(
     links: DataFrame, items: DataFrame, jobs: DataFrame, job_id: int, path: str, now: Column
 ) -> None:
-    """The link report of one job; a job that does not exist reports the blog as unknown."""
-    found = link_items(links, items, jobs, job_id)
-    blog = jobs.filter(F.col("id") == job_id).agg(F.max("blog_url")).scalar()
-    blog = F.coalesce(blog, F.lit(UNKNOWN_BLOG))
-    lines = document_lines(found, ["ord"], F.count(F.lit(1)), blog, now)
-    write_document(lines, ["ord"], path)
+    write_document(links_document(links, items, jobs, job_id, now), ["ord"], path)
 
 
 def export_failed_posts(
     items: DataFrame, jobs: DataFrame, path: str, blog_url: str, now: Column
 ) -> None:
-    """The failed-posts report of one blog; `count` is the number of posts."""
-    report = failed_post_items(failed_posts_report(items, jobs, blog_url))
-    count = F.count_if(F.col("part") == 0)
-    lines = document_lines(report, ["ord", "part"], count, F.lit(blog_url), now)
-    write_document(lines, ["ord", "part"], path)
+    write_document(failed_posts_document(items, jobs, blog_url, now), ["ord", "n"], path)
