@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkferry import schemas
+from inkferry.operators.components import components
 from inkferry.operators.history import items_of_blogs
-from inkferry.operators.skew import durable, number_rows, skew_join, staged
+from inkferry.operators.skew import checkpoint_dir, number_rows, skew_join, staged
 
 # The fields a patch may set, per table.
 PATCHABLE = {
@@ -17,6 +20,8 @@ PATCHABLE = {
     "job_items": ("status", "dest_post_id", "error_message", "updated_at"),
     "image_assets": ("status", "dest_media_id", "dest_media_url", "error_message", "updated_at"),
 }
+URL_TAKEN, ID_TAKEN = "post_url already mapped", "dest_post_id already mapped"
+GROUP_ROWS = 100_000  # of clashing map rows that one task inserts in order
 INITIAL_STATUS = {"post_jobs": "running", "job_items": "running", "image_assets": "pending"}
 
 
@@ -42,40 +47,90 @@ def new_history_rows(table: str, rows: DataFrame, now: Column) -> DataFrame:
     return rows.select(*columns)
 
 
-def extend_post_map(post_map: DataFrame, new_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split new map rows into accepted and rejected ones, as if inserted one by one by id.
+def _free_of(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """The rows with the `reason` that rows already taken give against them, NULL if none."""
+    by_url = taken.select("post_url").distinct().withColumn("_url_taken", F.lit(True))
+    by_id = taken.select("dest_post_id").distinct().withColumn("_id_taken", F.lit(True))
+    checked = skew_join(rows, by_url, ["post_url"], "left", spread_by="id")
+    checked = skew_join(checked, by_id, ["dest_post_id"], "left", spread_by="id")
+    reason = F.when(F.col("_url_taken"), URL_TAKEN).when(F.col("_id_taken"), ID_TAKEN)
+    return checked.withColumn("reason", reason).drop("_url_taken", "_id_taken")
+
+
+def _settle_groups(rows: DataFrame) -> DataFrame:
+    """Rows (id, post_url, dest_post_id, group) with their `reason`, each group inserted row by row."""
+
+    def insert(group: pa.Table) -> pa.Table:
+        urls, ids, reasons = set(), set(), []
+        group = group.sort_by("id")
+        for row in group.to_pylist():
+            url, dest = row["post_url"], row["dest_post_id"]
+            reason = URL_TAKEN if url in urls else ID_TAKEN if dest in ids else None
+            if reason is None:
+                urls.add(url)
+                ids.add(dest)
+            reasons.append(reason)
+        return group.drop_columns(["group"]).append_column("reason", pa.array(reasons, pa.string()))
+
+    return rows.groupBy("group").applyInArrow(
+        insert, "id bigint, post_url string, dest_post_id bigint, reason string"
+    )
+
 
-    Both the address and the destination id are unique, and a rejected row blocks nothing. A row
-    that comes first for both its keys is certain; certain rows reject those they clash with. This
-    repeats until no row is open, each round on what the round before left over. Rows that clash
-    with the table so far are settled before the first round.
+def _peel(open_rows: DataFrame) -> DataFrame:
+    """The same for groups too large for one task, by rounds over all of them.
+
+    A row that comes first for both its keys is certain; certain rows reject those they clash with;
+    each round works on what the round before left over. The results of the rounds lie in one folder.
     """
-    open_rows = new_rows.select("id", "post_url", "dest_post_id")
-    taken = post_map.select("post_url", "dest_post_id")
-    accepted, rejected = [], []
-    clash_url, clash_id = "post_url already mapped", "dest_post_id already mapped"
-    while True:
-        by_url = taken.select("post_url").distinct().withColumn("_url_taken", F.lit(True))
-        by_id = taken.select("dest_post_id").distinct().withColumn("_id_taken", F.lit(True))
-        checked = skew_join(open_rows, by_url, ["post_url"], "left", spread_by="id")
-        checked = skew_join(checked, by_id, ["dest_post_id"], "left", spread_by="id")
-        reason = F.when(F.col("_url_taken"), clash_url).when(F.col("_id_taken"), clash_id)
-        checked = durable(checked.withColumn("reason", reason).drop("_url_taken", "_id_taken"))
-        rejected.append(checked.filter("reason IS NOT NULL"))
-        open_rows = checked.filter("reason IS NULL").drop("reason")
-        if open_rows.isEmpty():
-            break
+    spark = open_rows.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged/settled-{uuid.uuid4().hex}"
+    columns = ["id", "post_url", "dest_post_id"]
+    while not open_rows.isEmpty():
         first_url = open_rows.groupBy("post_url").agg(F.min("id").alias("id"))
         first_id = open_rows.groupBy("dest_post_id").agg(F.min("id").alias("id"))
-        certain = durable(first_url.join(first_id, "id"))
-        accepted.append(certain)
-        taken = certain.select("post_url", "dest_post_id")
-        open_rows = open_rows.join(certain.select("id"), "id", "left_anti")
-    none_accepted = new_rows.select("id", "post_url", "dest_post_id").filter(F.lit(False))
+        certain = staged(first_url.join(first_id, "id"), "certain")
+        others = open_rows.join(certain.select("id"), "id", "left_anti")
+        checked = staged(_free_of(others, certain), "checked")
+        sure = certain.select(*columns, F.lit(None).cast("string").alias("reason"))
+        out = checked.filter("reason IS NOT NULL").select(*columns, "reason")
+        sure.unionByName(out).write.mode("append").parquet(path)
+        open_rows = checked.filter("reason IS NULL").select(*columns)
+    schema = "id BIGINT, post_url STRING, dest_post_id BIGINT, reason STRING"
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def extend_post_map(post_map: DataFrame, new_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split new map rows into accepted and rejected ones, as if inserted one by one by id.
+
+    Both the address and the destination id are unique, and a rejected row blocks nothing. Rows that
+    clash with the table so far are rejected, rows that clash with nothing accepted. What is left falls
+    into groups that share addresses or ids; each group is inserted in order by one task, however long
+    its chains, and only groups of more than GROUP_ROWS rows take rounds over the whole table.
+    """
     columns = ["id", "post_url", "dest_post_id"]
-    all_accepted = reduce(DataFrame.unionByName, accepted, none_accepted).select(*columns)
-    all_rejected = reduce(DataFrame.unionByName, rejected).select(*columns, "reason")
-    return all_accepted, all_rejected
+    new = new_rows.select(
+        F.col("id").cast("bigint").alias("id"), "post_url", F.col("dest_post_id").cast("bigint").alias("dest_post_id")
+    )
+    checked = staged(_free_of(new, post_map), "checked")
+    open_rows = checked.filter("reason IS NULL").select(*columns)
+    edges = open_rows.select(
+        F.concat(F.lit("u"), "post_url").alias("a"), F.concat(F.lit("d"), F.col("dest_post_id").cast("string")).alias("b")
+    )
+    named = open_rows.withColumn("node", F.concat(F.lit("d"), F.col("dest_post_id").cast("string")))
+    group = components(edges).withColumnRenamed("component", "group")
+    grouped = staged(skew_join(named, group, ["node"], "left", spread_by="id").drop("node"), "grouped")
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
+    large = staged(sizes.select("group"), "large-groups")
+    small = grouped.join(large, "group", "left_anti").select(*columns, "group")
+    settled = staged(_settle_groups(small), "settled")
+    rest = _peel(staged(grouped.join(large, "group", "left_semi").select(*columns), "open"))
+    decided = settled.unionByName(rest)
+    accepted = decided.filter("reason IS NULL").select(*columns)
+    rejected = checked.filter("reason IS NOT NULL").unionByName(decided.filter("reason IS NOT NULL"))
+    return accepted, rejected.select(*columns, "reason")
 
 
 def apply_patches(table: str, rows: DataFrame, patches: DataFrame) -> DataFrame:

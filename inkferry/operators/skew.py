@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000  # of one key; a key with more rows is hot and spread over several tasks
 MOST_HOT_KEYS = 100_000  # fewer keys than this can be hot, which bounds what is broadcast
+NARROW_ROWS = 250_000  # in one file of a narrow staged table
 ROW_BITS = 33  # monotonically_increasing_id: row number in the low 33 bits, partition above
 
 
@@ -50,6 +51,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_rows(df: DataFrame, n: int, name: str) -> DataFrame:
+    """Stage a narrow table of about `n` rows in files of NARROW_ROWS, not one for each partition."""
+    parts = max(1, -(-n // NARROW_ROWS))
+    if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(parts)
+    return staged(df, name)
+
+
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more than ROWS_PER_TASK rows, and for each the `_salts` that spread it.
 

@@ -265,7 +265,15 @@ def test_terms_and_payloads(spark):
         ],
         "n long, url string, title string, content string, categories array<struct<pos int, name string, parent_name string>>, "
         "tags array<struct<pos int, name string>>, at string",
-    ).withColumn("publish_date", F.col("at").cast("timestamp"))
+    ).withColumns(
+        {
+            "publish_date": F.col("at").cast("timestamp"),
+            "publish_date_invalid": F.col("at").isNull(),
+            "blog_url": F.lit("https://a"),
+            "featured_image_url": F.lit(None).cast("string"),
+            "parse_error": F.lit(None).cast("string"),
+        }
+    )
     existing = spark.createDataFrame(
         [("category", 7, "Java", 3), ("category", 5, "java", 0), ("tag", 20, "js", 0), ("tag", 9, "js", 0)],
         "taxonomy string, id long, name string, parent long",
@@ -282,3 +290,12 @@ def test_terms_and_payloads(spark):
     assert (row.categories, row.tags, row.date, row.status) == ([21, 7], [9, 22, 9], "2024-01-15T01:00:00.000Z", "draft")
     assert row.featured_media is None
     assert [(e.url, e.message) for e in errors.collect()] == [("u2", "Invalid time value")]
+    broken = posts.withColumn("parse_error", F.when(F.col("url") == "u2", "KeyError: x"))
+    _, errors = terms.build_payloads(broken, found, "draft", featured, id_columns=("url",))
+    assert [(e.url, e.message) for e in errors.collect()] == [("u2", "KeyError: x")]
+
+
+def test_odd_markup_loses_neither_post_nor_text(spark):
+    assert clean(spark, '<p>a<sup><img alt="x"></sup>b</p>') == '<p>a<sup><img alt="x"></sup>b</p>'
+    assert "keep me" in clean(spark, "<p>x</p><textarea>keep me</textarea>")
+    assert clean(spark, '<table><tr><td><img src="">t</td></tr></table>') == "<table><tbody><tr><td>t</td></tr></tbody></table>"

@@ -53,6 +53,20 @@ def test_failed_posts_report(spark, tmp_path):
     ]
 
 
+def test_a_post_with_very_many_messages_stays_one_item(spark, tmp_path):
+    jobs = spark.createDataFrame([(1, "https://a")], "id long, blog_url string")
+    rows = [(i, 1, "https://a/1", "failed", f'm"{i}') for i in range(1, 1502)]
+    rows += [(2000, 1, "https://a/2", "failed", None), (2001, 1, "https://a/3", "failed", "x")]
+    items = spark.createDataFrame(rows, "id long, job_id long, post_url string, status string, error_message string")
+    exports.export_failed_posts(items, jobs, str(tmp_path / "failed"), "https://a", now())
+    got = document(tmp_path / "failed")
+    assert got["count"] == 3 == len(got["items"])
+    assert got["items"][0] == {"post_url": "https://a/1", "error_messages": [f'm"{i}' for i in range(1, 1502)]}
+    assert [i["error_messages"] for i in got["items"][1:]] == [[], ["x"]]
+    exports.export_failed_posts(items, jobs, str(tmp_path / "none"), "https://b", now())
+    assert document(tmp_path / "none")["items"] == []
+
+
 def test_payloads_leave_out_missing_images(spark, tmp_path):
     rows = [("u1", [1, 2], None), ("u2", [], 7)]
     frame = spark.createDataFrame(rows, "url string, categories array<long>, featured_media long")

@@ -183,6 +183,12 @@ def test_date_texts(spark):
         "2024-1-5": "2024-01-05T00:00:00.000Z",
         "Mon, 15 Jan 2024 10:00:00 GMT": "2024-01-15T10:00:00.000Z",
         "Jan 5, 2024": "2024-01-05T00:00:00.000Z",
+        "Jan 15 2024": "2024-01-15T00:00:00.000Z",
+        "15 January 2024": "2024-01-15T00:00:00.000Z",
+        "1/15/2024": "2024-01-15T00:00:00.000Z",
+        "January 15, 2024 10:00 PM": "2024-01-15T22:00:00.000Z",
+        "Mon Jan 15 2024 10:00:00 GMT+0900": "2024-01-15T01:00:00.000Z",
+        "Mon Jan 15 2024 10:00:00 GMT+0900 (KST)": "2024-01-15T01:00:00.000Z",
         "10:00:00": None, "T10:00": None, "not-a-date": None, "": None, "2024-13-45": None,
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -201,6 +207,14 @@ def test_errors_are_rows(spark):
     ]
 
 
+def test_an_unusable_featured_address_is_an_error(spark):
+    date = '<meta property="article:published_time" content="2025-01-01">'
+    cover = '<div id="main"><div><div><div class="article_header type_article_header_cover"><div style="background-image:url({})"></div></div></div></div></div>'
+    posts = extract.parse_posts(pages(spark, date + cover.format("http://[bad"), date + cover.format("/ok.jpg")))
+    errors = extract.post_errors(posts).collect()
+    assert [(e.url[-1], e.stage, e.message) for e in errors] == [("0", "featured image", "Invalid URL")]
+
+
 def test_tree_repairs_markup():
     page = Page("<ul><li>a<li>b<b>c</ul><p>d<p title='x>y' data-q=\"a'b\">e<table><tr><td>1<td>2<tr><td>3</table>f")
     assert outer_html(page.root) == (

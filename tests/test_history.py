@@ -69,18 +69,22 @@ def test_report_messages_are_distinct_in_first_seen_order(spark, two_blogs):
         (5, 2, "https://a/3", "failed", None),
         (6, 2, "https://a/4", "failed", ""),
     )
-    found = {r.post_url: r for r in history.failed_posts_report(log, two_blogs, A).collect()}
-    assert found["https://a/1"].error_messages == ["b", "a"]
-    assert found["https://a/3"].error_messages == [] == found["https://a/4"].error_messages
-    assert [found[f"https://a/{n}"].first_id for n in (2, 1, 3, 4)] == [1, 2, 5, 6]
+    rows = sorted(history.failed_posts_report(log, two_blogs, A).collect(), key=lambda r: (r.first_id, r.n))
+    assert [(r.post_url[-1], r.first_id, r.n, r.error_message) for r in rows] == [
+        ("2", 1, 1, "second"), ("1", 2, 1, "b"), ("1", 2, 2, "a"), ("3", 5, 0, None), ("4", 6, 0, None),
+    ]
 
 
-def test_report_continues_on_further_rows(spark, two_blogs, monkeypatch, all_hot):
-    monkeypatch.setattr(history, "MESSAGES_PER_ROW", 10)
+def test_report_numbers_messages_of_a_hot_post(spark, two_blogs, all_hot):
     log = items(spark, *[(i, 1, "https://a/1", "failed", f"m{i:03d}") for i in range(1, 251)])
-    parts = sorted(history.failed_posts_report(log, two_blogs).collect(), key=lambda r: r.part)
-    assert [len(p.error_messages) for p in parts] == [10] * 25
-    assert [m for p in parts for m in p.error_messages] == [f"m{i:03d}" for i in range(1, 251)]
+    rows = sorted(history.failed_posts_report(log, two_blogs).collect(), key=lambda r: r.n)
+    assert [(r.n, r.error_message) for r in rows] == [(i, f"m{i:03d}") for i in range(1, 251)]
+
+
+def test_skipped_posts_belong_to_the_newest_running_full_job(spark):
+    found = jobs(spark, (1, A, "full", "running"), (2, A, "full", "running"), (3, A, "retry", "running"), (4, B, "full", "failed"))
+    skipped = spark.createDataFrame([(A, 7), (B, 1)], "blog_url string, skipped long")
+    assert [tuple(r) for r in history.skipped_of_jobs(skipped, found).collect()] == [(2, 7)]
 
 
 def test_summary_counts_and_empty_jobs(spark, two_blogs):

@@ -35,6 +35,30 @@ def test_extend_post_map_equals_single_inserts(spark, seed):
     assert all(r.reason for r in rejected.collect())
 
 
+@pytest.mark.parametrize("group_rows", [100_000, 3])
+def test_long_chain_of_clashes(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(ledger, "GROUP_ROWS", group_rows)
+    length = 1000 if group_rows > 3 else 12
+    new = [(i, f"u{(i + 1) // 2}", i // 2) for i in range(length)]  # each row clashes with the one before
+    accepted, rejected = ledger.extend_post_map(
+        spark.createDataFrame([], "post_url string, dest_post_id long"),
+        spark.createDataFrame(new, "id long, post_url string, dest_post_id long"),
+    )
+    assert sorted(r.id for r in accepted.collect()) == inserted_one_by_one([], new)
+    assert rejected.count() == length - len(inserted_one_by_one([], new))
+
+
+def test_errors_become_patches(spark):
+    jobs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, blog_url string")
+    items = spark.createDataFrame(
+        [(1, 1, "u", "failed"), (2, 1, "u", "running"), (3, 2, "u", "running"), (4, 1, "v", "running")],
+        "id long, job_id long, post_url string, status string",
+    )
+    errors = spark.createDataFrame([("a", "u", "bad"), ("a", "none", "x")], "blog_url string, url string, message string")
+    got = ledger.failure_patches(errors, items, jobs, F.lit(5)).collect()
+    assert sorted(map(tuple, got)) == [(2, 5, "error_message", "bad"), (2, 5, "status", "failed")]
+
+
 def test_rejected_row_blocks_nothing(spark):
     new = [(1, "a", 1), (2, "b", 1), (3, "b", 2)]
     accepted, rejected = ledger.extend_post_map(
