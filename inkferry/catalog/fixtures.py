@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The words of a page's whole HTML. EVERY stands for the oracle's flag; in Spark it is a comment.
+EVERY = "/* every match */"
+PAGE_WORDS = f"trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' '{EVERY}), '[^A-Za-z0-9]+', ' '{EVERY}))"
+
 VIEWS = {
     "job_items": """
 SELECT event_id + 1 AS id,
@@ -128,8 +132,8 @@ SELECT page_id,
     CASE WHEN page_id % 3 >= 1 THEN concat('<figure class="imageblock"><span><img src="https://img.example.com/', CAST(page_id % 40 AS VARCHAR(9)), '.jpg" alt="one" loading="lazy"></span></figure>') ELSE '' END,
     CASE WHEN page_id % 3 >= 2 THEN '<table border="1"><tr><th style="x">H</th></tr><tr><td>1<img src="https://img.example.com/t.png?a=1&amp;b=2" width="5"></td></tr></table>' ELSE '' END,
     CASE WHEN page_id % 7 = 0 THEN '<iframe src="https://www.youtube.com/embed/e" width="400" height="225" frameborder="0" allowfullscreen="true"></iframe>' ELSE '' END,
-    '</div><div class="area_tag"><a href="/tag/t" rel="tag">Tag', CAST(page_id % 11 AS VARCHAR(9)), '</a><a href="/tag/n" rel="tag">Node.js</a></div></body></html>') AS html
-FROM pages""",
+    '<p class="page">', {PAGE_WORDS}, '</p></div><div class="area_tag"><a href="/tag/t" rel="tag">Tag', CAST(page_id % 11 AS VARCHAR(9)), '</a><a href="/tag/n" rel="tag">Node.js</a></div></body></html>') AS html
+FROM pages""".replace("{PAGE_WORDS}", PAGE_WORDS),
     "post_uploads": """
 SELECT page_id * 2 + 1 AS id, page_id + 1 AS job_item_id,
   concat('https://img.example.com/', CAST(page_id % 40 AS VARCHAR(9)), '.jpg') AS image_url,

@@ -6,7 +6,7 @@ oracle needs no HTML parser.
 
 from __future__ import annotations
 
-from inkferry.catalog.fixtures import VIEWS, with_views
+from inkferry.catalog.fixtures import EVERY, PAGE_WORDS, VIEWS, with_views
 
 ORACLE: dict[str, str] = {}
 
@@ -18,7 +18,7 @@ def trimmed(column: str) -> str:
 
 
 def oracle(name: str, views: str, select: str, *ctes: str) -> None:
-    ORACLE[name] = with_views(views, select, ", ".join(ctes))
+    ORACLE[name] = with_views(views, select, ", ".join(ctes)).replace(EVERY, ", 'g'")
 
 
 def quoted(text: str) -> str:
@@ -173,7 +173,7 @@ oracle(
 
 # --- posts, by arithmetic on the page id ---
 
-POSTS = """p AS (SELECT page_id AS p, concat('https://blog-', page_id % 4, '.example.com') AS blog,
+POSTS = f"""p AS (SELECT page_id AS p, {PAGE_WORDS} AS words, concat('https://blog-', page_id % 4, '.example.com') AS blog,
   concat('https://blog-', page_id % 4, '.example.com/', page_id) AS url,
   CASE WHEN page_id % 10 < 2 THEN 'Untitled' ELSE concat('Post & 글 ', page_id) END AS title,
   CASE WHEN page_id % 17 <> 0 THEN make_timestamp(2024, 1, 1 + page_id % 28, 1, 0, 0) END AS published,
@@ -294,7 +294,8 @@ def content_sql(bookmark: str, image: str, table_image: str) -> str:
   CASE WHEN p % 2 = 0 THEN concat(chr(10), {bookmark}) ELSE '' END,
   CASE WHEN p % 3 >= 1 THEN concat(chr(10), '<p><img src="', {image}, '" alt="one"></p>') ELSE '' END,
   CASE WHEN p % 3 >= 2 THEN concat(chr(10), '<table><thead><tr><th>H</th></tr></thead><tbody><tr><td>1<img src="', {table_image}, '" width="5"></td></tr></tbody></table>') ELSE '' END,
-  CASE WHEN p % 7 = 0 THEN concat(chr(10), '<iframe src="https://www.youtube.com/embed/e" width="400" height="225" allowfullscreen="true"></iframe>') ELSE '' END)"""
+  CASE WHEN p % 7 = 0 THEN concat(chr(10), '<iframe src="https://www.youtube.com/embed/e" width="400" height="225" allowfullscreen="true"></iframe>') ELSE '' END,
+  chr(10), '<p>', words, '</p>')"""
 
 
 _PLAIN = """concat('<p><a href="', bookmark, '">bm</a></p>')"""
@@ -337,7 +338,7 @@ oracle(
     "content_retention",
     "",
     """SELECT url, CAST(n AS INTEGER) AS chars_before, CAST(n AS INTEGER) AS chars_after
-FROM (SELECT url, 30 + CASE WHEN p % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p % 3 = 2 THEN 2 ELSE 0 END AS n FROM p)""",
+FROM (SELECT url, 30 + CASE WHEN p % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p % 3 = 2 THEN 2 ELSE 0 END + length(replace(words, ' ', '')) AS n FROM p)""",
     POSTS,
 )
 
