@@ -45,7 +45,7 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
-    names = "page_id payload_bytes payload_digest record_type refers_to url archive offset"
+    names = "page_id payload_bytes payload_digest record_type refers_to"
     return warc.round_trip(table(spark, folder, "pages")).select(*names.split())
 
 
@@ -119,6 +119,53 @@ NORMAL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLE = {
+    "op3_minhash": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN [concat(w[i], ' ', w[i + 1]) FOR i IN range(1, len(w))]
+    ELSE w END) AS s FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (s)
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reached(d, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT d, b FROM reached JOIN links ON links.a = reached.r),
+least AS (SELECT d, min(r) AS component_id FROM reached GROUP BY d)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN least ON least.d = docs.doc_id""",
+    "op4_warc": """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest FROM pages),
+kept AS (SELECT body, max(page_id) AS last FROM payloads GROUP BY body)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  translate(array_to_string([to_base(CAST(concat('0x', substr(digest, 1 + 10 * i, 10)) AS BIGINT), 32, 8)
+    FOR i IN range(0, 4)], ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM payloads JOIN kept USING (body)""",
+    "op6_suffixes": """
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+  SELECT d, i, md5(substr(h, 2 * i + 1, 800)) AS win
+  FROM (SELECT d, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM docs WHERE len(h) >= 800)),
+again AS (SELECT win FROM starts GROUP BY win HAVING count(*) > 1),
+hits AS (SELECT d, i, i - lag(i) OVER (PARTITION BY d ORDER BY i) AS gap FROM starts JOIN again USING (win)),
+islands AS (
+  SELECT d, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY d ORDER BY i) AS island FROM hits),
+spans AS (SELECT d, min(i) AS a, max(i) + 400 AS z FROM islands GROUP BY d, island),
+rests AS (
+  SELECT d, lag(z, 1, 0) OVER (PARTITION BY d ORDER BY a) AS a, a AS z FROM spans
+  UNION ALL SELECT d, max(z), max(len(h) // 2) FROM spans JOIN docs USING (d) GROUP BY d),
+kept AS (
+  SELECT d, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS k FROM rests JOIN docs USING (d) GROUP BY d),
+sums AS (SELECT d, sum(z - a) AS removed, count(*) AS n FROM spans GROUP BY d)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (d) LEFT JOIN kept USING (d)""",
     "op7_repeats": r"""
 WITH docs AS (
   SELECT row_number() OVER () AS d, doc_id,
