@@ -16,11 +16,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.llm.common import ready, staged
+from inkferry.llm.common import partitions_for, ready, staged
 from inkferry.operators.skew import checkpoint_dir
 
 ARCHIVE_BYTES = 32 << 20  # of payload in one archive
@@ -122,9 +121,11 @@ def write_archives(
     )
     roles = revisits(source, least_bytes)
     total = source.agg(F.sum("payload_bytes")).first()[0] or 0
-    n = max(1, -(-total // ARCHIVE_BYTES))
-    spread = source.repartition(n, "page_id", "payload_digest")
-    records = spread.join(roles, ["page_id", "payload_digest"], "left").select(_record().alias("value"))
+    # both sides are dealt alike, so that the pages move this one time for the join and for the files
+    keys = ["page_id", "payload_digest"]
+    n = partitions_for(pages.sparkSession, total, ARCHIVE_BYTES)
+    spread = source.repartition(n, *keys).join(roles.repartition(n, *keys).hint("merge"), keys, "left")
+    records = spread.select(_record().alias("value"))
     records.write.option("compression", "gzip").option("lineSep", CRLF * 2).text(path)
 
 
@@ -189,6 +190,10 @@ def _name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
 
 
+def _folder(path: str) -> str:
+    return path.rsplit("/", 2)[-2].removeprefix("archive=")
+
+
 def _batches(rows: Iterator[dict], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
     held, weight = [], 0
     for row in rows:
@@ -202,47 +207,54 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size) -> Iterator[pa.Recor
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("archive", pa.string()), ("number", pa.int64()), ("member", pa.binary())])
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                pieces = inflated(content.as_buffer().to_pybytes())
+                for number, (_, _, whole) in enumerate(records_of(pieces)):
+                    yield {"archive": _name(path.as_py()), "number": number, "member": member(whole)}
+
+    yield from _batches(rows(), schema, lambda r: len(r["member"]))
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("archive", pa.string())]
         + [(n, pa.int64()) for n in ("number", "offset", "length", "page_id")]
-        + [("record_type", pa.string()), ("member", pa.binary())]
+        + [("record_type", pa.string())]
     )
 
     def rows() -> Iterator[dict]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
-                offset = 0
-                pieces = inflated(content.as_buffer().to_pybytes())
-                for number, (headers, _, whole) in enumerate(records_of(pieces)):
-                    data = member(whole)
+                members = split_members(content.as_buffer().to_pybytes())
+                for number, (offset, length, record) in enumerate(members):
+                    headers = parse_headers(record[: record.index(b"\r\n\r\n")])
                     yield {
-                        "archive": _name(path.as_py()),
+                        "archive": _folder(path.as_py()),
                         "number": number,
                         "offset": offset,
-                        "length": len(data),
+                        "length": length,
                         "page_id": page_number(headers.get("warc-record-id")),
                         "record_type": headers.get("warc-type"),
-                        "member": data,
                     }
-                    offset += len(data) + 1
 
-    yield from _batches(rows(), schema, lambda r: len(r["member"]))
+    yield from _batches(rows(), schema, lambda r: 200)
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite every archive under `source` with a member per record; returns the offset index.
 
     Archives go to `target`/archives, one file each and parted by zero bytes, the index to
-    `target`/index: archive, number, offset and length of the member, page id and record type. Members
-    are kept on the executors' disks while both are written; a lost one is inflated again. An archive
-    without records leaves no file.
+    `target`/index: archive, number, offset and length of the member, page id and record type, taken
+    from the files as they were written. An archive without records leaves no file.
     """
     ready(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-    members = (
-        files.select("path", "content")
-        .mapInArrow(_rewrite, f"{INDEX}, member binary")
-        .persist(StorageLevel.DISK_ONLY)
+    members = files.select("path", "content").mapInArrow(
+        _rewrite, "archive string, number bigint, member binary"
     )
     (
         members.sortWithinPartitions("archive", "number")
@@ -251,13 +263,18 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
         .option("lineSep", "\0")
         .text(f"{target}/archives")
     )
-    members.drop("member").write.parquet(f"{target}/index")
-    members.unpersist()
+    _contents(spark, target).mapInArrow(_index, INDEX).write.parquet(f"{target}/index")
     return spark.read.schema(INDEX).parquet(f"{target}/index")
 
 
-def split_members(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated member) of a normalised archive."""
+def _contents(spark: SparkSession, target: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = files.option("pathGlobFilter", "part-*").load(f"{target}/archives")
+    return found.select("path", "content")
+
+
+def split_members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, inflated member) of a normalised archive."""
     at = 0
     while at < len(content):
         stream = zlib.decompressobj(31)
@@ -268,7 +285,7 @@ def split_members(content: bytes) -> Iterator[tuple[int, bytes]]:
                 raise ValueError("the archive ends inside a member")
             out.append(stream.decompress(piece))
             at += len(piece) - len(stream.unused_data)
-        yield begin, b"".join(out)
+        yield begin, at - begin, b"".join(out)
         while at < len(content) and content[at] == 0:
             at += 1
 
@@ -298,12 +315,11 @@ def _reader(with_payload: bool, schema: pa.Schema):
         def rows() -> Iterator[dict]:
             for batch in batches:
                 for path, content in zip(batch.column("path"), batch.column("content")):
-                    folder = path.as_py().rsplit("/", 2)[-2]
-                    for offset, record in split_members(content.as_buffer().to_pybytes()):
+                    for offset, _, record in split_members(content.as_buffer().to_pybytes()):
                         row = read_record(record)
                         if not with_payload:
                             row["payload"] = None
-                        yield {"archive": folder.removeprefix("archive="), "offset": offset} | row
+                        yield {"archive": _folder(path.as_py()), "offset": offset} | row
 
         yield from _batches(rows(), schema, lambda r: 200 + len(r["payload"] or b""))
 
@@ -317,9 +333,7 @@ def read_archives(spark: SparkSession, target: str, with_payload: bool = True) -
 
     ready(spark)
     schema = T._parse_datatype_string(RECORD)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    contents = files.option("pathGlobFilter", "part-*").load(f"{target}/archives").select("path", "content")
-    return contents.mapInArrow(_reader(with_payload, to_arrow_schema(schema)), schema)
+    return _contents(spark, target).mapInArrow(_reader(with_payload, to_arrow_schema(schema)), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
