@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkferry.operators.skew import staged
+from inkferry.operators.skew import staged, staged_rows
 from inkferry.shipping import ship_package
 
-__all__ = ["bucketed", "crc_fold", "partitions_for", "ready", "staged", "table", "text_bytes"]
+__all__ = ["bucketed", "crc_fold", "partitions_for", "ready", "staged", "staged_rows", "table", "text_bytes"]
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkferry.llm import scan
-from inkferry.llm.common import ready, staged
-from inkferry.llm.components import components
+from inkferry.llm.common import ready, staged, staged_rows
+from inkferry.operators.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80  # percent of the union
@@ -213,7 +213,7 @@ def near_duplicates(
     named_sets = folded.select("set_id", F.col("id").alias("node")).join(group, "node", "left")
     found = named_sets.select("set_id", F.coalesce("component", "node").alias("component"))
     return (
-        sketches.join(staged(found, "set-groups"), "set_id", "left")
+        sketches.join(staged_rows(found, folded.count(), "set-groups"), "set_id", "left")
         .withColumn(
             "component_id",
             F.when(F.col("n_shingles") > 0, F.least("component", "id")).otherwise(F.col("id")),
@@ -244,13 +244,17 @@ def _links(named: DataFrame, folded: DataFrame, size: int, percent: int) -> Data
     """Confirmed links (a, b) between folded documents, enough to connect every group."""
     full = folded.select("id", "signature")
     keyed = full.mapInArrow(bucket_keys, "key bigint, id bigint")
-    buckets = staged(
+    n = full.count()
+    buckets = staged_rows(
         keyed.groupBy("key")
         .agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1"),
+        2 * n,
         "buckets",
     )
-    members = staged(keyed.join(buckets, "key").filter("id <> center OR n > 2"), "members")
+    members = staged_rows(
+        keyed.join(buckets, "key").filter("id <> center OR n > 2"), 8 * n, "members"
+    )
     pairs = members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
     marks_a = full.select(F.col("id").alias("a"), F.col("signature").alias("signature_a"))
     marks_b = full.select(F.col("id").alias("b"), F.col("signature").alias("signature_b"))
@@ -265,7 +269,7 @@ def _links(named: DataFrame, folded: DataFrame, size: int, percent: int) -> Data
         .distinct()
     )
     sets = staged(
-        named.join(staged(involved, "involved"), "id").mapInArrow(
+        named.join(staged_rows(involved, n, "involved"), "id").mapInArrow(
             _set_maker(size), "id bigint, set binary"
         ),
         "sets",
@@ -284,24 +288,31 @@ def _family_links(
 ) -> DataFrame:
     """Links that the comparison with bucket centers left out."""
     group = components(links)
-    labelled = staged(
-        members.filter("n > 2")
-        .join(group.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", F.coalesce("component", "id").alias("label")),
+    crowded = members.filter("n > 2")
+    n = crowded.count()
+    labelled = staged_rows(
+        crowded.join(group.withColumnRenamed("node", "id"), "id", "left").select(
+            "key", "id", F.coalesce("component", "id").alias("label")
+        ),
+        n,
         "labelled",
     )
     mixed = (
         labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     )
-    meeting = staged(
-        labelled.join(staged(mixed, "mixed").drop("most"), "key").select("id", "label", "least").distinct(),
+    meeting = staged_rows(
+        labelled.join(staged_rows(mixed, n // 3, "mixed").drop("most"), "key")
+        .select("id", "label", "least")
+        .distinct(),
+        n,
         "meeting",
     )
     family = components(meeting.select(F.col("label").alias("a"), F.col("least").alias("b")))
-    placed = staged(
+    placed = staged_rows(
         meeting.select("id", "label")
         .distinct()
         .join(family.select(F.col("node").alias("label"), F.col("component").alias("family")), "label"),
+        n,
         "placed",
     )
     largest = (
@@ -321,7 +332,7 @@ def _family_links(
     )
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     whole = (
-        placed.join(staged(largest, "largest"), "family")
+        placed.join(staged_rows(largest, n // 3, "largest"), "family")
         .withColumn("block", F.pmod(place, F.col("blocks")))
         .withColumn("outer_block", F.pmod(place, F.col("outer_blocks")))
         .join(sets, "id")
