@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from inkferry.llm import scan
 from inkferry.llm.common import bucketed, partitions_for
 
-HOME_BYTES = 4 << 20
+HOME_BYTES = 2 << 20
 TABLE_BYTES = 32 << 20  # of texts in one bucket of the table
 BUCKET_HASHES = 2_000_000
 

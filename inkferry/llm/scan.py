@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20  # texts are handled in blocks of about this size; one long text is one block
+BLOCK_BYTES = 1 << 20  # texts are handled in blocks of about this size; one long text is one block
 SPACES = b" \t\n\x0b\x0c\r"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -25,7 +25,7 @@ from inkferry.llm.common import partitions_for, ready, staged, text_bytes
 
 LENGTH = 400
 MIXED, SETTLED = 1, 2  # classes of cover positions
-SEGMENT = 2 << 20  # bytes whose hashes are in memory at once
+SEGMENT = 1 << 20  # bytes whose hashes are in memory at once
 
 
 def is_prime(n: int) -> bool:
