@@ -86,6 +86,10 @@ class Cover:
         self.first = np.maximum(starts - v + 1, self.text_start(starts))
         context = window_hashes(block.data, self.first, starts + np.minimum(left, length))
         context = scan.mixed(context ^ scan.mixed((starts - self.first).astype(np.uint64)))
+        # 48 bits of each travel: a false tie of classes only means more starts to compare, and contexts
+        # are compared inside a class
+        self.hashes &= ~np.uint64(0xFFFF)
+        context &= np.uint64((1 << 48) - 1)
         order = np.lexsort((context, self.hashes))
         h, x = self.hashes[order], context[order]
         new = np.ones(len(h), bool)
