@@ -19,9 +19,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates; rows without an id stay."""
-    found = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near duplicates: the smallest id, without an id last, then any one row.
+
+    Groups are of rows, not of ids: copies that share an id or have none are copies too, and two texts
+    under one id are two documents. Rows without a word stay.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, key="_row").select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    one = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first)
+    return rows.join(one.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """The pipeline's stages on a small table, each against what it promises."""
 
+import random
+
 import corpus_pipeline
 from inkferry.llm.common import staged, table
 from tests.conftest import SMALL
+from tests.llm.conftest import prose
 
 
 def test_stages_follow_each_other(spark):
@@ -39,3 +42,30 @@ def test_stages_take_odd_rows(spark):
         empty = stage(spark, docs.limit(0), SMALL)
         assert empty.count() == 0, name
     assert corpus_pipeline.STAGES[4][1](spark, docs, SMALL).count() == 4
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    """Copies under one id, without an id, and of both kinds; their text must outlive the suffix stage."""
+    rng = random.Random(7)
+    again, nameless, mixed, first, second, third = (prose(rng, 150) for _ in range(6))
+    texts = [
+        (1, again),
+        (1, again),
+        (None, nameless),
+        (None, nameless),
+        (3, mixed),
+        (None, mixed),
+        (2, mixed.upper()),
+        (4, first),
+        (5, first),
+        (5, second),  # a second text under one id is a document of its own
+        (6, third),
+    ]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts]
+    docs = spark.createDataFrame(rows, table(spark, SMALL, "documents").schema).repartition(3)
+    out = staged(corpus_pipeline.near_deduplication(spark, docs, SMALL), "one-of-each")
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    one = [(1, again), (2, mixed.upper()), (4, first), (5, second), (6, third), (None, nameless)]
+    assert kept == one
+    cut = corpus_pipeline.suffix_deduplication(spark, out, SMALL)
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == one
