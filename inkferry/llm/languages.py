@@ -1,8 +1,8 @@
 """Language identification as inference of a mixture of languages.
 
 Each language is a distribution over byte trigrams, counted on labelled texts. A text is explained as a
-mixture: expectation-maximisation finds the languages' shares, and of the nested sets of its strongest
-languages the one with the best penalised likelihood is kept.
+mixture: expectation-maximisation finds the languages' shares, and of the nested sets of languages by falling
+share, of any size, the one with the best penalised likelihood is kept.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ GRAM = 3
 BUCKETS = 1 << 16  # of hashed trigrams for each language
 MODEL_CELLS = 1 << 24  # all languages together; with many of them each gets fewer buckets
 SMOOTHING = 0.5
-ROUNDS = 12
-SPREAD = 4  # languages that are weighed against each other at the end
+TOLERANCE = 1e-4  # expectation-maximisation ends when no share moves by more
 COUNTED_LANGUAGES = 64  # counted by a task at once
 UNKNOWN = "und"
 
@@ -132,35 +131,46 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, (counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
 
-def mixture(likelihood: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Shares of the languages and the log likelihood of gram counts `n` under them."""
+def mixture(likelihood: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Shares of the languages, the log likelihood of gram counts `n` under them, and what none can exceed.
+
+    The log likelihood is concave in the shares, so its gradient bounds that of all other shares.
+    """
+    likelihood = likelihood.astype(np.float64)
     shares = np.full(len(likelihood), 1 / len(likelihood))
     total = n.sum()
-    for _ in range(rounds):
-        joint = likelihood * shares[:, None]
-        shares = joint @ (n / joint.sum(0)) / total
-    return shares, float(n @ np.log(shares @ likelihood))
+    moved = 1.0
+    while moved > TOLERANCE:
+        slope = likelihood @ (n / (shares @ likelihood)) / total
+        moved = float(np.abs(shares * slope - shares).max())
+        shares = shares * slope
+    mixed = shares @ likelihood
+    fit = float(n @ np.log(mixed))
+    return shares, fit, fit + max(0.0, float((likelihood @ (n / mixed)).max() - total))
 
 
 def languages_of(likelihood: np.ndarray, n: np.ndarray) -> list[tuple[int, float]]:
     """(language, share) of the best set, by falling share.
 
     Overlapping trigrams see each byte three times, so the likelihood counts a third; a further language
-    has to earn half the logarithm of the number of trigrams.
+    has to earn half the logarithm of the number of trigrams. Sets grow until not even the bound on the
+    likelihood of all languages together could pay for one more.
     """
-    shares, _ = mixture(likelihood, n)
-    order = np.argsort(-shares, kind="stable")[:SPREAD]
+    shares, _, most = mixture(likelihood, n)
+    order = np.argsort(-shares, kind="stable")
+    price = 0.5 * np.log(n.sum() + 1)
     best: list[tuple[int, float]] = []
     best_value = -np.inf
     for size in range(1, len(order) + 1):
-        chosen = order[:size]
-        own, fit = mixture(likelihood[chosen], n) if size > 1 else (np.ones(1), float(n @ np.log(likelihood[chosen[0]])))
-        value = fit / GRAM - 0.5 * (size - 1) * np.log(n.sum() + 1)
-        if value <= best_value:
+        if most / GRAM - price * (size - 1) <= best_value:
             break
-        best_value = value
-        ranked = np.argsort(-own, kind="stable")
-        best = [(int(chosen[i]), float(own[i])) for i in ranked]
+        chosen = order[:size]
+        own, fit = mixture(likelihood[chosen], n)[:2] if size > 1 else (np.ones(1), float(n @ np.log(likelihood[chosen[0]])))
+        value = fit / GRAM - price * (size - 1)
+        if value > best_value:
+            best_value = value
+            ranked = np.argsort(-own, kind="stable")
+            best = [(int(chosen[i]), float(own[i])) for i in ranked]
     return best
 
 

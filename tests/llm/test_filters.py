@@ -149,6 +149,19 @@ def test_languages_and_mixtures(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in languages.identify(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_mixture_of_six_languages(spark):
+    rng = random.Random(8)
+    letters = dict(zip("abcdef", ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]))
+    text = {lang: "".join(rng.choice(own + " ") for _ in range(600)) for lang, own in letters.items()}
+    model = languages.train(spark.createDataFrame([(t, lang) for lang, t in text.items()], "text string, lang string"))
+    rows = spark.createDataFrame([(0, "".join(text.values())), (1, text["b"])], "n int, text string")
+    found = languages.identify(rows, model).orderBy("n").collect()
+    assert sorted(s.lang for s in found[0].languages) == list("abcdef")
+    assert all(s.share == pytest.approx(1 / 6, abs=0.02) for s in found[0].languages)
+    assert found[0].score == pytest.approx(1 / 6, abs=0.02)
+    assert [s.lang for s in found[1].languages] == ["b"]
+
+
 def test_classifier_tells_kinds_apart(spark, odd_docs, no_docs):
     rng = random.Random(9)
     rows, labels = [], []
