@@ -1,11 +1,11 @@
-"""Removal of word passages that a document with a smaller id has already, by seed and extend.
+"""Removal of word passages that a document with a smaller id has already, by winnowed look-up.
 
 Seeds are winnowed: of all word k-grams in a window, the one with the least hash. Equal windows have the
-same seed, so documents joined on seeds meet at every common passage. From a joined seed the match is
-extended both ways, one window further at a time, as long as the window is one that a smaller document
-has too; maximal runs of such windows are the repeats. Seeds and windows are joined through homes
-(see `exchange`): what travels is a hash with the smallest and largest document that has it, so a
-passage that a third of all documents share costs a row per home and never a pair per two documents.
+same seed, so windows whose seed is in one document only are left out. Nothing is extended from a seed:
+each window left is looked up whole, in a second exchange of hashes, and maximal runs of windows that a
+smaller document has too are the repeats. Seeds and windows are joined through homes (see `exchange`):
+what travels is a hash with the smallest and largest document that has it, so a passage that a third of
+all documents share costs a row per home and never a pair per two documents.
 """
 
 from __future__ import annotations
