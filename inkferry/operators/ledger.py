@@ -21,6 +21,7 @@ PATCHABLE = {
     "image_assets": ("status", "dest_media_id", "dest_media_url", "error_message", "updated_at"),
 }
 URL_TAKEN, ID_TAKEN = "post_url already mapped", "dest_post_id already mapped"
+URL_NULL, ID_NULL = "post_url is null", "dest_post_id is null"
 GROUP_ROWS = 100_000  # of clashing map rows that one task inserts in order
 INITIAL_STATUS = {"post_jobs": "running", "job_items": "running", "image_assets": "pending"}
 
@@ -105,16 +106,19 @@ def _peel(open_rows: DataFrame) -> DataFrame:
 def extend_post_map(post_map: DataFrame, new_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split new map rows into accepted and rejected ones, as if inserted one by one by id.
 
-    Both the address and the destination id are unique, and a rejected row blocks nothing. Rows that
-    clash with the table so far are rejected, rows that clash with nothing accepted. What is left falls
-    into groups that share addresses or ids; each group is inserted in order by one task, however long
+    Both the address and the destination id are unique and not null, and a rejected row blocks nothing.
+    Rows without one of them are rejected before anything is compared. Rows that clash with the table so
+    far are rejected, rows that clash with nothing accepted. What is left falls into groups that share addresses or ids; each group is inserted in order by one task, however long
     its chains, and only groups of more than GROUP_ROWS rows take rounds over the whole table.
     """
     columns = ["id", "post_url", "dest_post_id"]
     new = new_rows.select(
         F.col("id").cast("bigint").alias("id"), "post_url", F.col("dest_post_id").cast("bigint").alias("dest_post_id")
     )
-    checked = staged(_free_of(new, post_map), "checked")
+    null_key = F.when(F.col("post_url").isNull(), URL_NULL).when(F.col("dest_post_id").isNull(), ID_NULL)
+    keyless = new.withColumn("reason", null_key).filter("reason IS NOT NULL")
+    keyed = new.filter("post_url IS NOT NULL AND dest_post_id IS NOT NULL")
+    checked = staged(_free_of(keyed, post_map).unionByName(keyless), "checked")
     open_rows = checked.filter("reason IS NULL").select(*columns)
     edges = open_rows.select(
         F.concat(F.lit("u"), "post_url").alias("a"), F.concat(F.lit("d"), F.col("dest_post_id").cast("string")).alias("b")

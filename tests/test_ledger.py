@@ -69,6 +69,21 @@ def test_rejected_row_blocks_nothing(spark):
     assert [(r.id, r.reason) for r in rejected.collect()] == [(2, "dest_post_id already mapped")]
 
 
+def test_rows_without_a_key_are_rejected_by_themselves(spark):
+    new = [(1, "a", None), (2, "b", None), (3, None, 1), (4, None, None), (5, "a", 1)]
+    accepted, rejected = ledger.extend_post_map(
+        spark.createDataFrame([], "post_url string, dest_post_id long"),
+        spark.createDataFrame(new, "id long, post_url string, dest_post_id long"),
+    )
+    assert [tuple(r) for r in accepted.collect()] == [(5, "a", 1)]
+    assert sorted((r.id, r.reason) for r in rejected.collect()) == [
+        (1, "dest_post_id is null"),
+        (2, "dest_post_id is null"),
+        (3, "post_url is null"),
+        (4, "post_url is null"),
+    ]
+
+
 def test_patches_set_only_what_they_name(spark):
     rows = spark.createDataFrame(
         [(1, "running", None, "old"), (2, "running", 7, "keep")],
