@@ -2,8 +2,10 @@
 
 The indexed slots of a signature are cut into chunks. Two signatures that differ in at most
 2 * CHUNKS - 1 slots differ in at most one slot of some chunk (pigeonhole), so each document enters, for
-every chunk, one bucket per slot that is allowed to be wrong: every pair under the distance threshold
-meets in a bucket. All links are then confirmed on full shingle sets.
+every chunk, one bucket per slot that is allowed to be wrong: every pair that differs in at most 23 of the
+72 indexed slots meets in a bucket. For independent slots, about 0.5% of the pairs right at a similarity of
+0.80 differ in more, and 2.6e-6 of them meet in no bucket. Of those that meet, pairs that differ in more
+than FURTHEST of all slots (7.8e-6 at 0.80) are dropped; all other links are confirmed on full shingle sets.
 
 Equal sets are folded into their smallest id first. A bucket's members are compared with its smallest
 id, not with each other, which settles nearly all groups in a number of pairs linear in the rows. Only
@@ -31,7 +33,7 @@ SIMILARITY = 80  # percent of the union
 SLOTS = 128  # 8-bit slots of a signature
 CHUNKS = 12  # of the first CHUNKS * CHUNK_SLOTS slots
 CHUNK_SLOTS = 6
-FURTHEST = 46  # differing slots of SLOTS; a pair at the similarity exceeds it once in 300,000 times
+FURTHEST = 46  # differing slots of SLOTS; a pair at the similarity exceeds it once in 128,000 times
 BLOCK_DOCS = 256  # of a family, compared in one task
 
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
