@@ -10,6 +10,8 @@ from inkferry.llm import (
     languages,
     minhash,
     packing,
+    periodic,
+    piece_codec,
     repeats,
     rules,
     sharding,
@@ -101,6 +103,33 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    coded = piece_codec.encode(table(spark, folder, "documents"), model, keep=["doc_id"])
+    read = piece_codec.decode(coded.select("doc_id", "pieces.*"), model)
+    return read.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic.with_loops(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periodic.repeated_runs(docs, keep=["doc_id"]).withColumn("_best", periodic.longest_run())
+    line = F.transform("periodic.runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    lines = F.array_join(F.concat(line, F.array(F.lit(""))), "\n")
+    return found.select(
+        "doc_id",
+        F.size("periodic.runs").cast("bigint").alias("n_runs"),
+        "_best.*",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_rules": op1_rules,
     "op2_decontaminate": op2_decontaminate,
@@ -112,13 +141,53 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_compression": op9_compression,
     "op10_packing": op10_packing,
+    "op11_pieces": op11_pieces,
+    "op12_periods": op12_periods,
 }
 
 NORMAL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+# crc32 (reversed polynomial 0xEDB88320) of a string's bytes, bit by bit, before the final inversion
+CRC32 = r"""xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+    string_split(regexp_replace(hex(encode({0})), '(..)', '\1,', 'g'), ',')[:-2], lambda h: ('0x' || h)::UBIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda k, z: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384::UBIGINT) ELSE k >> 1 END)))"""
+
 ORACLE = {
+    "op12_periods": rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    CAST({CRC32.format("coalesce(CAST(doc_id AS VARCHAR), '')")} AS BIGINT) AS h FROM documents),
+shapes AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a, 3 + h // 10 % 8 AS m FROM texts),
+words AS (
+  SELECT d, i, w[1 + CASE WHEN h % 10 > 0 OR i < a THEN i ELSE a + (i - a) % (1 + (n - a) // m) END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM shapes)),
+steps AS (SELECT d, q, unnest(range(0, n - 2 * q, q)) AS i FROM (SELECT d, n, unnest(range(1, n // 4 + 1)) AS q FROM shapes)),
+once AS MATERIALIZED (SELECT d, q, i, word FROM steps JOIN words USING (d, i)),
+twice AS MATERIALIZED (
+  SELECT o.* FROM once o JOIN words y ON y.d = o.d AND y.i = o.i + q AND y.word = o.word),
+periods AS MATERIALIZED (
+  SELECT DISTINCT o.d, q FROM twice o JOIN words z ON z.d = o.d AND z.i = o.i + 2 * q AND z.word = o.word),
+placed AS MATERIALIZED (SELECT d, q, i, word FROM periods JOIN words USING (d)),
+alike AS (
+  SELECT x.d, q, x.i, x.i - row_number() OVER (PARTITION BY x.d, q ORDER BY x.i) AS island
+  FROM placed x JOIN words y ON y.d = x.d AND y.i = x.i + q AND y.word = x.word),
+stretches AS (
+  SELECT d, q, min(i) AS s, count(*) + q AS size FROM alike GROUP BY d, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT d, s, size, min(q) AS q FROM stretches GROUP BY d, s, size),
+sums AS (
+  SELECT d, count(*) AS n_runs, min((-size, s, q)) AS best,
+    string_agg(concat(s, ',', size, ',', q, chr(10)), '' ORDER BY s, q) AS lines FROM runs GROUP BY d),
+gone AS (SELECT DISTINCT d, unnest(range(s + q, s + size)) AS i FROM runs),
+kept AS (SELECT d, string_agg(word, ' ' ORDER BY i) AS k FROM words ANTI JOIN gone USING (d, i) GROUP BY d)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best[2] AS BIGINT) AS start,
+  CAST(-best[1] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period,
+  CAST(1000 * -best[1] // best[3] AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM texts LEFT JOIN sums USING (d) LEFT JOIN kept USING (d)""",
     "op3_minhash": r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),

@@ -97,3 +97,24 @@ def cut_words(rows, window):
 
 def sha256(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def runs(found):
+    """(start, length, period) of all runs of at least max(6, 4 periods) words."""
+    n, out = len(found), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if found[i] != found[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and found[j] == found[j + q]:
+                j += 1
+            size = j + q - i
+            if size >= max(6, 4 * q) and not any(
+                all(found[k] == found[k + r] for k in range(i, j + q - r)) for r in range(1, q)
+            ):
+                out.append((i, size, q))
+            i = j
+    return sorted(out, key=lambda r: (r[0], r[2]))
