@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from inkferry.llm.common import ready
 
 SPACE = "▁"  # stands for a space inside pieces
-LONGEST_KEPT = 64  # code points of a chunk whose ids are remembered
-KEPT_CHUNKS = 500_000  # and how many of them; the memory of a task stays bounded
-KEPT_PAIRS = 1_000_000  # of neighbouring pieces, known to be compatible or not
+LONGEST_KEPT = 64  # code points of a part or chunk whose ids are remembered
+KEPT_PARTS = 1_000_000  # and how many of them; the memory of a task stays bounded
+KEPT_PAIRS = 500_000  # of neighbouring pieces, known to be compatible or not
 FLUSH_IDS = 2_000_000  # in one output batch, if texts are short
 PIECES = "ids array<int>, n_tokens bigint"
 # Piece types of the model format, and what decoding an unknown or broken part gives
@@ -74,28 +74,31 @@ def load(path: str) -> Model:
     )
 
 
-@dataclass
 class Codec:
-    model: Model
-    ids: dict[str, int] = field(init=False)
-    scores: dict[str, float] = field(init=False)
-    shorter: dict[str, int] = field(init=False)  # length of a piece's longest beginning that is a piece
-    fits: dict[tuple[str, str], bool] = field(init=False, default_factory=dict)
-    known: dict[str, bytes] = field(init=False, default_factory=dict)
-
-    def __post_init__(self):
+    """Pieces by number: their ids in the model and, behind those, characters that are no piece."""
+
+    def __init__(self, model: Model):
         import ahocorasick
 
-        model = self.model
+        self.model = model
         normal = [i for i, t in enumerate(model.types) if t == NORMAL]
         self.ids = {model.pieces[i]: i for i in normal}
         self.scores = {model.pieces[i]: model.scores[i] for i in normal}
-        self.shorter, self.automaton = {}, ahocorasick.Automaton()
-        for piece in self.ids:
-            ends = (n for n in range(len(piece) - 1, 1, -1) if piece[:n] in self.ids)
-            self.shorter[piece] = next(ends, min(1, len(piece) - 1))
-            self.automaton.add_word(piece[::-1], len(piece))
+        self.names = list(model.pieces)
+        self.sizes = [len(p) for p in model.pieces]
+        self.shorter = [model.unknown_id] * len(model.pieces)  # a piece's longest beginning; or none
+        self.nothing = model.unknown_id  # a number that no text has
+        self.automaton = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            if len(piece) > 1:
+                begins = (self.ids.get(piece[:n]) for n in range(len(piece) - 1, 0, -1))
+                begin = next((b for b in begins if b is not None), None)
+                self.shorter[i] = self.other(piece[0]) if begin is None else begin
+            self.automaton.add_word(piece[::-1], i)
         self.automaton.make_automaton()
+        self.pairs = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self.fits: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
         self.bytes = [0] * 256
         self.raw: list[bytes] = []
         for i, (piece, kind) in enumerate(zip(model.pieces, model.types)):
@@ -110,6 +113,15 @@ class Codec:
         bounded = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if bounded else "(?s).+").findall
 
+    def other(self, character: str) -> int:
+        """Number of a character that is no piece."""
+        if character not in self.ids:
+            self.ids[character] = len(self.names)
+            self.names.append(character)
+            self.sizes.append(1)
+            self.shorter.append(self.model.unknown_id)
+        return self.ids[character]
+
     def merged(self, text: str) -> list[str]:
         """Merge single characters: always the pair with the best score, the leftmost of equal ones."""
         parts, scores = list(text), self.scores
@@ -124,61 +136,84 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Do both stay as they are when merged together? With an empty left: does the right one alone?"""
-        fit = self.merged(left + right) == ([left, right] if left else [right])
+    def compatible(self, left: int, right: int) -> bool:
+        """Do both stay as they are when merged together? After nothing: does the right one alone?"""
+        two = [self.names[i] for i in (left, right) if i != self.nothing]
         if len(self.fits) >= KEPT_PAIRS:
             self.fits.clear()
-        self.fits[left, right] = fit
+        fit = self.fits[left << 32 | right] = self.merged("".join(two)) == two
         return fit
 
     def longest(self, text: str) -> list[int]:
-        """Length of the longest piece at each place; 1 where only the character itself stands."""
-        found, last = [1] * len(text), len(text) - 1
-        for end, length in self.automaton.iter(text[::-1]):
-            if length > found[last - end]:
-                found[last - end] = length
+        """The longest piece at each place; the character itself where no piece begins."""
+        found, last, sizes = [-1] * len(text), len(text) - 1, self.sizes
+        for end, piece in self.automaton.iter(text[::-1]):
+            at = last - end
+            if found[at] < 0 or sizes[piece] > sizes[found[at]]:
+                found[at] = piece
+        if -1 in found:
+            return [self.other(c) if piece < 0 else piece for piece, c in zip(found, text)]
         return found
 
-    def split(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[int]:
         """The pieces of a chunk, by search with backtracking."""
-        longest, n, fits, shorter = self.longest(text), len(text), self.fits, self.shorter
+        longest, n, nothing = self.longest(text), len(text), self.nothing
+        fits, shorter, sizes = self.fits, self.shorter, self.sizes
         failed = bytearray(n // 8 + 1)
-        found: list[str] = []
-        before, at, length = "", 0, longest[0]
+        found: list[int] = []
+        before, at, piece = nothing, 0, longest[0]
         while at < n:
-            end = at + length
-            piece = text[at:end]
+            end = at + sizes[piece]
             if not failed[end >> 3] >> (end & 7) & 1:
-                fit = fits.get((before, piece))
+                fit = fits.get(before << 32 | piece)
                 if fit if fit is not None else self.compatible(before, piece):
                     found.append(piece)
                     before, at = piece, end
-                    length = longest[at] if at < n else 0
+                    piece = longest[at] if at < n else nothing
                     continue
-            length = shorter.get(piece, 0)
-            while not length:
+            piece = shorter[piece]
+            while piece == nothing:
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(found.pop())
-                length = shorter.get(before, 0)
-                before = found[-1] if found else ""
+                last = found.pop()
+                at -= sizes[last]
+                piece = shorter[last]
+                before = found[-1] if found else nothing
         return found
 
-    def chunk_ids(self, text: str) -> bytes:
-        pieces = self.split(text)
-        try:
-            found = [self.ids[piece] for piece in pieces]
-        except KeyError:
-            found = []
-            for piece in pieces:
-                i = self.ids.get(piece)
-                if i is not None:
-                    found.append(i)
+    def part_ids(self, text: str) -> bytes:
+        """Ids of a part of a text whose bounds no piece crosses."""
+        known = self.known.get(text)
+        if known is not None:
+            return known
+        found = self.split(text)
+        most = len(self.model.pieces)
+        if max(found) >= most:
+            spelled = []
+            for i in found:
+                if i < most:
+                    spelled.append(i)
                 elif self.model.byte_fallback:
-                    found.extend(self.bytes[b] for b in piece.encode())
+                    spelled.extend(self.bytes[b] for b in self.names[i].encode())
                 else:
-                    found.append(self.model.unknown_id)
-        return array("i", found).tobytes()
+                    spelled.append(self.model.unknown_id)
+            found = spelled
+        return self.remembered(text, array("i", found).tobytes())
+
+    def remembered(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= LONGEST_KEPT:
+            if len(self.known) >= KEPT_PARTS:
+                self.known.clear()
+            self.known[text] = ids
+        return ids
+
+    def chunk_ids(self, text: str) -> bytes:
+        """Ids of a chunk, cut where two characters are neighbours in no piece."""
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
+        if not cuts:
+            return self.part_ids(text)
+        parts = [self.part_ids(text[a:z]) for a, z in zip([0, *cuts], [*cuts, len(text)])]
+        return self.remembered(text, b"".join(parts))
 
     def encode(self, text: str) -> array:
         """Ids of a whole text."""
@@ -193,13 +228,7 @@ class Codec:
         known, parts = self.known, []
         for chunk in self.chunks(text):
             found = known.get(chunk)
-            if found is None:
-                found = self.chunk_ids(chunk)
-                if len(chunk) <= LONGEST_KEPT:
-                    if len(known) >= KEPT_CHUNKS:
-                        known.clear()
-                    known[chunk] = found
-            parts.append(found)
+            parts.append(self.chunk_ids(chunk) if found is None else found)
         out.frombytes(b"".join(parts))
         if not self.model.byte_fallback:  # neighbouring unknown characters are one unknown piece
             ids = np.frombuffer(out, np.int32)
@@ -283,7 +312,7 @@ def encode(
     Null and empty texts have no ids. Repeated rows are encoded one by one, in any order; an empty table
     gives an empty one. Characters outside the vocabulary are spelled in byte pieces, or are unknown
     pieces in a model without those. Memory of a task: a batch of texts and their ids, and at most
-    KEPT_CHUNKS remembered chunks and KEPT_PAIRS pairs. A column already named `out` is replaced.
+    KEPT_PARTS remembered parts and KEPT_PAIRS pairs. A column already named `out` is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkferry.llm import (
     compression,
+    conversations,
     languages,
     minhash,
     packing,
@@ -130,6 +131,11 @@ def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_auction(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversations.summaries(turns, conversations.repair(conversations.damaged(turns)))
+
+
 QUERIES = {
     "op1_rules": op1_rules,
     "op2_decontaminate": op2_decontaminate,
@@ -143,6 +149,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_pieces": op11_pieces,
     "op12_periods": op12_periods,
+    "op13_auction": op13_auction,
 }
 
 NORMAL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
@@ -156,6 +163,72 @@ CRC32 = r"""xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGIN
       lambda k, z: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384::UBIGINT) ELSE k >> 1 END)))"""
 
 ORACLE = {
+    "op13_auction": rf"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k
+  FROM conversations),
+broken AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE k <> 0),
+places AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM broken),
+marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS seen,
+    lag(role[1]) OVER (PARTITION BY c ORDER BY i) || role[1] AS pair FROM places),
+turns AS (
+  SELECT *, CASE WHEN blank THEN 'b' WHEN seen THEN 'd'
+    WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '' ELSE 't' END AS fault FROM marked),
+inserts(s, letters, price, mid) AS (
+  SELECT 0, '', 0, 0 UNION ALL SELECT 1, '', 0, 1 UNION ALL SELECT 2, '', 0, 2 UNION ALL SELECT 3, '', 0, 3
+  UNION ALL SELECT s, letters || 'I', price + 3, CASE mid WHEN 2 THEN 3 ELSE 2 END FROM inserts WHERE length(letters) < 3),
+kept(mid, initial, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS (
+  SELECT c, i, mid, letter, price, after FROM (
+    SELECT c, i, m.mid, 'D' AS letter, 4 AS price, m.mid AS after FROM turns, (VALUES (0), (1), (2), (3)) m(mid)
+    UNION ALL SELECT c, i, mid, 'K', CASE WHEN fault = 't' THEN 3 ELSE 0 END, after
+      FROM turns JOIN kept ON role[1] = initial WHERE fault IN ('', 't')
+    UNION ALL SELECT c, i, m.mid, 'R', CASE WHEN fault = 't' THEN 6 ELSE 3 END, CASE m.mid WHEN 2 THEN 3 ELSE 2 END
+      FROM turns, (VALUES (0), (1), (2), (3)) m(mid) WHERE fault IN ('', 't'))),
+steps AS MATERIALIZED (
+  SELECT c, i, s, n.letters || letter AS letters, n.price + e.price AS price, after FROM edits e JOIN inserts n USING (mid)),
+paths AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, 0 AS s, {{'cost': 0, 'letters': ''}} AS best FROM turns
+  UNION ALL
+  SELECT p.c, p.i + 1, x.after, min({{'cost': p.best.cost + x.price, 'letters': p.best.letters || x.letters}})
+  FROM paths p JOIN steps x ON x.c = p.c AND x.i = p.i + 1 AND x.s = p.s GROUP BY p.c, p.i, x.after),
+sizes AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
+ends AS (
+  SELECT c, min({{'cost': best.cost + price, 'letters': best.letters || inserts.letters}}) AS best
+  FROM paths JOIN sizes USING (c) JOIN inserts USING (s) WHERE i = n AND mid IN (0, 3) GROUP BY c),
+letters AS (
+  SELECT c, j, letter, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER w AS i,
+    sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER w AS nth
+  FROM (SELECT c, unnest(range(1, length(best.letters) + 1)) AS j, unnest(string_split(best.letters, '')) AS letter
+        FROM ends WHERE best.letters <> '')
+  WINDOW w AS (PARTITION BY c ORDER BY j)),
+lines AS (
+  SELECT l.c, j, letter, nth, role, text,
+    max(CASE WHEN nth = 1 AND letter = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.c) AS lead
+  FROM letters l LEFT JOIN turns t ON t.c = l.c AND t.i = l.i WHERE letter <> 'D'),
+repaired AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body FROM lines GROUP BY c),
+facts AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY c)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.letters, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends USING (c) LEFT JOIN repaired USING (c)""",
     "op12_periods": rf"""
 WITH texts AS (
   SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

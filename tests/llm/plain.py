@@ -118,3 +118,66 @@ def runs(found):
                 out.append((i, size, q))
             i = j
     return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def cheapest_edits(codes):
+    """(letters, cost) of the cheapest edits, the least letters of equal ones, state by state.
+
+    Codes: 0 to 3 for a role that begins with s, u, a or another letter, plus 8 if the turn must go, plus 4
+    if it is cut off.
+    """
+    after = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    wanted = {0: 2, 1: 2, 2: 3, 3: 2}
+
+    def with_inserts(best):
+        for _ in range(3):
+            for state, (cost, letters) in list(best.items()):
+                new = (cost + 3, letters + "I")
+                best[wanted[state]] = min(best.get(wanted[state], new), new)
+        return best
+
+    best = {0: (0, "")}
+    for code in codes:
+        ways = []
+        for state, (cost, letters) in with_inserts(best).items():
+            ways.append((state, (cost + 4, letters + "D")))
+            if code < 8:
+                more, initial = 3 * (code >= 4), "suax"[code % 4]
+                ways.append((wanted[state], (cost + 3 + more, letters + "R")))
+                if (state, initial) in after:
+                    ways.append((after[state, initial], (cost + more, letters + "K")))
+        best = {}
+        for state, way in ways:
+            best[state] = min(best.get(state, way), way)
+    best = with_inserts(best)
+    cost, letters = min(best[s] for s in (0, 3) if s in best)
+    return letters, cost
+
+
+def conversation(turns):
+    """Facts, audit and the repaired text's hash of one conversation's (turn, role, text) in order."""
+    codes, seen, counts = [], set(), Counter()
+    for _, role, text in turns:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        fault = "blank" if not body else "duplicate" if (role, text) in seen else ""
+        if not fault and body[-1] not in ".!?":
+            fault = "truncated"
+        seen.add((role, text))
+        counts[fault] += 1
+        initial = "sua".find(role[0]) if role else -1
+        codes.append((initial if initial >= 0 else 3) + {"blank": 8, "duplicate": 8, "truncated": 4, "": 0}[fault])
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+    known = {t for t, _, _ in turns if t is not None}
+    gaps = max(known) - min(known) + 1 - len(known) if known else 0
+    letters, cost = cheapest_edits(codes)
+    lines, rest, last = [], iter(turns), ""
+    for letter in letters:
+        role, text = next(rest)[1:] if letter != "I" else ("", "")
+        if letter == "D":
+            continue
+        if letter != "K":
+            role = "assistant" if last == "u" else "user"
+        last = role[0]
+        lines.append(f"{role}:{text}")
+    facts = [counts[c] for c in ("blank", "duplicate", "truncated")]
+    return gaps, *facts, illegal, cost, letters, sha256("\n".join(lines))
