@@ -26,8 +26,8 @@ from inkferry.llm.common import ready
 
 SPACE = "▁"  # stands for a space inside pieces
 LONGEST_KEPT = 64  # code points of a part or chunk whose ids are remembered
-KEPT_PARTS = 1_000_000  # and how many of them; the memory of a task stays bounded
-KEPT_PAIRS = 500_000  # of neighbouring pieces, known to be compatible or not
+KEPT_PARTS = 200_000  # in each of two generations; the memory of a task stays bounded
+KEPT_PAIRS = 250_000  # of neighbouring pieces, known to be compatible or not
 FLUSH_IDS = 2_000_000  # in one output batch, if texts are short
 PIECES = "ids array<int>, n_tokens bigint"
 # Piece types of the model format, and what decoding an unknown or broken part gives
@@ -74,7 +74,7 @@ def load(path: str) -> Model:
     )
 
 
-class Codec:
+class Encoder:
     """Pieces by number: their ids in the model and, behind those, characters that are no piece."""
 
     def __init__(self, model: Model):
@@ -99,16 +99,11 @@ class Codec:
         self.pairs = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes = [0] * 256
-        self.raw: list[bytes] = []
-        for i, (piece, kind) in enumerate(zip(model.pieces, model.types)):
-            self.raw.append(b"" if kind == CONTROL else piece.replace(SPACE, " ").encode())
+        for i, kind in enumerate(model.types):
             if kind == BYTE:
-                value = int(piece[1:-1], 16)
-                self.bytes[value], self.raw[i] = i, bytes([value])
-            elif kind == UNKNOWN:
-                self.raw[i] = model.unknown_text.encode()
-        self.is_byte = np.array([t == BYTE for t in model.types])
+                self.bytes[int(model.pieces[i][1:-1], 16)] = i
         # no piece goes on with a space after another character: such places are always bounds
         bounded = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if bounded else "(?s).+").findall
@@ -182,9 +177,6 @@ class Codec:
 
     def part_ids(self, text: str) -> bytes:
         """Ids of a part of a text whose bounds no piece crosses."""
-        known = self.known.get(text)
-        if known is not None:
-            return known
         found = self.split(text)
         most = len(self.model.pieces)
         if max(found) >= most:
@@ -197,14 +189,20 @@ class Codec:
                 else:
                     spelled.append(self.model.unknown_id)
             found = spelled
-        return self.remembered(text, array("i", found).tobytes())
-
-    def remembered(self, text: str, ids: bytes) -> bytes:
-        if len(text) <= LONGEST_KEPT:
-            if len(self.known) >= KEPT_PARTS:
-                self.known.clear()
-            self.known[text] = ids
-        return ids
+        return array("i", found).tobytes()
+
+    def remembered(self, text: str, make: Callable[[str], bytes]) -> bytes:
+        """Remember what is short; what was not asked for again until the next spring cleaning goes."""
+        found = self.known.get(text)
+        if found is None:
+            found = self.older.get(text)
+            if found is None:
+                found = make(text)
+            if len(text) <= LONGEST_KEPT:
+                if len(self.known) >= KEPT_PARTS:
+                    self.known, self.older = {}, self.known
+                self.known[text] = found
+        return found
 
     def chunk_ids(self, text: str) -> bytes:
         """Ids of a chunk, cut where two characters are neighbours in no piece."""
@@ -212,8 +210,8 @@ class Codec:
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
         if not cuts:
             return self.part_ids(text)
-        parts = [self.part_ids(text[a:z]) for a, z in zip([0, *cuts], [*cuts, len(text)])]
-        return self.remembered(text, b"".join(parts))
+        ends = zip([0, *cuts], [*cuts, len(text)])
+        return b"".join([self.remembered(text[a:z], self.part_ids) for a, z in ends])
 
     def encode(self, text: str) -> array:
         """Ids of a whole text."""
@@ -225,10 +223,13 @@ class Codec:
         text = text.replace(" ", SPACE)
         if self.model.dummy_prefix:
             text = SPACE + text
-        known, parts = self.known, []
+        get, parts = self.known.get, []
         for chunk in self.chunks(text):
-            found = known.get(chunk)
-            parts.append(self.chunk_ids(chunk) if found is None else found)
+            found = get(chunk)
+            if found is None:
+                found = self.remembered(chunk, self.chunk_ids)
+                get = self.known.get
+            parts.append(found)
         out.frombytes(b"".join(parts))
         if not self.model.byte_fallback:  # neighbouring unknown characters are one unknown piece
             ids = np.frombuffer(out, np.int32)
@@ -236,6 +237,22 @@ class Codec:
             out = array("i", ids[~(odd & np.append(False, odd[:-1]))].tobytes())
         return out
 
+
+class Decoder:
+    """The bytes of every piece."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.raw: list[bytes] = []
+        for piece, kind in zip(model.pieces, model.types):
+            if kind == BYTE:
+                self.raw.append(bytes([int(piece[1:-1], 16)]))
+            elif kind == UNKNOWN:
+                self.raw.append(model.unknown_text.encode())
+            else:
+                self.raw.append(b"" if kind == CONTROL else piece.replace(SPACE, " ").encode())
+        self.is_byte = np.array([t == BYTE for t in model.types])
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control pieces vanish, byte pieces join to characters, the dummy prefix goes."""
         raw = self.raw
@@ -271,19 +288,19 @@ def _whole_characters(data: bytes) -> bytes:
     return b"".join(out)
 
 
-_codecs: dict[Model, Codec] = {}
+_made: dict[tuple, Encoder | Decoder] = {}
 
 
-def codec(model: Model) -> Codec:
-    """One codec per model and worker."""
-    if model not in _codecs:
-        _codecs[model] = Codec(model)
-    return _codecs[model]
+def made(kind: type, model: Model) -> Encoder | Decoder:
+    """One encoder and decoder per model and worker."""
+    if (kind, model) not in _made:
+        _made[kind, model] = kind(model)
+    return _made[kind, model]
 
 
 def _encoder(shared, text: str, columns: list[str], schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value)
+        own = made(Encoder, shared.value)
         for batch in batches:
             texts, first = batch.column(text), 0
             buffer, ends = array("i"), [0]
@@ -296,9 +313,9 @@ def _encoder(shared, text: str, columns: list[str], schema: pa.Schema) -> Callab
                     offsets = np.array(ends, np.int32)
                     ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(buffer, np.int32)))
                     counts = pa.array(np.diff(offsets).astype(np.int64))
-                    made = pa.StructArray.from_arrays([ids, counts], fields=list(schema.field(-1).type))
+                    coded = pa.StructArray.from_arrays([ids, counts], fields=list(schema.field(-1).type))
                     rows = batch.slice(first, row + 1 - first)
-                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), made], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), coded], schema=schema)
                     buffer, ends, first = array("i"), [0], row + 1
 
     return run
@@ -312,7 +329,7 @@ def encode(
     Null and empty texts have no ids. Repeated rows are encoded one by one, in any order; an empty table
     gives an empty one. Characters outside the vocabulary are spelled in byte pieces, or are unknown
     pieces in a model without those. Memory of a task: a batch of texts and their ids, and at most
-    KEPT_PARTS remembered parts and KEPT_PAIRS pairs. A column already named `out` is replaced.
+    2 KEPT_PARTS remembered parts and KEPT_PAIRS pairs. A column already named `out` is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -334,7 +351,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        own = codec(shared.value)
+        own = made(Decoder, shared.value)
         flat = np.asarray(column.flatten())
         if len(flat) and not 0 <= flat.min() <= flat.max() < len(own.raw):
             raise ValueError("an id is not in the vocabulary")
