@@ -1,9 +1,10 @@
 """WARC archives of pages, and a normaliser for archives that are one gzip stream.
 
 Pages are written as WARC records into whole-file gzip streams by Spark's text writer. The normaliser
-inflates such a stream once, writes every record as a gzip member of its own and a side table with the
-offset of each; so records can be read alone afterwards. Members are parted by one zero byte, the
-padding that gzip readers skip, because Spark's writer puts a separator behind each row.
+inflates such a stream once and writes every record as a gzip member of its own; so records can be read
+alone afterwards. One pass over the written files then checks every record and writes a side table with
+its offset, its fields and the digest of its payload. Spark's writer puts a separator behind each row:
+here an empty gzip member, so the files are members and nothing else.
 """
 
 from __future__ import annotations
@@ -23,17 +24,21 @@ from inkferry.llm.common import partitions_for, ready, staged
 from inkferry.operators.skew import checkpoint_dir
 
 ARCHIVE_BYTES = 32 << 20  # of payload in one archive
+MOST_HOT_PAGES = 100_000  # pages that are so many rows that they take several archives, at most
+RECORD_BYTES = 500  # of a record beside its payload, about
+# Fixed value: the gzip member of no bytes
+EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 INFLATE = 1 << 20
 FLUSH_BYTES = 4 << 20
 CRLF = "\r\n"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX = "archive string, number bigint, offset bigint, length bigint, page_id bigint, record_type string"
-RECORD = (
-    "archive string, offset bigint, page_id bigint, url string, record_type string, refers_to bigint, "
-    "payload_bytes bigint, payload_digest string, payload binary"
+INDEX = (
+    "archive string, number bigint, offset bigint, length bigint, page_id bigint, url string, "
+    "record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
 )
+RECORD = f"{INDEX}, payload binary"
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -51,29 +56,47 @@ def _payload(html: str) -> Column:
     return F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
 
 
-def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
+def revisits(narrow: DataFrame, least_bytes: int) -> DataFrame:
     """(page_id, payload_digest, refers_to) of the pages that repeat the payload of a larger page id.
 
-    Only digests move. Keepers are found by partial aggregation and staged, so that the join with a
-    payload that many pages share is one of two plain shuffles, which adaptive execution splits.
+    `narrow` is a table of (page_id, payload_digest, payload_bytes). Only digests move. Keepers are found
+    by partial aggregation and staged, so that the join with a payload that many pages share is one of
+    two plain shuffles, which adaptive execution splits.
     """
-    narrow = pages.select("page_id", "payload_digest", "payload_bytes").filter(
-        F.col("payload_bytes") >= least_bytes
-    )
+    long = narrow.filter(F.col("payload_bytes") >= least_bytes)
     keepers = (
-        narrow.groupBy("payload_digest", "payload_bytes")
+        long.groupBy("payload_digest", "payload_bytes")
         .agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least"))
         .filter("refers_to <> _least")
         .drop("_least")
     )
     return (
-        narrow.join(staged(keepers, "keepers"), ["payload_digest", "payload_bytes"])
+        long.join(staged(keepers, "keepers"), ["payload_digest", "payload_bytes"])
         .filter("page_id < refers_to")
         .select("page_id", "payload_digest", "refers_to")
         .distinct()
     )
 
 
+def _hot_pages(narrow: DataFrame, total: int) -> DataFrame:
+    """Repeated rows (page_id, payload_digest) of over an archive, and over how many `_deals` to spread them.
+
+    They must also be over a MOST_HOT_PAGES-th of all bytes, which bounds the table. At 100 TB that is
+    1 GB, an archive that can still be read whole.
+    """
+    size = F.sum(F.col("payload_bytes") + RECORD_BYTES)
+    sizes = narrow.groupBy("page_id", "payload_digest").agg(size.alias("_bytes"))
+    least = max(ARCHIVE_BYTES, total // MOST_HOT_PAGES)
+    deals = F.ceil(F.col("_bytes") / ARCHIVE_BYTES).cast("bigint").alias("_deals")
+    return sizes.filter(F.col("_bytes") > least).select("page_id", "payload_digest", deals)
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows with the `_deals` of their page; null for nearly all. A null page id can be hot too."""
+    same = F.col("r.page_id").eqNullSafe(F.col("h.page_id")) & (F.col("r.payload_digest") == F.col("h.payload_digest"))
+    return rows.alias("r").join(F.broadcast(hot).alias("h"), same, "left").select("r.*", "h._deals")
+
+
 def _record() -> Column:
     """A whole record without the empty lines behind it, which the writer adds."""
     http = F.concat(
@@ -119,12 +142,18 @@ def write_archives(
         F.octet_length(payload).cast("bigint").alias("payload_bytes"),
         sha1_base32(payload).alias("payload_digest"),
     )
-    roles = revisits(source, least_bytes)
-    total = source.agg(F.sum("payload_bytes")).first()[0] or 0
+    narrow = staged(source.select("page_id", "payload_digest", "payload_bytes"), "digests")
+    total = narrow.agg(F.sum(F.col("payload_bytes") + RECORD_BYTES)).first()[0] or 0
+    hot = staged(_hot_pages(narrow, total), "hot-pages")
+    deal = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_deals")), F.lit(0))
+    last = F.coalesce(F.col("_deals") - 1, F.lit(0).cast("bigint"))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    dealt = _dealt(source, hot).withColumn("_deal", deal).drop("_deals")
+    roles = _dealt(revisits(narrow, least_bytes), hot).withColumn("_deal", copies).drop("_deals")
     # both sides are dealt alike, so that the pages move this one time for the join and for the files
-    keys = ["page_id", "payload_digest"]
+    keys = ["page_id", "payload_digest", "_deal"]
     n = partitions_for(pages.sparkSession, total, ARCHIVE_BYTES)
-    spread = source.repartition(n, *keys).join(roles.repartition(n, *keys).hint("merge"), keys, "left")
+    spread = dealt.repartition(n, *keys).join(roles.repartition(n, *keys).hint("merge"), keys, "left")
     records = spread.select(_record().alias("value"))
     records.write.option("compression", "gzip").option("lineSep", CRLF * 2).text(path)
 
@@ -219,37 +248,12 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows(), schema, lambda r: len(r["member"]))
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("archive", pa.string())]
-        + [(n, pa.int64()) for n in ("number", "offset", "length", "page_id")]
-        + [("record_type", pa.string())]
-    )
-
-    def rows() -> Iterator[dict]:
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                members = split_members(content.as_buffer().to_pybytes())
-                for number, (offset, length, record) in enumerate(members):
-                    headers = parse_headers(record[: record.index(b"\r\n\r\n")])
-                    yield {
-                        "archive": _folder(path.as_py()),
-                        "number": number,
-                        "offset": offset,
-                        "length": length,
-                        "page_id": page_number(headers.get("warc-record-id")),
-                        "record_type": headers.get("warc-type"),
-                    }
-
-    yield from _batches(rows(), schema, lambda r: 200)
-
-
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite every archive under `source` with a member per record; returns the offset index.
 
-    Archives go to `target`/archives, one file each and parted by zero bytes, the index to
-    `target`/index: archive, number, offset and length of the member, page id and record type, taken
-    from the files as they were written. An archive without records leaves no file.
+    Archives go to `target`/archives, one file each, the index to `target`/index: archive, number, offset
+    and length of the member, and the record's fields, all taken from the files as they were written, in
+    one pass. An archive without records leaves no file.
     """
     ready(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
@@ -260,10 +264,16 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
         members.sortWithinPartitions("archive", "number")
         .select("archive", F.col("member").cast("string").alias("value"))
         .write.partitionBy("archive")
-        .option("lineSep", "\0")
+        .option("encoding", "ISO-8859-1")
+        .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .text(f"{target}/archives")
     )
-    _contents(spark, target).mapInArrow(_index, INDEX).write.parquet(f"{target}/index")
+    records = read_archives(spark, target, with_payload=False)
+    records.drop("payload").write.parquet(f"{target}/index")
+    return read_index(spark, target)
+
+
+def read_index(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{target}/index")
 
 
@@ -274,7 +284,7 @@ def _contents(spark: SparkSession, target: str) -> DataFrame:
 
 
 def split_members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, inflated member) of a normalised archive."""
+    """(offset, length, inflated member) of a normalised archive; empty members only part the others."""
     at = 0
     while at < len(content):
         stream = zlib.decompressobj(31)
@@ -285,9 +295,9 @@ def split_members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
                 raise ValueError("the archive ends inside a member")
             out.append(stream.decompress(piece))
             at += len(piece) - len(stream.unused_data)
-        yield begin, at - begin, b"".join(out)
-        while at < len(content) and content[at] == 0:
-            at += 1
+        record = b"".join(out)
+        if record:
+            yield begin, at - begin, record
 
 
 def read_record(record: bytes) -> dict:
@@ -315,11 +325,13 @@ def _reader(with_payload: bool, schema: pa.Schema):
         def rows() -> Iterator[dict]:
             for batch in batches:
                 for path, content in zip(batch.column("path"), batch.column("content")):
-                    for offset, _, record in split_members(content.as_buffer().to_pybytes()):
+                    archive = _folder(path.as_py())
+                    members = split_members(content.as_buffer().to_pybytes())
+                    for number, (offset, length, record) in enumerate(members):
                         row = read_record(record)
                         if not with_payload:
                             row["payload"] = None
-                        yield {"archive": _folder(path.as_py()), "offset": offset} | row
+                        yield {"archive": archive, "number": number, "offset": offset, "length": length} | row
 
         yield from _batches(rows(), schema, lambda r: 200 + len(r["payload"] or b""))
 
@@ -337,9 +349,8 @@ def read_archives(spark: SparkSession, target: str, with_payload: bool = True) -
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages as archives, normalise them and read them back."""
+    """Write pages as archives, normalise them and read their records back, without payloads."""
     spark = ready(pages.sparkSession)
     folder = f"{checkpoint_dir(spark)}/warc/{uuid.uuid4().hex}"
     write_archives(pages, f"{folder}/streams", least_bytes=least_bytes)
-    normalise(spark, f"{folder}/streams", f"{folder}/normal")
-    return read_archives(spark, f"{folder}/normal", with_payload=False)
+    return normalise(spark, f"{folder}/streams", f"{folder}/normal")
