@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by difference-cover, blockwise sorting of suffixes.
+"""Removal of repeated strings of bytes or words by difference-cover, blockwise sorting of suffixes.
 
 A difference cover modulo v is a set of residues such that any two positions have a common shift under
 v at which both are cover positions. So two equal strings of `length` bytes share a pair of cover
@@ -10,6 +10,7 @@ suffixes that start under v before its members: the inside of long ties, where n
 bytes lie, is never compared. The suffixes before members of a mixed class, at the ends of ties, are
 sorted by their first `length` bytes in the same way, bucket by bucket. Beginnings are compared by
 64-bit hashes, so equal ones fall together but classes are in hash order: repeats need equality only.
+The same holds with words in the place of bytes; a suffix then starts at a word.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from inkferry.llm.common import partitions_for, ready, staged, text_bytes
 
 LENGTH = 400
 MIXED, SETTLED = 1, 2  # classes of cover positions
-SEGMENT = 1 << 20  # bytes whose hashes are in memory at once
+SEGMENT = 1 << 20  # symbols whose hashes are in memory at once
 
 
 def is_prime(n: int) -> bool:
@@ -57,34 +58,63 @@ def cover_for(length: int) -> tuple[int, list[int]]:
     return difference_cover(max(fitting)) if fitting else (1, [0])
 
 
-def window_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the windows, whose starts rise, with a segment of the data in memory at a time."""
-    values = scan.byte_values()
-    out = np.empty(len(starts), np.uint64)
-    for low in range(0, len(data), SEGMENT):
-        first, last = np.searchsorted(starts, [low, low + SEGMENT])
-        if first < last:
-            high = int(ends[first:last].max())
-            hashes = scan.Hashes(values[data[low:high]])
-            out[first:last] = hashes.windows(starts[first:last] - low, ends[first:last] - low)
-    return out
+class Symbols:
+    """The bytes, or the words, of a home's texts, laid end to end."""
+
+    def __init__(self, block: scan.Block, unit: str = "bytes"):
+        self.block, self.words = block, None
+        if unit == "words":
+            self.words = scan.words(block, scan.is_space())
+            self.values, self.starts = scan.word_hashes(block, self.words), self.words.bounds
+        else:
+            self.values, self.starts = block.data, block.starts
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the windows, whose starts rise, with a segment of the symbols in memory at a time."""
+        table = scan.byte_values() if self.words is None else None
+        out = np.empty(len(starts), np.uint64)
+        for low in range(0, len(self), SEGMENT):
+            first, last = np.searchsorted(starts, [low, low + SEGMENT])
+            if first < last:
+                high = int(ends[first:last].max())
+                values = self.values[low:high]
+                hashes = scan.Hashes(values if table is None else table[values])
+                out[first:last] = hashes.windows(starts[first:last] - low, ends[first:last] - low)
+        return out
+
+    def in_bytes(self, flags: np.ndarray) -> np.ndarray:
+        """Flags of the bytes that flagged symbols take up, with what is between neighbouring words."""
+        if self.words is None:
+            return flags
+        edge = np.zeros(len(flags) + 1, bool)
+        edge[self.starts] = True
+        begins, ends = flags.copy(), flags.copy()
+        begins[1:] &= ~flags[:-1] | edge[1:-1]
+        ends[:-1] &= ~flags[1:] | edge[1:-1]
+        change = np.zeros(len(self.block.data) + 1, np.int32)
+        change[self.words.starts[begins]] += 1
+        change[self.words.ends[ends]] -= 1
+        return np.cumsum(change[:-1]) > 0
 
 
 class Cover:
     """Cover positions of a home's texts with the hashes of their beginnings."""
 
-    def __init__(self, block: scan.Block, length: int, v: int, residues: list[int]):
-        self.block, self.length, self.v = block, length, v
+    def __init__(self, symbols: Symbols, length: int, v: int, residues: list[int]):
+        self.symbols, self.length, self.v = symbols, length, v
         flags = np.zeros(v, bool)
         flags[residues] = True
-        size = np.diff(block.starts)
-        at = np.arange(len(block.data)) - np.repeat(block.starts[:-1], size)
-        self.left = np.repeat(size, size) - at  # bytes to the end of the text
+        size = np.diff(symbols.starts)
+        at = np.arange(len(symbols)) - np.repeat(symbols.starts[:-1], size)
+        self.left = np.repeat(size, size) - at  # symbols to the end of the text
         self.positions = np.flatnonzero(flags[at % v] & (self.left >= length - v + 1))
         starts, left = self.positions, self.left[self.positions]
-        self.hashes = window_hashes(block.data, starts, starts + (length - v + 1))
+        self.hashes = symbols.hashes(starts, starts + (length - v + 1))
         self.first = np.maximum(starts - v + 1, self.text_start(starts))
-        context = window_hashes(block.data, self.first, starts + np.minimum(left, length))
+        context = symbols.hashes(self.first, starts + np.minimum(left, length))
         context = scan.mixed(context ^ scan.mixed((starts - self.first).astype(np.uint64)))
         # 48 bits of each travel: a false tie of classes only means more starts to compare, and contexts
         # are compared inside a class
@@ -111,14 +141,15 @@ class Cover:
     def before(self, flags: np.ndarray) -> np.ndarray:
         """Flags of the starts under v before the chosen cover positions, or at them."""
         first = self.first[flags]
-        return covered(first, self.positions[flags] + 1 - first, len(self.block.data))
+        return covered(first, self.positions[flags] + 1 - first, len(self.symbols))
 
     def text_start(self, positions: np.ndarray) -> np.ndarray:
-        return self.block.starts[np.searchsorted(self.block.starts, positions, "right") - 1]
+        starts = self.symbols.starts
+        return starts[np.searchsorted(starts, positions, "right") - 1]
 
 
 def covered(starts: np.ndarray, length: int | np.ndarray, size: int) -> np.ndarray:
-    """Flags of the bytes covered by stretches of `length` from `starts`."""
+    """Flags of the symbols covered by stretches of `length` from `starts`."""
     change = np.zeros(size + 1, np.int32)
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + length, size), -1)
@@ -166,22 +197,27 @@ def remove_repeats(
     out: str = "removal",
     keep: list[str] | None = None,
     as_text: bool = False,
+    unit: str = "bytes",
 ) -> DataFrame:
     """Add a struct (n_bytes, n_removed, spans, kept): the text without its repeated bytes.
 
     A byte of the UTF-8 text goes if it lies in a string of `length` bytes that starts at another place
-    too, in the same or another row; all copies go, and strings are judged on the input. `spans` are the
-    maximal removed runs, `kept` the rest joined, as bytes, since a cut may split a character; with
-    `as_text` it is a string, without the characters that a cut has split.
+    too, in the same or another row; all copies go, and strings are judged on the input. With the unit
+    `words` strings are `length` words, whatever white space is between them, and what is between two
+    removed words goes too. `spans` are the maximal removed runs in bytes, `kept` the rest joined, as
+    bytes, since a cut may split a character; with `as_text` it is a string, without the characters that
+    a cut has split.
 
     Null and empty texts have no bytes. Repeated rows are copies of each other, so all their bytes go
-    from `length` bytes on. Shorter texts stay whole. A column already named `out` is replaced; an empty
+    from `length` bytes (or words) on. Shorter texts stay whole. A column already named `out` is replaced; an empty
     table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = ready(docs.sparkSession)
     columns = [c for c in (keep if keep is not None else docs.columns) if c != out]
+    if unit not in ("bytes", "words"):
+        raise ValueError(f"no unit {unit!r}")
     v, residues = cover_for(length)
     n_bytes = text_bytes(docs, text)
     own = [f"c{i}" for i in range(len(columns))]  # no clash with the columns of the layout
@@ -195,7 +231,7 @@ def remove_repeats(
 
     def send_cover(table: pa.Table) -> pa.Table:
         table, block = exchange.home_block(table, "_text")
-        cover = Cover(block, length, v, residues)
+        cover = Cover(Symbols(block, unit), length, v, residues)
         home = table.column("_home")[0].as_py()
         return exchange.send(home, cover.sent, n, cover.sent_context.view(np.int64))
 
@@ -207,8 +243,9 @@ def remove_repeats(
         if not len(table):
             return exchange.send(0, np.zeros(0, np.uint64), n)
         table, block = exchange.home_block(table, "_text")
-        _, open_starts = Cover(block, length, v, residues).starts(answers, n)
-        hashes = np.unique(window_hashes(block.data, open_starts, open_starts + length))
+        symbols = Symbols(block, unit)
+        _, open_starts = Cover(symbols, length, v, residues).starts(answers, n)
+        hashes = np.unique(symbols.hashes(open_starts, open_starts + length))
         return exchange.send(table.column("_home")[0].as_py(), hashes, n)
 
     second = staged(
@@ -226,11 +263,12 @@ def remove_repeats(
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         table, block = exchange.home_block(table, "_text")
-        repeats, open_starts = Cover(block, length, v, residues).starts(answers, n)
-        hashes, place, copies = exchange.distinct(window_hashes(block.data, open_starts, open_starts + length))
+        symbols = Symbols(block, unit)
+        repeats, open_starts = Cover(symbols, length, v, residues).starts(answers, n)
+        hashes, place, copies = exchange.distinct(symbols.hashes(open_starts, open_starts + length))
         tied, _ = exchange.heard(answers, 2, hashes, n)
         repeats[open_starts[(tied | (copies > 1))[place]]] = True
-        gone = covered(np.flatnonzero(repeats), length, len(block.data))
+        gone = symbols.in_bytes(covered(np.flatnonzero(repeats), length, len(symbols)))
         rows = []
         for low, high in zip(block.starts[:-1].tolist(), block.starts[1:].tolist()):
             flags = gone[low:high]

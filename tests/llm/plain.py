@@ -181,3 +181,21 @@ def conversation(turns):
         lines.append(f"{role}:{text}")
     facts = [counts[c] for c in ("blank", "duplicate", "truncated")]
     return gaps, *facts, illegal, cost, letters, sha256("\n".join(lines))
+
+
+def cut_long_repeats(texts, length):
+    """Bytes left when every word of a repeated string of `length` words goes, with what is between two."""
+    places = [[m.span() for m in WORD.finditer(t or "")] for t in texts]
+    strings = [[(t or "")[a:z] for a, z in p] for t, p in zip(texts, places)]
+    counts = Counter(tuple(w[i : i + length]) for w in strings for i in range(len(w) - length + 1))
+    out = []
+    for text, spans, found in zip(texts, places, strings):
+        gone = set()
+        for i in range(len(found) - length + 1):
+            if counts[tuple(found[i : i + length])] > 1:
+                gone.update(range(i, i + length))
+        chars = set()
+        for i in gone:
+            chars.update(range(spans[i][0], spans[i + 1][0] if i + 1 in gone else spans[i][1]))
+        out.append("".join(c for i, c in enumerate(text or "") if i not in chars))
+    return out

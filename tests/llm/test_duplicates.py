@@ -61,6 +61,22 @@ def test_repeated_bytes(spark, odd_docs, odd_rows, length, monkeypatch):
     assert sorted(got, key=repr) == sorted(((i, *c) for (i, _), c in zip(odd_rows, cut)), key=repr)
 
 
+@pytest.mark.parametrize("length", [3, 51])
+def test_repeated_words(spark, odd_docs, odd_rows, length, monkeypatch):
+    monkeypatch.setattr("inkferry.llm.exchange.HOME_BYTES", 30_000)
+    done = suffixes.remove_repeats(odd_docs, length=length, unit="words", as_text=True, keep=["doc_id", "key"])
+    got = by_row(done, "doc_id", "removal.kept")
+    left = plain.cut_long_repeats([t for _, t in odd_rows], length)
+    assert got == sorted(((i, t) for (i, _), t in zip(odd_rows, left)), key=repr)
+    sizes = by_row(done, "doc_id", "removal.n_bytes", "removal.n_removed")
+    assert sizes == sorted(
+        ((i, len((t or "").encode()), len((t or "").encode()) - len(x.encode())) for (i, t), x in zip(odd_rows, left)),
+        key=repr,
+    )
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(odd_docs, unit="lines")
+
+
 def test_repeated_bytes_as_text(spark, no_docs):
     rows = [(1, "é" * 300 + "x"), (2, "ab" + "é" * 300)]
     done = suffixes.remove_repeats(frame(spark, rows), as_text=True, keep=["doc_id"])
