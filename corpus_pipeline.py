@@ -31,9 +31,14 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return rows.join(one.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
+PASSAGE_WORDS = 51  # repeats of over fifty words go
+
+
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out the byte strings that repeat; every document stays, maybe with an empty text."""
-    done = suffixes.remove_repeats(docs, as_text=True, keep=[c for c in docs.columns if c != "text"])
+    """Cut out the passages of over fifty words that repeat; every document stays, maybe with an empty text."""
+    done = suffixes.remove_repeats(
+        docs, length=PASSAGE_WORDS, unit="words", as_text=True, keep=[c for c in docs.columns if c != "text"]
+    )
     return done.withColumn("text", F.when(F.col("removal.n_bytes") >= 0, F.col("removal.kept"))).withColumn(
         "n_chars", F.length("text").cast("bigint")
     ).select(*docs.columns)
