@@ -69,3 +69,26 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     assert kept == one
     cut = corpus_pipeline.suffix_deduplication(spark, out, SMALL)
     assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == one
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    """Also those far under 400 bytes; passages of fifty words and documents without repeats stay."""
+    rng = random.Random(9)
+    short = [" ".join(rng.choice("abcdefgh") + rng.choice("ijklmno") for _ in range(n)) for n in (51, 58, 65)]
+    long = [prose(rng, n) for n in (51, 60, 200)]
+    fifty = prose(rng, 50)
+    assert min(len(p) for p in short) < 160 and all(len(p.split()) > 50 for p in short + long)
+    rows, expected = [], []
+    for n, passage in enumerate([*short, *long]):
+        for copy in range(3):
+            before, after = f"{prose(rng, 40)} a{n}b{copy}", f"c{n}d{copy} {prose(rng, 30)}"
+            rows.append((10 * n + copy, f"{before} {passage}\n{after}"))
+            expected.append((10 * n + copy, f"{before} \n{after}"))
+    for i in range(1000, 1010):
+        text = f"{prose(rng, 60)} a{i} {fifty} b{i} {prose(rng, 60)}"
+        rows.append((i, text))
+        expected.append((i, text))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SMALL, "documents").schema)
+    cut = corpus_pipeline.suffix_deduplication(spark, docs, SMALL)
+    assert sorted((r.doc_id, r.text) for r in cut.collect()) == expected
+    assert cut.filter("n_chars <> length(text)").count() == 0
