@@ -635,11 +635,28 @@ USAGE = """SELECT concat('https://blog-', user_id % 4, '.example.com') AS blog_u
 FROM events GROUP BY 1, 2"""
 oracle("rate_usage", "", USAGE)
 oracle("stream_rate_usage", "", USAGE)
+oracle("stream_closed_usage", "", USAGE)
 oracle(
     "stream_new_urls",
     "list_pages post_jobs crawl_items",
-    """SELECT DISTINCT blog_url, post_url FROM (SELECT blog_url, concat(blog_url, unnest(h)) AS post_url FROM hrefs) d
-WHERE NOT EXISTS (SELECT 1 FROM crawled c WHERE c.blog_url = d.blog_url AND c.post_url = d.post_url)""",
-    DISCOVERED.split(",\nends AS")[0],
+    "SELECT blog_url, post_url FROM open_posts",
+    DISCOVERED,
     CRAWLED,
+    OPEN_POSTS,
+)
+oracle("stream_retry_changes", LOG, "SELECT blog_url, post_url FROM states WHERE done = 0 AND bad > 0", TAGGED, STATES)
+oracle(
+    "stream_item_changes",
+    "item_patches",
+    "SELECT id, field, value, seq FROM item_patches QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY seq DESC) = 1",
+)
+oracle(
+    "stream_retry_due",
+    LOG,
+    """SELECT blog_url, post_url, n, CASE WHEN n >= 3 THEN 'exhausted' WHEN last_ms + delay_ms <= (SELECT max(epoch_ms(created_at)) FROM tagged) THEN 'sent' ELSE 'queued' END AS event, delay_ms
+FROM (SELECT blog_url, post_url, CAST(bad AS BIGINT) AS n, CAST(CASE bad WHEN 1 THEN 500 WHEN 2 THEN 4000 END AS BIGINT) AS delay_ms,
+  (SELECT max(epoch_ms(created_at)) FROM tagged f WHERE f.status = 'failed' AND f.blog_url = s.blog_url AND f.post_url = s.post_url) AS last_ms
+  FROM states s WHERE done = 0 AND bad > 0)""",
+    TAGGED,
+    STATES,
 )

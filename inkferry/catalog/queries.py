@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkferry.catalog.fixtures import Tables
@@ -14,7 +14,7 @@ from inkferry.operators import content, extract, history, ledger, media, preview
 from inkferry.operators.skew import checkpoint_dir, staged
 from inkferry.plans import dispatch, runs
 from inkferry.sources import exports, tables
-from inkferry.streaming import streams
+from inkferry.streaming import changes, frontier, intervals, retry_queue, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -579,13 +579,84 @@ def stream_retry_set(t: Tables) -> DataFrame:
     return streams.due_for_retry(streams.merged(t.spark, [out], streams.merged_counts))
 
 
+def _arrivals(
+    t: Tables, rows: DataFrame, name: str, part: Column, n: int, run: Callable[[DataFrame, str, str], None]
+) -> str:
+    """Let rows arrive in `n` parts, run a stream to its end after each, restarted from its checkpoint.
+
+    `part` is the number of a row's part. Returns the folder of the results.
+    """
+    out, checkpoint = _run_folder(t, name)
+    source = f"{out}-source"
+    table = staged(rows.withColumn("_part", part), name)
+    for number in range(n):
+        table.filter(F.col("_part") == number).drop("_part").write.mode("append").parquet(source)
+        run(t.spark.readStream.schema(rows.schema).parquet(source), out, checkpoint)
+    return out
+
+
 @query
 def stream_new_urls(t: Tables) -> DataFrame:
-    out, checkpoint = _run_folder(t, "new_urls")
-    attempted = history.attempted_urls(t.view("crawl_items"), t.view("post_jobs"))
-    pages = _stream_view(t, "pages", "list_pages")
-    streams.run_partials(pages, lambda batch: streams.listed_urls(batch, LIST_CFG), out, checkpoint)
-    return streams.merged(t.spark, [out], lambda listed: streams.new_urls(listed, attempted))
+    # pages come in an order of their own, so most fill gaps before pages that came earlier
+    scattered = F.pmod(F.xxhash64("blog_url", "page_no"), F.lit(4))
+    advance = lambda pages, out, checkpoint: frontier.run_frontier(pages, out, checkpoint, LIST_CFG)
+    out = _arrivals(t, t.view("list_pages"), "new_urls", scattered, 4, advance)
+    found = frontier.released(t.spark, out).select("blog_url", "post_url")
+    return history.pending_urls(found, t.view("crawl_items"), t.view("post_jobs"))
+
+
+@query
+def stream_retry_due(t: Tables) -> DataFrame:
+    attempts = history.items_of_blogs(*_log(t)).select(
+        "id", "blog_url", "post_url", "status", F.col("created_at").cast("timestamp").alias("at")
+    )
+    span = attempts.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    total = F.lit(span["last"]).cast("double") - F.lit(span["first"]).cast("double")
+    passed = F.col("at").cast("double") - F.lit(span["first"]).cast("double")
+    third = F.least(F.floor(3 * passed / F.greatest(total, F.lit(1.0))), F.lit(2))
+
+    def advance(stream: DataFrame, out: str, checkpoint: str) -> None:
+        retry_queue.run_retry_queue(retry_queue.retry_queue(stream, 3, 500, 4000, 10), out, checkpoint)
+
+    out = _arrivals(t, attempts, "retry_due", third, 3, advance)
+    return retry_queue.queue_state(t.spark, out).select("blog_url", "post_url", "n", "event", "delay_ms")
+
+
+@query
+def stream_retry_changes(t: Tables) -> DataFrame:
+    jobs, post = t.view("post_jobs"), ["blog_url", "post_url"]
+
+    def advance(stream: DataFrame, out: str, checkpoint: str) -> None:
+        counts = lambda batch: streams.retry_counts(batch, jobs)
+        changes.run_changes(stream, counts, streams.merged_counts, post, out, checkpoint, streams.due_for_retry)
+
+    out = _arrivals(t, t.view("job_items"), "retry_changes", F.pmod("id", F.lit(5)), 5, advance)
+    return changes.current(changes.changes(t.spark, out), post)
+
+
+@query
+def stream_item_changes(t: Tables) -> DataFrame:
+    key = ["id", "field"]
+
+    def advance(stream: DataFrame, out: str, checkpoint: str) -> None:
+        changes.run_changes(stream, streams.item_state, streams.item_state, key, out, checkpoint)
+
+    out = _arrivals(t, t.view("item_patches"), "item_changes", F.pmod("seq", F.lit(3)), 3, advance)
+    return changes.current(changes.changes(t.spark, out), key)
+
+
+@query
+def stream_closed_usage(t: Tables) -> DataFrame:
+    scattered = F.pmod(F.xxhash64("blog_url", "started_at"), F.lit(3))
+
+    def advance(stream: DataFrame, out: str, checkpoint: str) -> None:
+        intervals.run_closed_intervals(stream, "1 hour", "2 hours", out, checkpoint)
+
+    out = _arrivals(t, _starts(t.read("events")), "closed_usage", scattered, 3, advance)
+    found = intervals.closed(t.spark, out).unionByName(intervals.corrections(t.spark, out)).drop("batch_id")
+    found = found.unionByName(intervals.still_open(t.spark, out, "1 hour", "2 hours", 3))
+    usage = streams.against_cap(streams.merged_starts(found), 5)
+    return usage.withColumn("interval_start", F.col("interval_start").cast("timestamp_ntz"))
 
 
 @query

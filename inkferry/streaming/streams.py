@@ -54,7 +54,10 @@ def due_for_retry(state: DataFrame) -> DataFrame:
 
 
 def listed_urls(list_pages: DataFrame, cfg: MigrationConfig = MigrationConfig()) -> DataFrame:
-    """Distinct posts on list pages; merges by `distinct`."""
+    """Distinct posts on list pages, also behind the end of a blog; merges by `distinct`.
+
+    `frontier` keeps to the pages up to the first missing or empty one.
+    """
     links = parse_stage(list_pages, cfg, ("list_links",), ("blog_url",)).select(
         "blog_url", F.explode("hrefs").alias("href")
     )
@@ -63,7 +66,7 @@ def listed_urls(list_pages: DataFrame, cfg: MigrationConfig = MigrationConfig())
 
 
 def new_urls(listed: DataFrame, attempted: DataFrame) -> DataFrame:
-    """Listed posts that were never attempted, each once."""
+    """Listed posts that were never attempted, each once, on whatever page they are."""
     key = ["blog_url", "post_url"]
     return listed.select(*key).distinct().join(attempted.select(*key), key, "left_anti")
 
