@@ -167,6 +167,35 @@ SELECT page_id + 1 AS id, 4 + page_id % 4 AS job_id,
          regexp_extract(html, '<li><a href="([^"]*)"', 1)) AS post_url,
   'failed' AS status
 FROM pages""",
+    "outcomes": """
+SELECT CASE WHEN id % 101 = 0 THEN id + 1000000000 ELSE id END AS id, id AS seq,
+  CASE WHEN id % 97 = 0 THEN 'paused' ELSE status END AS status,
+  CASE WHEN id % 89 = 0 THEN NULL ELSE dest_post_id END AS dest_post_id, error_message
+FROM job_items WHERE status IN ('completed', 'failed') AND job_id % 3 <> 0""",
+    "messages": """
+SELECT error_message FROM job_items WHERE status = 'failed'
+UNION ALL
+SELECT value AS error_message FROM item_patches WHERE field = 'error_message'
+UNION ALL
+SELECT concat('  blog ', CAST(event_id % 4 AS VARCHAR(9)), ' answered ', CAST(500 + event_id % 3 AS VARCHAR(9)), ' for post ',
+  CAST(event_id AS VARCHAR(20))) AS error_message FROM events""",
+    "moved_posts": """
+SELECT concat('https://blog-', CAST(page_id % 4 AS VARCHAR(9)), '.example.com/older/', CAST(page_id AS VARCHAR(9))) AS from_url,
+  concat('http://BLOG-', CAST(page_id % 4 AS VARCHAR(9)), '.example.com:80/old/', CAST(page_id AS VARCHAR(9)), '/') AS to_url FROM pages
+UNION ALL
+SELECT concat('https://blog-', CAST(page_id % 4 AS VARCHAR(9)), '.example.com/old/', CAST(page_id AS VARCHAR(9)), '?') AS from_url,
+  concat('https://blog-', CAST(page_id % 4 AS VARCHAR(9)), '.example.com/', CAST(page_id AS VARCHAR(9))) AS to_url FROM pages
+WHERE page_id % 7 <> 0""",
+    "moved_map": """
+SELECT page_id + 1 AS id, concat('https://blog-', CAST(page_id % 4 AS VARCHAR(9)), '.example.com/', CAST(page_id AS VARCHAR(9))) AS post_url,
+  page_id + 600000 AS dest_post_id FROM pages WHERE page_id % 5 <> 0""",
+    "moved_links": """
+SELECT page_id * 8 + k AS id, page_id AS target, k,
+  concat(CASE k WHEN 1 THEN 'http://' WHEN 2 THEN 'HTTPS://' ELSE 'https://' END,
+    CASE WHEN k = 2 THEN 'Blog-' ELSE 'blog-' END, CAST(page_id % 4 AS VARCHAR(9)), '.example.com',
+    CASE WHEN k = 2 THEN ':443' ELSE '' END, CASE k WHEN 5 THEN '/old/' WHEN 6 THEN '/older/' ELSE '/' END,
+    CAST(page_id AS VARCHAR(9)), CASE k WHEN 3 THEN '/' WHEN 4 THEN '#top' WHEN 5 THEN '?' WHEN 6 THEN '//#x' WHEN 7 THEN '/more' ELSE '' END) AS target_url
+FROM pages CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS kinds(k)""",
     "existing_terms": """
 SELECT taxonomy, CAST(id AS BIGINT) AS id, name, CAST(parent AS BIGINT) AS parent
 FROM (VALUES ('category', 10, 'Cat 1', 0), ('category', 12, 'cat 2', 0), ('category', 7, 'Cat 3', 0),
@@ -181,6 +210,8 @@ NEEDS = {
     "broken_image_assets": ("image_assets",),
     "broken_internal_links": ("internal_links",),
     "broken_map": ("job_items",),
+    "outcomes": ("job_items",),
+    "messages": ("job_items", "item_patches"),
 }
 
 

@@ -660,3 +660,61 @@ FROM (SELECT blog_url, post_url, CAST(bad AS BIGINT) AS n, CAST(CASE bad WHEN 1
     TAGGED,
     STATES,
 )
+oracle("list_pages_table", "list_pages", "SELECT * FROM list_pages")
+oracle(
+    "history_tables",
+    "job_items post_jobs image_assets internal_links post_map",
+    """SELECT t.id, t.blog_url, t.status, (SELECT COUNT(*) FROM image_assets a WHERE a.job_item_id = t.id) AS n_assets,
+  (SELECT COUNT(*) FROM internal_links l WHERE l.job_item_id = t.id) AS n_links, m.dest_post_id FROM tagged t LEFT JOIN post_map m ON m.id = t.id""",
+    TAGGED,
+)
+oracle(
+    "written_posts",
+    "posts_raw",
+    "SELECT blog_url, url, CASE WHEN page_id % 4 = 2 THEN lower(html) ELSE html END AS html FROM posts_raw",
+)
+oracle(
+    "converted_content",
+    "",
+    """SELECT page_id, CASE WHEN html = '' OR c = '' THEN '' ELSE concat('<p>', c, '</p>') END AS content
+FROM (SELECT page_id, html, trim(regexp_replace(html, '<[^>]*>', ' ', 'g'), ' ') AS c FROM pages)""",
+)
+oracle(
+    "token_overlap",
+    "",
+    r"""SELECT doc_id, CAST(len(b) AS BIGINT) AS n_before, CAST(len(a) AS BIGINT) AS n_after, CAST(COALESCE(common, 0) AS BIGINT) AS n_common, sha256(COALESCE(lost, '')) AS lost_sha256
+FROM docs LEFT JOIN sums USING (doc_id)""",
+    r"""docs AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS b,
+  regexp_extract_all(COALESCE(CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'a') ELSE text END, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+each AS (SELECT doc_id, unnest(b) AS word, 1 AS x, 0 AS y FROM docs UNION ALL SELECT doc_id, unnest(a), 0, 1 FROM docs),
+counts AS (SELECT doc_id, word, sum(x) AS x, sum(y) AS y FROM each GROUP BY doc_id, word),
+sums AS (SELECT doc_id, sum(least(x, y)) AS common, string_agg(concat(word, ' ', x - y), chr(10) ORDER BY word) FILTER (x > y) AS lost FROM counts GROUP BY doc_id)""".replace("\\\\", "\\"),
+)
+oracle(
+    "failure_templates",
+    "messages",
+    """SELECT template, COUNT(*) AS items, COUNT(DISTINCT COALESCE(error_message, '')) AS messages, template <> '' AS named FROM
+  (SELECT error_message, CASE WHEN error_message IS NULL THEN '' WHEN error_message LIKE 'patched %' THEN 'patched <*>'
+    WHEN error_message LIKE '  blog %' THEN regexp_replace(trim(error_message), '[0-9]+$', '<*>') WHEN error_message LIKE 'HTTP 500' THEN 'HTTP 500' ELSE error_message END AS template FROM messages)
+GROUP BY template""",
+)
+oracle(
+    "resolve_aliases",
+    "moved_links moved_map",
+    """SELECT id, target, k, target_url, CASE WHEN k < 5 OR (k < 7 AND target % 7 <> 0) THEN d END AS dest_post_id,
+  NOT (d IS NOT NULL AND (k < 5 OR (k < 7 AND target % 7 <> 0))) AS dangling
+FROM (SELECT l.*, (SELECT dest_post_id FROM moved_map m WHERE m.id = l.target + 1) AS d FROM moved_links l)""",
+)
+oracle(
+    "stream_outcomes",
+    "job_items outcomes",
+    """SELECT id, 'mapped' AS what, CAST(dest_post_id AS VARCHAR) AS value FROM done WHERE reason IS NULL
+UNION ALL SELECT id, 'refused', reason FROM done WHERE reason IS NOT NULL
+UNION ALL SELECT id, 'refused', reason FROM checked WHERE reason IS NOT NULL
+UNION ALL SELECT id, 'status', CASE WHEN reason IS NULL THEN 'completed' ELSE 'failed' END FROM done
+UNION ALL SELECT id, 'status', 'failed' FROM checked WHERE reason IS NULL AND status = 'failed'""",
+    """checked AS (SELECT o.*, i.post_url, CASE WHEN i.id IS NULL THEN 'unknown item' WHEN o.status = 'paused' THEN 'status not allowed'
+    WHEN o.status = 'completed' AND o.dest_post_id IS NULL THEN 'completed without a post' END AS reason FROM outcomes o LEFT JOIN job_items i ON i.id = o.id),
+done AS (SELECT id, dest_post_id, CASE WHEN n > 1 OR post_url IN (SELECT post_url FROM job_items WHERE status = 'completed' AND job_id % 3 = 0) THEN 'post_url already mapped' END AS reason
+  FROM (SELECT *, row_number() OVER (PARTITION BY post_url ORDER BY id) AS n FROM checked WHERE reason IS NULL AND status = 'completed'))""",
+)

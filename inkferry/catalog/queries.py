@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkferry.catalog.fixtures import Tables
 from inkferry.config import MigrationConfig
 from inkferry.functions import text
-from inkferry.operators import content, extract, history, ledger, media, previews, terms
+from inkferry.operators import aliases, content, extract, history, ledger, media, overlap, previews, templates, terms
 from inkferry.operators.skew import checkpoint_dir, staged
 from inkferry.plans import dispatch, runs
 from inkferry.sources import exports, tables
-from inkferry.streaming import changes, frontier, intervals, retry_queue, streams
+from inkferry.streaming import changes, frontier, intervals, outcomes, retry_queue, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +92,44 @@ def assign_ids(t: Tables) -> DataFrame:
     return ledger.assign_ids(events, ["ts", "event_id"], t.view("image_assets")).select("event_id", "id")
 
 
+def _written(t: Tables, name: str) -> str:
+    import uuid
+
+    return f"{checkpoint_dir(t.spark)}/staged/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def list_pages_table(t: Tables) -> DataFrame:
+    path = _written(t, "list-pages")
+    t.view("list_pages").write.parquet(path)
+    return tables.read_list_pages(t.spark, path)
+
+
+@query
+def history_tables(t: Tables) -> DataFrame:
+    path, now = _written(t, "history"), F.lit(CLOSED_AT).cast("timestamp_ntz")
+    for name, rows in _history(t).items():
+        exports.append_rows(name, rows, now, f"{path}/{name}")
+    read = tables.read_history(t.spark, path)
+    assets, links = read["image_assets"], read["internal_links"]
+    items = history.items_of_blogs(read["job_items"], read["post_jobs"]).select("id", "blog_url", "status")
+    counted = lambda rows, name: rows.groupBy("job_item_id").agg(F.count(F.lit(1)).alias(name))
+    found = items.join(counted(assets, "n_assets").withColumnRenamed("job_item_id", "id"), "id", "left")
+    found = found.join(counted(links, "n_links").withColumnRenamed("job_item_id", "id"), "id", "left")
+    mapped = read["post_map"].select("id", "dest_post_id")
+    return found.join(mapped, "id", "left").fillna(0, ["n_assets", "n_links"])
+
+
+@query
+def written_posts(t: Tables) -> DataFrame:
+    path = _written(t, "posts")
+    pages = t.view("posts_raw").select("blog_url", "url", "html")
+    exports.write_posts(pages, path)
+    again = pages.filter("blog_url LIKE 'https://blog-2.%'").withColumn("html", F.lower("html"))
+    exports.write_posts(again, path, replace=True)
+    return t.spark.read.schema("url STRING, html STRING, blog_url STRING").parquet(path)
+
+
 # --- text ---
 
 
@@ -218,6 +258,27 @@ def clean_content(t: Tables) -> DataFrame:
     return content.clean_content(t.view("posts_raw"), CFG, keep=KEEP).select("url", "content")
 
 
+@query
+def converted_content(t: Tables) -> DataFrame:
+    @F.arrow_udf("string")
+    def plain(html: pa.Array) -> pa.Array:
+        return pc.utf8_trim(pc.replace_substring_regex(html, "<[^>]*>", " "), " ")
+
+    @F.arrow_udf("string")
+    def paragraph(words: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise("<p>", words, "</p>", "")
+
+    return content.convert_html(t.read("pages"), plain, paragraph).select("page_id", "content")
+
+
+@query
+def token_overlap(t: Tables) -> DataFrame:
+    docs = t.read("documents").select("doc_id", "text", F.expr("CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'a') ELSE text END").alias("after"))
+    found = overlap.token_overlap(docs, "doc_id", "text", "after")
+    lost = F.array_join(F.transform("lost", lambda w: F.concat_ws(" ", w["word"], w["n"].cast("string"))), "\n")
+    return found.select("doc_id", "n_before", "n_after", "n_common", F.sha2(lost.cast("binary"), 256).alias("lost_sha256"))
+
+
 def _carded(t: Tables, posts: DataFrame) -> DataFrame:
     shown = previews.preview_metadata(extract.bookmarks(posts), t.view("fetched_pages"))
     return content.replace_bookmarks(posts, shown)
@@ -424,6 +485,17 @@ def failure_causes(t: Tables) -> DataFrame:
     return history.failure_causes(t.view("job_items"))
 
 
+@query
+def failure_templates(t: Tables) -> DataFrame:
+    found = templates.learned_templates(t.view("messages"))
+    return templates.summed(found).select("template", "items", "messages", "named")
+
+
+@query
+def resolve_aliases(t: Tables) -> DataFrame:
+    return aliases.resolve_aliased_links(t.view("moved_links"), t.view("moved_map"), t.view("moved_posts"))
+
+
 @query
 def extend_post_map(t: Tables) -> DataFrame:
     # posts completed by full runs are mapped; the other runs' completions come on top
@@ -659,6 +731,22 @@ def stream_closed_usage(t: Tables) -> DataFrame:
     return usage.withColumn("interval_start", F.col("interval_start").cast("timestamp_ntz"))
 
 
+@query
+def stream_outcomes(t: Tables) -> DataFrame:
+    items = t.view("job_items").select("id", "post_url", "job_id", "status", "dest_post_id")
+    full = items.filter("status = 'completed' AND job_id % 3 = 0")
+    mapped = full.groupBy("post_url").agg(F.min("id").alias("id"), F.min("dest_post_id").alias("dest_post_id"))
+    arriving = t.view("outcomes")
+    last = arriving.agg(F.max("seq")).first()[0] or 0
+    part = F.least(F.floor(3 * F.col("seq") / F.lit(last + 1)), F.lit(2))
+    advance = lambda stream, out, checkpoint: outcomes.run_outcomes(stream, items, mapped, out, checkpoint)
+    out = _arrivals(t, arriving, "outcomes", part, 3, advance)
+    new = outcomes.mapped(t.spark, out, 3).select("id", F.lit("mapped").alias("what"), F.col("dest_post_id").cast("string").alias("value"))
+    refused = outcomes.refused(t.spark, out).select("id", F.lit("refused").alias("what"), F.col("reason").alias("value"))
+    states = streams.item_state(outcomes.patches(t.spark, out)).filter("field = 'status'")
+    return new.unionByName(refused).unionByName(states.select("id", F.lit("status").alias("what"), "value"))
+
+
 @query
 def stream_rate_usage(t: Tables) -> DataFrame:
     out, checkpoint = _run_folder(t, "rate_usage")

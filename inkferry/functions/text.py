@@ -122,9 +122,6 @@ def parse_instant(text: Column) -> Column:
         .when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text))
     ]
     # a leading day of the week and a trailing remark in brackets say nothing new
-    bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},? (?=[A-Z0-9])|\s*\([^()]*\)$", "")
-    bare = F.when(text.rlike(r"^(?i)(mon|tue|wed|thu|fri|sat|sun)"), bare).otherwise(text)
-    # a leading day of the week and a trailing remark in brackets say nothing new
     named_day = text.rlike(r"^(?i)(mon|tue|wed|thu|fri|sat|sun)")
     bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},? (?=[A-Z0-9])|\s*\([^()]*\)$", "")
     bare = F.when(named_day, bare).otherwise(text)

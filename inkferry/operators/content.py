@@ -45,6 +45,27 @@ def clean_content(
     return cleaned.select(*keep, content.alias("content"))
 
 
+def convert_html(
+    pages: DataFrame,
+    to_markdown: Callable[[Column], Column],
+    to_html: Callable[[Column], Column] | None = None,
+    html: str = "html",
+    out: str = "content",
+) -> DataFrame:
+    """Add the caller's conversion of an HTML column, with no reading of the page in between.
+
+    The converters are column functions, usually Arrow UDFs. They get no null and no empty text; these
+    stay as they are.
+    """
+    source = F.col(html)
+    converted = F.when(source == "", source).otherwise(F.when(source.isNotNull(), to_markdown(source)))
+    if to_html is not None:
+        pages = pages.withColumn("_converted", converted)
+        found = F.col("_converted")
+        converted = F.when(found == "", found).otherwise(F.when(found.isNotNull(), to_html(found)))
+    return pages.withColumn(out, converted).drop("_converted")
+
+
 def _with_html(kind: str, html: Callable[[Column], Column]) -> Column:
     return F.transform(
         "segments",

@@ -92,7 +92,10 @@ def build_payloads(
     ready = attach_map(posts.filter(~is_refused()), list(id_columns), keys, table, "_ids")
     if featured_media is not None:
         one_each = featured_media.groupBy("url").agg(F.max("featured_media").alias("featured_media"))
-        ready = ready.join(one_each, "url", "left")
+        # found by narrow rows, so that the content stays where the terms' join put it
+        ids = list(id_columns)
+        found = skew_join(posts.select(*ids, "url"), one_each, ["url"], "inner", spread_by=ids[0])
+        ready = ready.join(found.select(*ids, "featured_media"), ids, "left")
     else:
         ready = ready.withColumn("featured_media", F.lit(None).cast("bigint"))
     payloads = ready.select(

@@ -17,13 +17,26 @@ UNKNOWN_BLOG = "unknown"
 LINK_FIELDS = ("source_url", "target_url", "link_text", "context")
 
 
-def write_posts(posts: DataFrame, path: str) -> None:
-    """Posts as parquet, one folder per blog.
+def write_posts(posts: DataFrame, path: str, replace: bool = False) -> None:
+    """Posts as parquet, one folder per blog. With `replace` the blogs in `posts` are written anew and
+    all others stay as they are.
 
     Rebalancing gathers a blog's posts in few files, and adaptive execution splits a hot blog.
     """
     balanced = posts.hint("rebalance", "blog_url")
-    balanced.write.mode("append").partitionBy("blog_url").parquet(path)
+    writer = balanced.write.mode("overwrite" if replace else "append").partitionBy("blog_url")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def post_table(posts: DataFrame, name: str, n_buckets: int, key: str = "row_id") -> DataFrame:
+    """Posts as a table of the warehouse, bucketed by their row id.
+
+    This moves the content for the last time: cards, uploads and term ids come to it by row id, so
+    their joins only shuffle the small side. Choose as many buckets as shuffle partitions, or more.
+    """
+    dealt = posts.repartition(n_buckets, key)
+    dealt.write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key).saveAsTable(name)
+    return posts.sparkSession.table(name)
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
