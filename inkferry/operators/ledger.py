@@ -108,8 +108,9 @@ def extend_post_map(post_map: DataFrame, new_rows: DataFrame) -> tuple[DataFrame
 
     Both the address and the destination id are unique and not null, and a rejected row blocks nothing.
     Rows without one of them are rejected before anything is compared. Rows that clash with the table so
-    far are rejected, rows that clash with nothing accepted. What is left falls into groups that share addresses or ids; each group is inserted in order by one task, however long
-    its chains, and only groups of more than GROUP_ROWS rows take rounds over the whole table.
+    far are rejected, rows that clash with nothing accepted. What is left falls into groups that share
+    addresses or ids; each group is inserted in order by one task, however long its chains, and only
+    groups of more than GROUP_ROWS rows take rounds over the whole table.
     """
     columns = ["id", "post_url", "dest_post_id"]
     new = new_rows.select(
@@ -166,7 +167,7 @@ def cascade_delete(history: dict[str, DataFrame], job_ids: DataFrame) -> dict[st
     marked = skew_join(
         items, gone.withColumn("_gone", F.lit(True)), ["job_id"], "left", spread_by="id"
     )
-    gone_items = marked.filter("_gone").select(F.col("id").alias("job_item_id"))
+    gone_items = staged(marked.filter("_gone").select(F.col("id").alias("job_item_id")), "gone-items")
     kept = dict(history)
     kept["post_jobs"] = history["post_jobs"].join(
         gone.withColumnRenamed("job_id", "id"), "id", "left_anti"

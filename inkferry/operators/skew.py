@@ -1,7 +1,8 @@
 """Joins and numbering that hold when one key owns a large part of the rows.
 
 Adaptive skew-join only splits a join whose two sides are plain shuffles, so it does not help when
-one side was aggregated on the join key. These helpers split hot keys in the logical plan instead.
+one side was aggregated on the join key. These helpers count the keys first and split the hot ones in
+the logical plan instead.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_TASK = 1_000_000  # of one key; a key with more rows is hot and spread over several tasks
-MOST_HOT_KEYS = 100_000  # fewer keys than this can be hot, which bounds what is broadcast
+MOST_HOT_KEYS = 100_000  # so many are split at most, which bounds what is collected and broadcast
 NARROW_ROWS = 250_000  # in one file of a narrow staged table
 ROW_BITS = 33  # monotonically_increasing_id: row number in the low 33 bits, partition above
 
@@ -59,24 +61,35 @@ def staged_rows(df: DataFrame, n: int, name: str) -> DataFrame:
     return staged(df, name)
 
 
+def _hot_rows(df: DataFrame, keys: list[str]) -> list[tuple]:
+    """(key columns, salts) of the hot keys, from one job over the key columns alone."""
+    narrow = df.select(*keys)
+    counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.filter(F.col("_n") > ROWS_PER_TASK).orderBy(F.desc("_n")).limit(MOST_HOT_KEYS).collect()
+    total = narrow.count() if largest else 0
+    return [(*r[:-1], -(-r["_n"] // ROWS_PER_TASK)) for r in largest if r["_n"] * MOST_HOT_KEYS > total]
+
+
+def _hot_table(df: DataFrame, keys: list[str], rows: list[tuple]) -> DataFrame:
+    fields = [T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("_salts", T.LongType())]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more than ROWS_PER_TASK rows, and for each the `_salts` that spread it.
 
-    A key must also have more than one MOST_HOT_KEYS-th of all rows, so fewer than that can qualify:
-    the table is safe to broadcast whatever the input's size. It is part of the plan, counted by
-    partial aggregation when the plan runs; it only steers how rows are spread, never the result.
+    A key must also have more than one MOST_HOT_KEYS-th of all rows, so fewer than that can qualify: the
+    list is safe to collect and to broadcast whatever the input's size. It is counted while the plan is
+    built, by partial aggregation; it only steers how rows are spread, never the result.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = (F.col("_n") > ROWS_PER_TASK) & (F.col("_n") * MOST_HOT_KEYS > total)
-    salts = F.ceil(F.col("_n") / ROWS_PER_TASK).cast("bigint")
-    return counts.filter(hot).select(*keys, salts.alias("_salts"))
+    return _hot_table(df, keys, _hot_rows(df, keys))
 
 
-def _tagged(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+def _tagged(df: DataFrame, keys: list[str], hot: list[tuple]) -> DataFrame:
     """The rows with the `_salts` of their key, NULL if it is not hot; a NULL key can be hot too."""
     same_key = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    return df.alias("l").join(F.broadcast(hot).alias("h"), same_key, "left").select("l.*", "h._salts")
+    table = F.broadcast(_hot_table(df, keys, hot)).alias("h")
+    return df.alias("l").join(table, same_key, "left").select("l.*", "h._salts")
 
 
 def skew_join(
@@ -85,9 +98,12 @@ def skew_join(
     """Join a left side that may be hot on `keys` to a right side with few rows per key.
 
     Left rows of a hot key are spread over its salts by hashing `spread_by`, and only the right rows of
-    hot keys are repeated, once per salt. A hot NULL key matches nothing and is just spread.
+    hot keys are repeated, once per salt. A hot NULL key matches nothing and is just spread. Without a
+    hot key it is a plain join.
     """
-    hot = hot_keys(left, keys)
+    hot = _hot_rows(left, keys)
+    if not hot:
+        return left.join(right, keys, how)
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_salts")))
     salted_left = _tagged(left, keys, hot).withColumn("_salt", salt).drop("_salts")
     copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts") - 1, F.lit(0)))
@@ -104,7 +120,11 @@ def number_within(
     `id div 100000`). Rows of a hot key are numbered block by block and shifted by the size of the
     blocks before; the rows of any other key are one block.
     """
-    tagged = _tagged(df, keys, hot_keys(df, keys)).withColumn(
+    hot = _hot_rows(df, keys)
+    if not hot:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, place.cast("bigint"))
+    tagged = _tagged(df, keys, hot).withColumn(
         "_block", F.when(F.col("_salts").isNotNull(), block).otherwise(F.lit(0)).cast("bigint")
     )
     by_block = Window.partitionBy(*keys, "_block").orderBy(*order)

@@ -66,3 +66,21 @@ def test_number_sorted_within_by_text(spark, all_hot):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert skew.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def relations(df):
+    """Leaves of the optimized plan: how often a table is read."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum("Relation" in line or "LogicalRDD" in line or "LocalRelation" in line for line in plan.split("\n"))
+
+
+def test_history_plans_read_their_inputs_once(spark):
+    import __spark_entry__ as entry_point
+    from tests.conftest import SMALL
+
+    built = {name: relations(entry_point.queries()[name](spark, SMALL)) for name in (
+        "unresolved_failures", "failed_posts_report", "attempt_numbers", "cascade_delete"
+    )}
+    # the views of the jobs read the items once more
+    assert built["unresolved_failures"] <= 4 and built["attempt_numbers"] <= 2, built
+    assert built["failed_posts_report"] <= 8 and built["cascade_delete"] <= 12, built
