@@ -122,6 +122,13 @@ def test_contamination_without_rows(spark, odd_docs, no_docs):
     assert d.decontaminate(no_docs, some).count() == 0
 
 
+def test_many_parts_scan_the_texts_once(odd_docs, spark, items):
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = d.decontaminate(odd_docs, bench, keep=["doc_id"], automaton_bytes=200)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Union" not in plan
+
+
 ALPHABETS = {"aa": "aeiou lmn", "bb": "zxkvy wqp", "cc": "éàçs trd"}
 
 
