@@ -1,17 +1,19 @@
 """Near duplicates by word shingles: a multi-index Hamming join of b-bit MinHash signatures.
 
-The indexed slots of a signature are cut into chunks. Two signatures that differ in at most
-2 * CHUNKS - 1 slots differ in at most one slot of some chunk (pigeonhole), so each document enters, for
-every chunk, one bucket per slot that is allowed to be wrong: every pair that differs in at most 23 of the
-72 indexed slots meets in a bucket. For independent slots, about 0.5% of the pairs right at a similarity of
-0.80 differ in more, and 2.6e-6 of them meet in no bucket. Of those that meet, pairs that differ in more
-than FURTHEST of all slots (7.8e-6 at 0.80) are dropped; all other links are confirmed on full shingle sets.
+A signature's slots are cut into chunks. Two signatures that differ in at most 2 * CHUNKS - 1 slots differ
+in at most one slot of some chunk (pigeonhole), so each document enters, for every chunk, one bucket per
+slot that is allowed to be wrong: every pair that differs in at most 23 of the 72 slots meets in a
+bucket. For independent slots, about 0.5% of the pairs right at a similarity of 0.80 differ in more, and
+2.6e-6 of them meet in no bucket. All pairs that meet are judged exactly: first by 1024-bit maps of the
+sets, of which each bit that only one map has is an element that only one set has, then by the sets.
 
 Equal sets are folded into their smallest id first. A bucket's members are compared with its smallest
 id, not with each other, which settles nearly all groups in a number of pairs linear in the rows. Only
-buckets whose members then still belong to several components need more: the components that meet there
-form a family, and the documents outside the family's largest component are compared with all of it,
-block against block, inside tasks that return nothing but links.
+buckets whose members then still belong to several components need more. Their members are joined on
+rare shingles: in a common order of shingles, rare ones first, two sets that are similar enough share one
+so early that enough can follow it in both. Places are compared by (size, place) before documents are
+paired, so pages of one template, which share thousands of frequent shingles late in that order, are
+never paired with each other unless they can be linked.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkferry.llm import scan
-from inkferry.llm.common import ready, staged, staged_rows
+from inkferry.llm.common import partitions_for, ready, staged, staged_rows
 from inkferry.operators.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80  # percent of the union
-SLOTS = 128  # 8-bit slots of a signature
-CHUNKS = 12  # of the first CHUNKS * CHUNK_SLOTS slots
+CHUNKS = 12
 CHUNK_SLOTS = 6
-FURTHEST = 46  # differing slots of SLOTS; a pair at the similarity exceeds it once in 128,000 times
-BLOCK_DOCS = 256  # of a family, compared in one task
+SLOTS = CHUNKS * CHUNK_SLOTS  # 8-bit slots of a signature
+MAP_BITS = 1024  # of a set's map
+SKETCH_CELLS = 1 << 20  # of the count sketch that orders shingles by how rare they are
+SKETCH_ROWS = 256  # rows that it travels in
+KEY_BYTES = 40  # of a bucket's entry in a shuffle, about
+PARTITION_BYTES = 64 << 20
 
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -66,6 +71,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of bits for each set: the bits that its hashes pick."""
+    flags = np.zeros((len(sets), MAP_BITS), bool)
+    if sets:
+        flags[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) >> np.uint64(54)] = True
+    return np.packbits(flags, axis=1)
+
+
 def _sketcher(key: str, text: str, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,16 +86,17 @@ def _sketcher(key: str, text: str, size: int) -> Callable:
                 sets = shingle_sets(block, size)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                rows = iter(signatures([sets[i] for i in full]))
+                rows = iter(np.concatenate([signatures([sets[i] for i in full]), set_maps([sets[i] for i in full])], 1))
                 marks = [next(rows).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(key).slice(block.first, len(block)).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
-                        pa.array(marks, pa.binary()),
+                        pa.array([m and m[:SLOTS] for m in marks], pa.binary()),
+                        pa.array([m and m[SLOTS:] for m in marks], pa.binary()),
                     ],
-                    names=["id", "n_shingles", "set_id", "signature"],
+                    names=["id", "n_shingles", "set_id", "signature", "map"],
                 )
 
     return run
@@ -122,13 +136,20 @@ def bucket_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], ["key", "id"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        differ = _bytes_table(batch.column("signature_a")) != _bytes_table(batch.column("signature_b"))
-        near = pa.array(differ.sum(1) <= FURTHEST)
-        yield batch.select(["a", "b"]).filter(near)
+def _near(percent: int) -> Callable:
+    """Leave out pairs that cannot be linked: bits of one map alone are elements of one set alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            one, other = (_bytes_table(batch.column(c)) for c in ("map_a", "map_b"))
+            n, m = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+            both = np.minimum(n - np.bitwise_count(one & ~other).sum(1), m - np.bitwise_count(other & ~one).sum(1))
+            near = pa.array(100 * both >= percent * (n + m - both))
+            yield batch.select(["a", "b"]).filter(near)
+
+    return run
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -149,30 +170,49 @@ def _confirmer(percent: int) -> Callable:
     return run
 
 
-def _block_links(percent: int) -> Callable:
-    """Links between two blocks of a family, enough of them to connect what is connected."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            ids, others = (t.column("id").to_numpy() for t in (left, right))
-            labels = right.column("label").to_numpy()
-            own = left.column("label").to_numpy()
-            marks = _bytes_table(right.column("signature").combine_chunks())
-            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in right.column("set")]
-            mine = _bytes_table(left.column("signature").combine_chunks())
-            for i, s in enumerate(left.column("set")):
-                this = np.frombuffer(s.as_buffer(), np.uint64)
-                near = (mine[i] != marks).sum(1)
-                joined = {int(own[i])}
-                for j in np.argsort(near, kind="stable"):
-                    if near[j] > FURTHEST:
-                        break
-                    if int(labels[j]) not in joined and linked(this, sets[j], percent):
-                        joined.add(int(labels[j]))
-                        found.append((int(ids[i]), int(others[j])))
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets have a shingle of each cell, as a few long rows per task."""
+    counts = np.zeros(SKETCH_CELLS, np.int64)
+    for batch in batches:
+        for one in batch.column("set"):
+            counts[_cells(np.frombuffer(one.as_buffer(), np.uint64))] += 1
+    for part, cells in enumerate(np.split(counts, SKETCH_ROWS)):
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([cells.tobytes()], pa.binary())], ["part", "cells"])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    counts = sum(np.frombuffer(c.as_buffer(), np.int64) for c in table.column("cells"))
+    return pa.table({"part": table.column("part").slice(0, 1), "cells": pa.array([counts.tobytes()], pa.binary())})
+
+
+def prefix(size: int, percent: int) -> int:
+    """Of the elements of a set in the common order, the first so many: a set linked to it has one of them."""
+    return size - -(-percent * size // 100) + 1
+
+
+def _prefixes(counts, percent: int) -> Callable:
+    """(shingle, size, place, id, label): each set's shingles that a linked set must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = counts.value
+        for batch in batches:
+            shingles, lengths = [], []
+            for one in batch.column("set"):
+                found = np.frombuffer(one.as_buffer(), np.uint64)
+                order = np.lexsort((found, frequent[_cells(found)]))
+                shingles.append(found[order[: prefix(len(found), percent)]])
+                lengths.append((len(found), len(shingles[-1])))
+            sizes, taken = np.array(lengths, np.int64).reshape(-1, 2).T
+            places = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+            flat = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
+            columns = [flat.view(np.int64), np.repeat(sizes, taken), places]
+            columns += [np.repeat(batch.column(c).to_numpy(), taken) for c in ("id", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "size", "place", "id", "label"])
 
     return run
 
@@ -199,14 +239,19 @@ def near_duplicates(
     sketches = staged(
         named.mapInArrow(
             _sketcher("id", "text", shingle_words),
-            "id bigint, n_shingles bigint, set_id binary, signature binary",
+            "id bigint, n_shingles bigint, set_id binary, signature binary, map binary",
         ),
         "sketches",
     )
     folded = staged(
         sketches.filter("n_shingles > 0 AND id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("id").alias("id"), F.min("signature").alias("signature")),
+        .agg(
+            F.min("id").alias("id"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"),
+            F.first("map").alias("map"),
+        ),
         "folded",
     )
     links = _links(named, folded, shingle_words, percent)
@@ -244,9 +289,10 @@ def _links_by_id(sketches: DataFrame, folded: DataFrame) -> DataFrame:
 
 def _links(named: DataFrame, folded: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between folded documents, enough to connect every group."""
-    full = folded.select("id", "signature")
-    keyed = full.mapInArrow(bucket_keys, "key bigint, id bigint")
-    n = full.count()
+    n = folded.count()
+    parts = partitions_for(folded.sparkSession, n * SLOTS * KEY_BYTES, PARTITION_BYTES)
+    # nearly all keys are single, so combining them before the shuffle would not pay
+    keyed = folded.select("id", "signature").mapInArrow(bucket_keys, "key bigint, id bigint").repartition(parts, "key")
     buckets = staged_rows(
         keyed.groupBy("key")
         .agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n"))
@@ -257,36 +303,40 @@ def _links(named: DataFrame, folded: DataFrame, size: int, percent: int) -> Data
     members = staged_rows(
         keyed.join(buckets, "key").filter("id <> center OR n > 2"), 8 * n, "members"
     )
-    pairs = members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
-    marks_a = full.select(F.col("id").alias("a"), F.col("signature").alias("signature_a"))
-    marks_b = full.select(F.col("id").alias("b"), F.col("signature").alias("signature_b"))
-    near = staged(
-        pairs.distinct().join(marks_b, "b").join(marks_a, "a").mapInArrow(_near, "a bigint, b bigint"),
-        "near",
-    )
-    involved = (
-        near.select(F.col("a").alias("id"))
-        .union(near.select(F.col("b").alias("id")))
-        .union(members.filter("n > 2").select("id"))
-        .distinct()
+    pairs = members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    links = _confirmed(pairs, named, folded, size, percent, "links")
+    return links.union(_late_links(members, named, folded, links, size, percent))
+
+
+def _confirmed(
+    pairs: DataFrame, named: DataFrame, folded: DataFrame, size: int, percent: int, name: str
+) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; sets are made of those that the maps leave."""
+    marks = lambda x: folded.select(
+        F.col("id").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("map").alias(f"map_{x}")
     )
-    sets = staged(
-        named.join(staged_rows(involved, n, "involved"), "id").mapInArrow(
-            _set_maker(size), "id bigint, set binary"
-        ),
-        "sets",
+    near = staged(
+        pairs.join(marks("b"), "b").join(marks("a"), "a").mapInArrow(_near(percent), "a bigint, b bigint"),
+        f"{name}-near",
     )
-    links = staged(
+    involved = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(named, involved, folded.count(), size)
+    return staged(
         near.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         .mapInArrow(_confirmer(percent), "a bigint, b bigint"),
-        "links",
+        name,
     )
-    return links.union(_family_links(members, full, sets, links, percent))
 
 
-def _family_links(
-    members: DataFrame, full: DataFrame, sets: DataFrame, links: DataFrame, percent: int
+def _sets(named: DataFrame, ids: DataFrame, n: int, size: int) -> DataFrame:
+    """Full shingle sets of some documents. Texts under one id give a set each, as they do in `folded`."""
+    found = named.join(staged_rows(ids, n, "involved"), "id")
+    return staged(found.mapInArrow(_set_maker(size), "id bigint, set binary"), "sets")
+
+
+def _late_links(
+    members: DataFrame, named: DataFrame, folded: DataFrame, links: DataFrame, size: int, percent: int
 ) -> DataFrame:
     """Links that the comparison with bucket centers left out."""
     group = components(links)
@@ -299,55 +349,55 @@ def _family_links(
         n,
         "labelled",
     )
-    mixed = (
-        labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    )
+    several = F.min("label") < F.max("label")
+    mixed = labelled.groupBy("key").agg(several.alias("mixed")).filter("mixed").select("key")
     meeting = staged_rows(
-        labelled.join(staged_rows(mixed, n // 3, "mixed").drop("most"), "key")
-        .select("id", "label", "least")
-        .distinct(),
-        n,
-        "meeting",
+        labelled.join(staged_rows(mixed, n // 3, "mixed"), "key").select("id", "label").distinct(), n, "meeting"
     )
-    family = components(meeting.select(F.col("label").alias("a"), F.col("least").alias("b")))
-    placed = staged_rows(
-        meeting.select("id", "label")
-        .distinct()
-        .join(family.select(F.col("node").alias("label"), F.col("component").alias("family")), "label"),
-        n,
-        "placed",
+    sets = _sets(named, meeting.select("id"), folded.count(), size).join(meeting, "id")
+    pairs = staged(_rare_pairs(sets, percent), "late-pairs")
+    return _confirmed(pairs, named, folded, size, percent, "late-links")
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of (id, label, set) that share a shingle early enough to be linked, of different labels.
+
+    With sizes n and m two linked sets have at least `percent` / (100 + percent) of n + m elements in common,
+    so the first one they share has so many less one behind it in both.
+    """
+    spark = sets.sparkSession
+    counted = sets.select("set").mapInArrow(_count, "part bigint, cells binary")
+    rows = counted.groupBy("part").applyInArrow(_total, "part bigint, cells binary").collect()  # SKETCH_CELLS numbers
+    counts = np.zeros((SKETCH_ROWS, SKETCH_CELLS // SKETCH_ROWS), np.int64)
+    for row in rows:
+        counts[row.part] = np.frombuffer(row.cells, np.int64)
+    run = _prefixes(spark.sparkContext.broadcast(counts.ravel()), percent)
+    early = staged(
+        sets.mapInArrow(run, "shingle bigint, size bigint, place bigint, id bigint, label bigint"), "prefixes"
     )
-    largest = (
-        placed.groupBy("family", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("family")
-        .agg(
-            F.max(F.struct("n", "label")).alias("top"),
-            F.sum("n").alias("all"),
-        )
-        .select(
-            "family",
-            F.col("top.label").alias("top"),
-            F.ceil(F.col("all") / BLOCK_DOCS).alias("blocks"),
-            F.ceil((F.col("all") - F.col("top.n")) / BLOCK_DOCS).alias("outer_blocks"),
-        )
+    several = F.min("label") < F.max("label")
+    shared = early.groupBy("shingle").agg(several.alias("mixed")).filter("mixed").select("shingle")
+    early = staged(early.join(shared, "shingle"), "shared-prefixes")
+    spots = early.groupBy("shingle", "size", "place").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    one, other = spots.alias("x"), spots.alias("y")
+    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = (100 + percent) * rest >= percent * (F.col("x.size") + F.col("y.size"))
+    close = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    differ = (F.col("x.least") != F.col("y.most")) | (F.col("x.most") != F.col("y.least"))
+    once = F.struct("x.size", "x.place") <= F.struct("y.size", "y.place")
+    possible = one.join(other, F.col("x.shingle") == F.col("y.shingle")).filter(close & enough & differ & once).select(
+        "x.shingle",
+        F.col("x.size").alias("size"),
+        F.col("x.place").alias("place"),
+        F.col("y.size").alias("size_b"),
+        F.col("y.place").alias("place_b"),
     )
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    whole = (
-        placed.join(staged_rows(largest, n // 3, "largest"), "family")
-        .withColumn("block", F.pmod(place, F.col("blocks")))
-        .withColumn("outer_block", F.pmod(place, F.col("outer_blocks")))
-        .join(sets, "id")
-        .join(full, "id")
+    spot = ["shingle", "size", "place"]
+    left = early.join(possible, spot).select(
+        "shingle", "size_b", "place_b", F.col("id").alias("a"), F.col("label").alias("label_a")
     )
-    whole = staged(whole, "families")
-    outer = whole.filter("label <> top").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    inner = whole.withColumn("outer_block", F.explode(F.expr("sequence(0L, outer_blocks - 1)")))
-    keys = ["family", "outer_block", "block"]
-    columns = [*keys, "id", "label", "signature", "set"]
-    return (
-        outer.select(columns)
-        .groupBy(keys)
-        .cogroup(inner.select(columns).groupBy(keys))
-        .applyInArrow(_block_links(percent), "a bigint, b bigint")
+    right = early.select(
+        "shingle", F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("id").alias("b"), "label"
     )
+    met = left.join(right, ["shingle", "size_b", "place_b"]).filter("label_a <> label")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -104,3 +104,46 @@ def test_passages_seen_before(spark, odd_docs, odd_rows, window, monkeypatch):
 
 def test_passages_of_nothing(no_docs):
     assert repeats.remove_seen_passages(no_docs).count() == 0
+
+
+def test_pages_of_one_template_are_not_paired(spark):
+    """Pages at a similarity under the threshold meet in buckets; what is joined grows with the rows only."""
+    rng = random.Random(13)
+    template = [f"t{i}" for i in range(170)]
+
+    def pages(n):
+        rows = []
+        for i in range(n):
+            own = [f"o{i}x{k}" for k in range(30)]
+            rows.append((i, " ".join(template[:85] + own + template[85:])))
+            if i % 10 == 0:  # a near copy of the page
+                own[rng.randrange(30)] = f"new{i}"
+                rows.append((100_000 + i, " ".join(template[:85] + own + template[85:])))
+        return rows
+
+    tables, sizes = {n: pages(n) for n in (60, 240)}, {}
+    for n, rows in tables.items():
+        named = frame(spark, rows).select(F.col("doc_id").alias("id"), "text")
+        sets = named.mapInArrow(minhash._set_maker(2), "id bigint, set binary").withColumn("label", F.col("id"))
+        pairs = minhash._rare_pairs(sets, 80).collect()
+        assert {(i, 100_000 + i) for i in range(0, n, 10)} <= {(r.a, r.b) for r in pairs}
+        sizes[n] = len(pairs)
+    assert sizes[240] <= 5 * sizes[60]
+    found = minhash.near_duplicates(frame(spark, tables[60]), shingle_words=2)
+    assert by_row(found, "doc_id", "n_shingles", "component_id", "kept") == expected_groups(tables[60], 2)
+
+
+def test_maps_never_leave_out_a_link():
+    rng = random.Random(14)
+    for _ in range(300):
+        n = rng.choice([1, 5, 40, 300, 2000])
+        one = {rng.getrandbits(64) for _ in range(n)}
+        other = set(rng.sample(sorted(one), max(1, len(one) - rng.randrange(1 + len(one) // 6))))
+        other |= {rng.getrandbits(64) for _ in range(rng.randrange(1 + len(one) // 8))}
+        a, b = (minhash.np.sort(minhash.np.array(sorted(s), minhash.np.uint64)) for s in (one, other))
+        maps = [m.tobytes() for m in minhash.set_maps([a, b])]
+        batch = minhash.pa.RecordBatch.from_pylist(
+            [{"a": 1, "b": 2, "map_a": maps[0], "map_b": maps[1], "size_a": len(a), "size_b": len(b)}]
+        )
+        kept = next(minhash._near(80)(iter([batch]))).num_rows
+        assert kept or not minhash.linked(a, b, 80)
