@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from inkferry.llm.common import crc_fold, ready
 
 SAMPLE_DOCS = 4000  # labelled texts of each class to learn from, about; a bound on what is collected
-SAMPLE_CHUNKS = 16  # of each such text, spread over its whole length
 CHUNK_BYTES = 128
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
@@ -107,10 +106,8 @@ def _per_batch(text: str, columns: list[str], of: Callable[[bytes], object], kin
     return run
 
 
-def _spread(data: bytes) -> list[bytes]:
-    cut = [c for c in chunks(outline(data)) if len(c) >= 8]
-    step = max(1, -(-len(cut) // SAMPLE_CHUNKS))
-    return cut[::step]
+def _samples(data: bytes) -> list[bytes]:
+    return [c for c in chunks(outline(data)) if len(c) >= 8]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -167,9 +164,8 @@ def train(
     """Learn from a sample of about `sample_docs` labelled texts of each class (or all, if fewer).
 
     Three quarters of the sample make the dictionaries, the rest the curve, so that the curve is not
-    fitted to texts that the dictionaries know. The sample's keys are broadcast and at most
-    SAMPLE_CHUNKS chunks of each text are collected, whatever the size of the tables. Repeated rows of a
-    key count once. Without both classes, scores are the share of good labels (or 0.5 without any).
+    fitted to texts that the dictionaries know. The sample's keys are broadcast and the outlines of its
+    whole texts are collected, whatever the size of the tables. Repeated rows of a key count once. Without both classes, scores are the share of good labels (or 0.5 without any).
     """
     ready(docs.sparkSession)
     chosen = _sampled_labels(labels.select(key, label), key, label, sample_docs)
@@ -178,7 +174,7 @@ def train(
     part = texts.select("_label", use, key, "_text")
     shape = T.StructType([part.schema[c] for c in ("_label", "_dictionary", key)])
     cut = part.filter("_dictionary").mapInArrow(
-        _per_batch("_text", shape.names, _spread, pa.list_(pa.binary()), "_chunks"),
+        _per_batch("_text", shape.names, _samples, pa.list_(pa.binary()), "_chunks"),
         T.StructType([*shape.fields, T.StructField("_chunks", T.ArrayType(T.BinaryType()))]),
     )
     once = cut.groupBy(key).agg(F.min("_label").alias("_label"), F.min("_chunks").alias("_chunks"))

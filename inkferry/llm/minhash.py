@@ -293,16 +293,13 @@ def _links(named: DataFrame, folded: DataFrame, size: int, percent: int) -> Data
     parts = partitions_for(folded.sparkSession, n * SLOTS * KEY_BYTES, PARTITION_BYTES)
     # nearly all keys are single, so combining them before the shuffle would not pay
     keyed = folded.select("id", "signature").mapInArrow(bucket_keys, "key bigint, id bigint").repartition(parts, "key")
-    buckets = staged_rows(
+    buckets = staged(
         keyed.groupBy("key")
         .agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1"),
-        2 * n,
         "buckets",
     )
-    members = staged_rows(
-        keyed.join(buckets, "key").filter("id <> center OR n > 2"), 8 * n, "members"
-    )
+    members = staged(keyed.join(buckets, "key").filter("id <> center OR n > 2"), "members")
     pairs = members.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(pairs, named, folded, size, percent, "links")
     return links.union(_late_links(members, named, folded, links, size, percent))

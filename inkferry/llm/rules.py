@@ -7,6 +7,7 @@ best, and the posterior probability of a good text takes the place of having to
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from inkferry.llm.common import staged
 WINDOW = 8  # words of a window that may repeat
 FEWEST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
-ITERATIONS = 40
+TOLERANCE = 1e-4  # expectation-maximisation ends when no probability of a vote moves by more
 LEAST_ACCURACY = 0.8  # of a vote against a text
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -190,15 +191,16 @@ START = LabelModel(0.8, ((0.3, 0.4),), ((0.02, 0.7),))  # of every rule, with th
 IMAGINED = 10
 
 
-def fit(patterns: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> LabelModel:
+def fit(patterns: DataFrame, n_rules: int, iterations: int | None = None) -> LabelModel:
     """Prior and accuracies by expectation-maximisation over vote patterns with their counts (votes, n).
 
     There are at most 3**rules patterns, whatever the number of texts. A vote against a text is taken to
     be right at least LEAST_ACCURACY of the time, so that a rule is never read as its opposite; the prior
-    is held between 0.05 and 0.95. Without texts, the start values stay.
+    is held between 0.05 and 0.95. Without texts, the start values stay. It runs until no probability moves
+    by more than TOLERANCE, or for the given number of rounds.
     """
     model = LabelModel(START.prior, START.bad * n_rules, START.good * n_rules)
-    for _ in range(iterations):
+    for _ in itertools.count() if iterations is None else range(iterations):
         n, good = F.col("n"), F.col("n") * F.col("q")
         sums = [F.sum(n).alias("all"), F.sum(good).alias("good")]
         for j in range(n_rules):
@@ -214,7 +216,7 @@ def fit(patterns: DataFrame, n_rules: int, iterations: int = ITERATIONS) -> Labe
         better = _maximised(row.asDict(), n_rules)
         moved = max(abs(x - y) for x, y in zip(sum(better.bad, ()), sum(model.bad, ())))
         model = better
-        if moved < 1e-4:
+        if moved < TOLERANCE:
             break
     return model
 
@@ -247,7 +249,7 @@ def judge(
     text: str = "text",
     keep: list[str] | None = None,
     rules: tuple[Rule, ...] = RULES,
-    iterations: int = ITERATIONS,
+    iterations: int | None = None,
 ) -> DataFrame:
     """The `keep` columns (default: all but the text), the measures, votes, posterior, base_failed and kept.
 

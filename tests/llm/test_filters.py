@@ -193,3 +193,115 @@ def test_classifier_tells_kinds_apart(spark, odd_docs, no_docs):
     assert all(r.quality_score > 0.9 for r in compression.score(docs, one_class).collect())
     empty = compression.train(docs, marks.filter("false"))
     assert {r.quality_score for r in compression.score(docs, empty).collect()} == {0.5}
+
+
+def plain_shares(rows, counts, rounds=4000):
+    """Expectation-maximisation in plain Python, long after it has converged."""
+    shares = [1 / len(rows)] * len(rows)
+    total = sum(counts)
+    for _ in range(rounds):
+        mixed = [sum(s * row[g] for s, row in zip(shares, rows)) for g in range(len(counts))]
+        shares = [s * sum(n * row[g] / mixed[g] for g, n in enumerate(counts)) / total for s, row in zip(shares, rows)]
+    return shares
+
+
+def test_mixture_equals_plain_expectation_maximisation():
+    import numpy as np
+
+    rng = random.Random(21)
+    for _ in range(25):
+        k, grams = rng.randrange(2, 5), rng.randrange(3, 9)
+        rows = [[rng.random() + 0.02 for _ in range(grams)] for _ in range(k)]
+        rows = [[x / sum(row) for x in row] for row in rows]
+        counts = [rng.randrange(1, 60) for _ in range(grams)]
+        shares, fit, most = languages.mixture(np.array(rows), np.array(counts, float))
+        plain_fit_ = lambda s: sum(
+            n * np.log(sum(x * row[g] for x, row in zip(s, rows))) for g, n in enumerate(counts)
+        )
+        best = plain_fit_(plain_shares(rows, counts))
+        assert fit <= best + 1e-9 and best <= most + 1e-9  # the bound holds
+        assert best - fit < 0.01 * sum(counts) / 100 + 0.05
+
+
+def test_language_set_has_the_best_penalised_likelihood():
+    """Stopping early by the bound gives what judging every nested set gives."""
+    import numpy as np
+
+    rng = random.Random(22)
+    for _ in range(60):
+        k, grams = rng.randrange(1, 6), rng.randrange(3, 30)
+        rows = np.array([[rng.random() ** 4 + 1e-3 for _ in range(grams)] for _ in range(k)])
+        rows /= rows.sum(1, keepdims=True)
+        truth = rng.sample(range(k), rng.randrange(1, k + 1))
+        counts = np.array([rng.randrange(1, 4) for _ in range(grams)], float) + np.round(200 * rows[truth].mean(0))
+        order = np.argsort(-languages.mixture(rows, counts)[0], kind="stable")
+        values = []
+        for size in range(1, k + 1):
+            fit = languages.mixture(rows[order[:size]], counts)[1]
+            values.append(fit / languages.GRAM - 0.5 * np.log(counts.sum() + 1) * (size - 1))
+        found = languages.languages_of(rows, counts)
+        assert sorted(i for i, _ in found) == sorted(order[: 1 + int(np.argmax(values))].tolist())
+        assert sum(s for _, s in found) == pytest.approx(1)
+
+
+def test_tied_shares_take_the_first_language():
+    import numpy as np
+
+    rows = np.array([[0.5, 0.5], [0.5, 0.5]])
+    assert languages.languages_of(rows, np.array([3.0, 3.0]))[0][0] == 0
+
+
+def plain_outline(text):
+    out, seen = [], set()
+    before = None
+    for line in text.split("\n"):
+        if not line:
+            continue
+        if line in seen:
+            out.append("~")
+            continue
+        seen.add(line)
+        marks = []
+        for word in line.split():
+            shape = "".join("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c for c in word)
+            marks.append("=" if word == before else shape)
+            before = word
+        out.append(" ".join(marks))
+    return "\n".join(out).encode()
+
+
+def test_size_difference_equals_plain_sizes():
+    import zstandard
+
+    rng = random.Random(23)
+    good, bad = (" ".join(rng.choice(w) for _ in range(3000)).encode() for w in (["aaa", "aaaa.", "Aa"], ["000", "###", "=!"]))
+    measure = compression.SizeDifference(good, bad)
+
+    def size(dictionary, text):
+        params = zstandard.ZstdCompressionParameters.from_level(
+            3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
+        )
+        tool = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=params)
+        data = plain_outline(text)
+        return sum(len(tool.compress(data[i : i + 128])) for i in range(0, len(data), 128))
+
+    for _ in range(60):
+        text = "\n".join(prose(rng, rng.randrange(9)) + rng.choice(["", " ###", " 12 12", "!"]) for _ in range(rng.randrange(8)))
+        sizes = size(good, text), size(bad, text)
+        assert measure.of(text.encode()) == (sizes[1] - sizes[0]) / max(*sizes, 1)
+
+
+def test_curve_has_the_least_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(24)
+    x = rng.normal(0, 0.2, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(9 * x + 0.7)))).astype(float)
+    slope, intercept = compression._fit_logistic(x, y)
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    least = min(loss(a, b) for a in np.linspace(0, 20, 81) for b in np.linspace(-2, 3, 51))
+    assert loss(slope, intercept) <= least + 1e-3

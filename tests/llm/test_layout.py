@@ -196,3 +196,28 @@ def test_ranks_in_blocks(spark, monkeypatch):
     for (s, o, n), (t, p, _) in zip(taken, taken[1:]):
         assert t > s and p == 0 or t == s and p == o + n
     assert frame(spark, []).count() == 0
+
+
+def plain_hash(*values):
+    """xxHash of numbers one after another, each hash the seed of the next; a null leaves it as it is."""
+    import struct
+
+    import xxhash
+
+    found = 42
+    for form, value in values:
+        if value is not None:
+            found = xxhash.xxh64_intdigest(struct.pack(form, value), found)
+    return found - (1 << 64) if found >= 1 << 63 else found
+
+
+def test_shard_is_the_greatest_hash(spark):
+    keys = [None, 0, 1, -5, *random.Random(6).sample(range(1 << 40), 300)]
+    docs = spark.createDataFrame([(k, "x") for k in keys], "doc_id bigint, text string")
+
+    def plain_shard(key, n):
+        hashes = [plain_hash(("<q", key), ("<i", sharding.SEED), ("<i", i)) for i in range(n)]
+        return hashes.index(max(hashes))
+
+    rows = sharding.write_shards(docs, 8).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in rows} == {k: (plain_shard(k, 8), plain_shard(k, 9)) for k in keys}
