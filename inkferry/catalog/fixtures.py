@@ -131,7 +131,7 @@ SELECT page_id,
     CASE WHEN page_id % 2 = 0 THEN concat('<figure data-ke-type="opengraph"><a href="https://site-', CAST(page_id % 50 AS VARCHAR(9)), '.example.org/a">bm</a></figure>') ELSE '' END,
     CASE WHEN page_id % 3 >= 1 THEN concat('<figure class="imageblock"><span><img src="https://img.example.com/', CAST(page_id % 40 AS VARCHAR(9)), '.jpg" alt="one" loading="lazy"></span></figure>') ELSE '' END,
     CASE WHEN page_id % 3 >= 2 THEN '<table border="1"><tr><th style="x">H</th></tr><tr><td>1<img src="https://img.example.com/t.png?a=1&amp;b=2" width="5"></td></tr></table>' ELSE '' END,
-    CASE WHEN page_id % 7 = 0 THEN '<iframe src="https://www.youtube.com/embed/e" width="400" height="225" frameborder="0" allowfullscreen="true"></iframe>' ELSE '' END,
+    CASE WHEN page_id % 7 = 0 THEN '<iframe src="https://player.example.net/v/1" width="400" height="225" frameborder="0" allowfullscreen="true"></iframe>' ELSE '' END,
     '<p class="page">', {PAGE_WORDS}, '</p></div><div class="area_tag"><a href="/tag/t" rel="tag">Tag', CAST(page_id % 11 AS VARCHAR(9)), '</a><a href="/tag/n" rel="tag">Node.js</a></div></body></html>') AS html
 FROM pages""".replace("{PAGE_WORDS}", PAGE_WORDS),
     "post_uploads": """

@@ -294,7 +294,7 @@ def content_sql(bookmark: str, image: str, table_image: str) -> str:
   CASE WHEN p % 2 = 0 THEN concat(chr(10), {bookmark}) ELSE '' END,
   CASE WHEN p % 3 >= 1 THEN concat(chr(10), '<p><img src="', {image}, '" alt="one"></p>') ELSE '' END,
   CASE WHEN p % 3 >= 2 THEN concat(chr(10), '<table><thead><tr><th>H</th></tr></thead><tbody><tr><td>1<img src="', {table_image}, '" width="5"></td></tr></tbody></table>') ELSE '' END,
-  CASE WHEN p % 7 = 0 THEN concat(chr(10), '<iframe src="https://www.youtube.com/embed/e" width="400" height="225" allowfullscreen="true"></iframe>') ELSE '' END,
+  CASE WHEN p % 7 = 0 THEN concat(chr(10), '<iframe src="https://player.example.net/v/1" width="400" height="225" allowfullscreen="true"></iframe>') ELSE '' END,
   chr(10), '<p>', words, '</p>')"""
 
 

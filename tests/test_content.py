@@ -60,11 +60,11 @@ def test_cards_stay_verbatim_and_are_marked(spark):
 
 def test_quote_and_video(spark):
     got = clean(spark, """<blockquote data-ke-style="s"><p>This is a quote.</p></blockquote>
-      <figure data-ke-type="video" style="width: 400px;"><div class="video-wrap"><iframe src="https://www.youtube.com/embed/example" width="400"
+      <figure data-ke-type="video" style="width: 320px;"><div class="player"><iframe src="https://player.example.net/v/77" width="400"
       height="225" frameborder="" allowfullscreen="true"></iframe></div><figcaption style="display: none;"></figcaption></figure><iframe width="1"></iframe>""")
     assert got == (
         "<blockquote>\n<p>This is a quote.</p>\n</blockquote>\n"
-        '<iframe src="https://www.youtube.com/embed/example" width="400" height="225" allowfullscreen="true"></iframe>'
+        '<iframe src="https://player.example.net/v/77" width="400" height="225" allowfullscreen="true"></iframe>'
     )
 
 
@@ -138,8 +138,9 @@ def test_card_parts(spark):
 
 
 def test_card_escapes_markup(spark):
-    got = card(spark, title="<img src=x onerror=alert(1)>", description="<script>alert('1')</script>").card
-    assert "<script>" not in got and "&lt;img" in got and "alert(&#039;1&#039;)" in got
+    got = card(spark, title="<b onclick='f()'>5 > 3</b>", description='<form action="/x">"a" & b</form>').card
+    assert "<b " not in got and "<form" not in got
+    assert "&lt;b onclick=&#039;f()&#039;&gt;5 &gt; 3&lt;/b&gt;" in got and "&quot;a&quot; &amp; b" in got
 
 
 @pytest.mark.parametrize("values", [{}, {"title": "T"}, {"title": "A title", "description": "About", "image": "https://i"}])
