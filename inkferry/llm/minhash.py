@@ -9,11 +9,12 @@ sets, of which each bit that only one map has is an element that only one set ha
 
 Equal sets are folded into their smallest id first. A bucket's members are compared with its smallest
 id, not with each other, which settles nearly all groups in a number of pairs linear in the rows. Only
-buckets whose members then still belong to several components need more. Their members are joined on
+buckets whose members then still belong to several components need more. Their members meet again in
 rare shingles: in a common order of shingles, rare ones first, two sets that are similar enough share one
-so early that enough can follow it in both. Places are compared by (size, place) before documents are
-paired, so pages of one template, which share thousands of frequent shingles late in that order, are
-never paired with each other unless they can be linked.
+so early that enough can follow it in both. Sizes and places are compared before documents are, so pages
+of one template, which share frequent shingles late in that order, do not meet unless they can be linked.
+A few documents of each shingle are paired with the others; families that are still not connected are
+compared block against block, inside tasks that return nothing but links.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkferry.llm import scan
@@ -38,6 +39,8 @@ SLOTS = CHUNKS * CHUNK_SLOTS  # 8-bit slots of a signature
 MAP_BITS = 1024  # of a set's map
 SKETCH_CELLS = 1 << 20  # of the count sketch that orders shingles by how rare they are
 SKETCH_ROWS = 256  # rows that it travels in
+CENTERS = 8  # documents of a shingle that all others of it are compared with
+BLOCK_DOCS = 256  # of a family, compared in one task
 KEY_BYTES = 40  # of a bucket's entry in a shuffle, about
 PARTITION_BYTES = 64 << 20
 
@@ -170,6 +173,33 @@ def _confirmer(percent: int) -> Callable:
     return run
 
 
+def _block_links(percent: int) -> Callable:
+    """Links between two blocks of a family, enough of them to connect what is connected."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            ids, others = (t.column("id").to_numpy() for t in (left, right))
+            own, labels = (t.column("label").to_numpy() for t in (left, right))
+            mine, maps = (_bytes_table(t.column("map").combine_chunks()) for t in (left, right))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in right.column("set")]
+            sizes = np.array([len(s) for s in sets])
+            for i, s in enumerate(left.column("set")):
+                this = np.frombuffer(s.as_buffer(), np.uint64)
+                n, m = len(this), sizes
+                only = np.bitwise_count(mine[i] & ~maps).sum(1), np.bitwise_count(maps & ~mine[i]).sum(1)
+                both = np.minimum(n - only[0], m - only[1])
+                joined = {int(own[i])}
+                for j in np.flatnonzero(100 * both >= percent * (n + m - both)).tolist():
+                    if int(labels[j]) not in joined and linked(this, sets[j], percent):
+                        joined.add(int(labels[j]))
+                        found.append((int(ids[i]), int(others[j])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)
 
@@ -352,49 +382,125 @@ def _late_links(
         labelled.join(staged_rows(mixed, n // 3, "mixed"), "key").select("id", "label").distinct(), n, "meeting"
     )
     sets = _sets(named, meeting.select("id"), folded.count(), size).join(meeting, "id")
-    pairs = staged(_rare_pairs(sets, percent), "late-pairs")
-    return _confirmed(pairs, named, folded, size, percent, "late-links")
+    early = staged(_early_shingles(sets, percent), "early")
+    # each document with some that share a shingle, for every shingle; then what that leaves unconnected
+    pairs = _center_pairs(early, percent)
+    first = _confirmed(pairs, named, folded, size, percent, "center-links")
+    rest = _relabelled(early, components(links.union(first)))
+    return first.union(_family_links(rest, sets.select("id", "set"), folded, percent))
+
 
+def _relabelled(early: DataFrame, joined: DataFrame) -> DataFrame:
+    """With the components so far as labels, and without the shingles that only one component has."""
+    named = early.drop("label").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    label = F.coalesce("component", "id").alias("label")
+    return staged(_mixed(named.select("shingle", "size", "place", "id", label)), "early")
+
+
+def _mixed(early: DataFrame) -> DataFrame:
+    """The shingles that documents of several labels share."""
+    several = F.min("label") < F.max("label")
+    shared = early.groupBy("shingle").agg(several.alias("mixed")).filter("mixed").select("shingle")
+    return early.join(shared, "shingle")
 
-def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of (id, label, set) that share a shingle early enough to be linked, of different labels.
 
-    With sizes n and m two linked sets have at least `percent` / (100 + percent) of n + m elements in common,
-    so the first one they share has so many less one behind it in both.
+def _early_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, size, place, id, label) of (id, label, set): the shingles that a linked set must share one of.
+
+    Shingles are ordered by how many sets a sketch of bounded size counts for them, rare ones first.
     """
-    spark = sets.sparkSession
     counted = sets.select("set").mapInArrow(_count, "part bigint, cells binary")
     rows = counted.groupBy("part").applyInArrow(_total, "part bigint, cells binary").collect()  # SKETCH_CELLS numbers
     counts = np.zeros((SKETCH_ROWS, SKETCH_CELLS // SKETCH_ROWS), np.int64)
     for row in rows:
         counts[row.part] = np.frombuffer(row.cells, np.int64)
-    run = _prefixes(spark.sparkContext.broadcast(counts.ravel()), percent)
-    early = staged(
-        sets.mapInArrow(run, "shingle bigint, size bigint, place bigint, id bigint, label bigint"), "prefixes"
-    )
-    several = F.min("label") < F.max("label")
-    shared = early.groupBy("shingle").agg(several.alias("mixed")).filter("mixed").select("shingle")
-    early = staged(early.join(shared, "shingle"), "shared-prefixes")
+    run = _prefixes(sets.sparkSession.sparkContext.broadcast(counts.ravel()), percent)
+    names = "shingle bigint, size bigint, place bigint, id bigint, label bigint"
+    return _mixed(staged(sets.mapInArrow(run, names), "prefixes"))
+
+
+def _can_be_linked(x: str, y: str, percent: int) -> Column:
+    """With sizes n and m two linked sets have at least `percent` / (100 + percent) of n + m elements in
+    common, so the first one they share has so many less one behind it in both."""
+    n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
+    rest = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
+    return ((100 + percent) * rest >= percent * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+
+
+def _center_pairs(early: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of some documents of each shingle and all others of another label that can be linked.
+
+    Shingles choose CENTERS documents by hashes, so documents that share many of them meet in many pairings.
+    """
+    by_hash = [
+        F.min(F.struct(F.xxhash64("shingle", "id", F.lit(i)).alias("_hash"), "id", "label", "size", "place"))
+        for i in range(CENTERS)
+    ]
+    chosen = early.groupBy("shingle").agg(F.array_distinct(F.array(*by_hash)).alias("c"))
+    center = chosen.select("shingle", F.explode("c").alias("c"))
+    met = early.alias("x").join(center.select("shingle", "c.*").alias("y"), "shingle")
+    met = met.filter((F.col("x.label") != F.col("y.label")) & _can_be_linked("x", "y", percent))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _active(early: DataFrame, percent: int) -> DataFrame:
+    """The rows of `early` that a row of another label and the same shingle can be linked with.
+
+    Sizes and places are compared, not documents.
+    """
     spots = early.groupBy("shingle", "size", "place").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     one, other = spots.alias("x"), spots.alias("y")
-    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    enough = (100 + percent) * rest >= percent * (F.col("x.size") + F.col("y.size"))
-    close = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
     differ = (F.col("x.least") != F.col("y.most")) | (F.col("x.most") != F.col("y.least"))
-    once = F.struct("x.size", "x.place") <= F.struct("y.size", "y.place")
-    possible = one.join(other, F.col("x.shingle") == F.col("y.shingle")).filter(close & enough & differ & once).select(
-        "x.shingle",
-        F.col("x.size").alias("size"),
-        F.col("x.place").alias("place"),
-        F.col("y.size").alias("size_b"),
-        F.col("y.place").alias("place_b"),
-    )
+    met = one.join(other, F.col("x.shingle") == F.col("y.shingle"))
     spot = ["shingle", "size", "place"]
-    left = early.join(possible, spot).select(
-        "shingle", "size_b", "place_b", F.col("id").alias("a"), F.col("label").alias("label_a")
+    possible = met.filter(_can_be_linked("x", "y", percent) & differ).select("x.shingle", "x.size", "x.place").distinct()
+    return early.join(possible, spot, "left_semi")
+
+
+def _family_links(early: DataFrame, sets: DataFrame, folded: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different labels that share a shingle early enough.
+
+    Documents that meet so, over any number of shingles, form a family. Those outside its largest label
+    are compared with all of it, BLOCK_DOCS against BLOCK_DOCS inside tasks that return links only.
+    """
+    active = staged(_active(early, percent), "active")
+    hub = active.groupBy("shingle").agg(F.min("id").alias("b"))
+    family = components(active.join(hub, "shingle").select(F.col("id").alias("a"), "b").distinct())
+    placed = staged(
+        active.select("id", "label")
+        .distinct()
+        .join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id"),
+        "placed",
+    )
+    largest = (
+        placed.groupBy("family", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("family")
+        .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+        .select(
+            "family",
+            F.col("top.label").alias("top"),
+            F.ceil(F.col("all") / BLOCK_DOCS).alias("blocks"),
+            F.ceil((F.col("all") - F.col("top.n")) / BLOCK_DOCS).alias("outer_blocks"),
+        )
     )
-    right = early.select(
-        "shingle", F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("id").alias("b"), "label"
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    whole = (
+        placed.join(largest, "family")
+        .withColumn("block", F.pmod(place, F.col("blocks")))
+        .withColumn("outer_block", F.pmod(place, F.col("outer_blocks")))
+        .join(sets, "id")
+        .join(folded.select("id", "map"), "id")
+    )
+    whole = staged(whole, "families")
+    outer = whole.filter("label <> top").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    inner = whole.withColumn("outer_block", F.explode(F.expr("sequence(0L, outer_blocks - 1)")))
+    keys = ["family", "outer_block", "block"]
+    columns = [*keys, "id", "label", "map", "set"]
+    return staged(
+        outer.select(columns)
+        .groupBy(keys)
+        .cogroup(inner.select(columns).groupBy(keys))
+        .applyInArrow(_block_links(percent), "a bigint, b bigint"),
+        "late-links",
     )
-    met = left.join(right, ["shingle", "size_b", "place_b"]).filter("label_a <> label")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
