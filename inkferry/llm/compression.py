@@ -106,10 +106,6 @@ def _per_batch(text: str, columns: list[str], of: Callable[[bytes], object], kin
     return run
 
 
-def _samples(data: bytes) -> list[bytes]:
-    return [c for c in chunks(outline(data)) if len(c) >= 8]
-
-
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton's method with a slight pull of the slope to 0."""
     weights = np.zeros(2)
@@ -174,13 +170,13 @@ def train(
     part = texts.select("_label", use, key, "_text")
     shape = T.StructType([part.schema[c] for c in ("_label", "_dictionary", key)])
     cut = part.filter("_dictionary").mapInArrow(
-        _per_batch("_text", shape.names, _samples, pa.list_(pa.binary()), "_chunks"),
-        T.StructType([*shape.fields, T.StructField("_chunks", T.ArrayType(T.BinaryType()))]),
+        _per_batch("_text", shape.names, outline, pa.binary(), "_outline"),
+        T.StructType([*shape.fields, T.StructField("_outline", T.BinaryType())]),
     )
-    once = cut.groupBy(key).agg(F.min("_label").alias("_label"), F.min("_chunks").alias("_chunks"))
+    once = cut.groupBy(key).agg(F.min("_label").alias("_label"), F.min("_outline").alias("_outline"))
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for row in once.orderBy(key).collect():
-        samples[row["_label"]] += [bytes(c) for c in row["_chunks"]]
+        samples[row["_label"]] += [c for c in chunks(bytes(row["_outline"])) if len(c) >= 8]
     if not samples[0] or not samples[1]:
         good = chosen.agg(F.avg("_label")).first()[0]
         odds = np.clip(0.5 if good is None else good, 0.01, 0.99)
