@@ -26,7 +26,7 @@ from inkferry.llm.common import ready
 
 SPACE = "▁"  # stands for a space inside pieces
 LONGEST_KEPT = 64  # code points of a part or chunk whose ids are remembered
-KEPT_PARTS = 200_000  # in each of two generations; the memory of a task stays bounded
+KEPT_PARTS = 300_000  # in each of two generations; the memory of a task stays bounded
 KEPT_PAIRS = 250_000  # of neighbouring pieces, known to be compatible or not
 FLUSH_IDS = 2_000_000  # in one output batch, if texts are short
 PIECES = "ids array<int>, n_tokens bigint"
