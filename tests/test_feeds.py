@@ -196,3 +196,45 @@ def test_delays_equal_the_plan(spark):
     assert plan == {n: retry_queue.delay_after(n, 700, 90_000, 2.5) for n in plan}
     with pytest.raises(ValueError):
         retry_queue.RetryQueue(0, 1, 1, 1)
+
+
+def test_retry_events_follow_from_the_times(spark, tmp_path):
+    """Against a plain queue: posts with nulls, failures without a time, rows that come late, batch by batch."""
+    rng, most, delays = random.Random(5), 3, (500, 4000, 10)
+    schema = "id long, blog_url string, post_url string, status string, at timestamp"
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    state, want, newest, number = {}, [], None, 0
+    for n in range(5):
+        batch = []
+        for _ in range(60):
+            when = None if rng.random() < 0.05 else second(3 * n + rng.randrange(-1, 4)).replace(microsecond=rng.randrange(1, 1000) * 1000)
+            status = rng.choice(["failed", "failed", "failed", "completed", "running"])
+            batch.append((number, rng.choice(["a", "b", None]), rng.choice([*(f"u{i}" for i in range(9)), None]), status, when))
+            number += 1
+        put(spark, folder, batch, schema)
+        queue = retry_queue.retry_queue(source(spark, folder, schema), most, *delays)
+        retry_queue.run_retry_queue(queue, out, checkpoint)
+        ms = lambda t: None if t is None else round((t - second(0)).total_seconds() * 1000)
+        for _, blog, post, status, when in sorted(batch, key=lambda r: (r[4] is None, r[4] or second(0), r[0])):
+            if status == "running" or (newest is not None and when is not None and ms(when) <= newest):
+                continue
+            failures, done, due = state.get((blog, post), (0, False, None))
+            if done:
+                continue
+            if due is not None and when is not None and due <= ms(when):
+                want.append((blog, post, failures, "sent", retry_queue.delay_after(failures, *delays)))
+            failures, done, due = failures + (status == "failed"), status == "completed", None
+            over = failures >= most
+            delay = None if done or over else retry_queue.delay_after(failures, *delays)
+            if delay is not None and when is not None:
+                due = ms(when) + delay
+            want.append((blog, post, failures, "completed" if done else "exhausted" if over else "queued", delay))
+            state[blog, post] = failures, done, due
+        newest = max([ms(r[4]) for r in batch if r[4] is not None] + ([] if newest is None else [newest]))
+        for key, (failures, done, due) in list(state.items()):
+            if due is not None and due <= newest:
+                want.append((*key, failures, "sent", retry_queue.delay_after(failures, *delays)))
+                state[key] = failures, done, None
+        events = spark.read.schema(retry_queue.OUTPUT).parquet(out)
+        got = [tuple(r) for r in events.select("blog_url", "post_url", "n", "event", "delay_ms").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr), n
