@@ -1,5 +1,7 @@
 """Templates, aliases, token overlap, converters, outcomes and the bucketed post table."""
 
+import collections
+
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -183,3 +185,20 @@ def test_bucketed_posts_are_joined_in_place(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE inkferry_test_posts")
+
+
+def test_overlap_shuffles_no_words(spark):
+    rows_of = lambda df: sorted(((r.id, r.n_before, r.n_after, r.n_common, [tuple(w) for w in r.lost]) for r in df.collect()), key=repr)
+    schema = "id long, before string, after string"
+    texts = [(n, " ".join(f"w{n * i % 37}" for i in range(300)), " ".join(f"w{n * i % 31}" for i in range(280))) for n in range(20)]
+    found = overlap.token_overlap(spark.createDataFrame(texts, schema), "id", "before", "after")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for r, (n, before, after) in zip(found.orderBy("id").collect(), texts):
+        was, now = collections.Counter(before.split()), collections.Counter(after.split())
+        assert (r.id, r.n_before, r.n_after, r.n_common) == (n, 300, 280, sum((was & now).values()))
+        assert [tuple(w) for w in r.lost] == sorted((was - now).items())
+    # the words of a repeated key count together, in each of its rows; a null key has none
+    odd = [(1, "a b", "a"), (1, "b c", "b"), (2, "x", "y"), (None, "p", "q")]
+    found = overlap.token_overlap(spark.createDataFrame(odd, schema), "id", "before", "after")
+    twice = (1, 4, 2, 2, [("b", 1), ("c", 1)])
+    assert rows_of(found) == sorted([twice, twice, (2, 1, 1, 0, [("x", 1)]), (None, 0, 0, 0, [])], key=repr)
