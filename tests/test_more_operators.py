@@ -202,3 +202,42 @@ def test_overlap_shuffles_no_words(spark):
     found = overlap.token_overlap(spark.createDataFrame(odd, schema), "id", "before", "after")
     twice = (1, 4, 2, 2, [("b", 1), ("c", 1)])
     assert rows_of(found) == sorted([twice, twice, (2, 1, 1, 0, [("x", 1)]), (None, 0, 0, 0, [])], key=repr)
+
+
+def _plain_templates(messages, most_values, least_messages, rounds):
+    """Word lists grouped and split one round after the other."""
+    groups = collections.defaultdict(list)
+    for words in {tuple(m.split()) for m in messages}:
+        groups[str(len(words))].append(words)
+    for _ in range(rounds):
+        grown = collections.defaultdict(list)
+        for path, members in groups.items():
+            sizes = [(len({m[i] for m in members}), i) for i in range(len(members[0]))]
+            able = [(v, i) for v, i in sizes if 1 < v <= most_values and v * least_messages <= len(members)]
+            for m in members:
+                grown[f"{path}\n{min(able)[1]}={m[min(able)[1]]}" if able else path].append(m)
+        groups = grown
+    out = {}
+    for members in groups.values():
+        found = " ".join(ws[0] if len(set(ws)) == 1 else templates.WILDCARD for ws in zip(*members))
+        out.update({" ".join(m): found for m in members})
+    return out
+
+
+@pytest.mark.parametrize("most_values, rounds, few", [(20, 8, 10_000), (3, 2, 0), (40, 8, 0), (1, 8, 10_000)])
+def test_templates_equal_plain_splitting(spark, monkeypatch, most_values, rounds, few):
+    monkeypatch.setattr(templates, "FEW_GROUPS", few)
+    values = [2, 5, 25, 45, 400]
+    texts = [" ".join(f"w{j}v{(n * (2 * j + 3) + n // 7) % values[(n + j) % 5 if n % 3 else j]}" for j in range(2 + n % 4)) for n in range(700)]
+    frame = spark.createDataFrame([(t,) for t in texts], "error_message string")
+    found = {r.message: r.template for r in templates.learned_templates(frame, most_values=most_values, rounds=rounds).collect()}
+    assert found == _plain_templates(texts, most_values, templates.LEAST_MESSAGES, rounds)
+
+
+def test_positions_shuffle_few_words(spark):
+    """A position with a value per message is not counted word by word."""
+    rows_ = [(f"3 {n}", ["post", "failed", f"n{n}"], "3") for n in range(5000)]
+    groups = spark.createDataFrame(rows_, "message string, words array<string>, path string")
+    found = {r.pos: (r["values"], r.messages, r.word) for r in templates._positions(groups, 20).collect()}
+    assert {p: v[:2] for p, v in found.items() if p < 2} == {0: (1, 5000), 1: (1, 5000)}
+    assert found[0][2] == "post" and 20 < found[2][0] <= 128 and found[2][2] is None
