@@ -103,14 +103,47 @@ def _peel(open_rows: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _by_url(open_rows: DataFrame) -> DataFrame:
+    """The rows with `first`, if they come first of their address, and `tangled`, if a row of their address
+    shares its destination id with another row. A row that is not tangled clashes by its address alone."""
+    counts = open_rows.groupBy("dest_post_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = staged(counts.select("dest_post_id", F.lit(True).alias("shared")), "shared-ids")
+    if shared.isEmpty():
+        marked = open_rows.withColumn("shared", F.lit(False))
+    else:
+        met = skew_join(open_rows, shared, ["dest_post_id"], "left", spread_by="id")
+        marked = met.withColumn("shared", F.coalesce("shared", F.lit(False)))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "dest_post_id")
+    urls = marked.groupBy("post_url").agg(F.min(place).alias("_first"), F.max("shared").alias("tangled"))
+    met = skew_join(open_rows, urls, ["post_url"], "inner", spread_by="dest_post_id")
+    return met.select(*open_rows.columns, (place == F.col("_first")).alias("first"), "tangled")
+
+
+def _untangled(open_rows: DataFrame) -> DataFrame:
+    """The rows with their `reason`, group by group of rows that share addresses or ids."""
+    columns = ["id", "post_url", "dest_post_id"]
+    edges = open_rows.select(
+        F.concat(F.lit("u"), "post_url").alias("a"), F.concat(F.lit("d"), F.col("dest_post_id").cast("string")).alias("b")
+    )
+    named = open_rows.withColumn("node", F.concat(F.lit("d"), F.col("dest_post_id").cast("string")))
+    group = components(edges).withColumnRenamed("component", "group")
+    grouped = staged(skew_join(named, group, ["node"], "left", spread_by="id").drop("node"), "grouped")
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
+    large = staged(sizes.select("group"), "large-groups")
+    small = grouped.join(large, "group", "left_anti").select(*columns, "group")
+    settled = staged(_settle_groups(small), "settled")
+    rest = _peel(staged(grouped.join(large, "group", "left_semi").select(*columns), "open"))
+    return settled.unionByName(rest)
+
+
 def extend_post_map(post_map: DataFrame, new_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split new map rows into accepted and rejected ones, as if inserted one by one by id.
 
     Both the address and the destination id are unique and not null, and a rejected row blocks nothing.
     Rows without one of them are rejected before anything is compared. Rows that clash with the table so
-    far are rejected, rows that clash with nothing accepted. What is left falls into groups that share
-    addresses or ids; each group is inserted in order by one task, however long its chains, and only
-    groups of more than GROUP_ROWS rows take rounds over the whole table.
+    far are rejected. Where the rows of an address share no id with others, the first one is accepted. What
+    is left falls into groups that share addresses or ids; each group is inserted in order by one task,
+    however long its chains, and only groups of more than GROUP_ROWS rows take rounds over the whole table.
     """
     columns = ["id", "post_url", "dest_post_id"]
     new = new_rows.select(
@@ -120,19 +153,10 @@ def extend_post_map(post_map: DataFrame, new_rows: DataFrame) -> tuple[DataFrame
     keyless = new.withColumn("reason", null_key).filter("reason IS NOT NULL")
     keyed = new.filter("post_url IS NOT NULL AND dest_post_id IS NOT NULL")
     checked = staged(_free_of(keyed, post_map).unionByName(keyless), "checked")
-    open_rows = checked.filter("reason IS NULL").select(*columns)
-    edges = open_rows.select(
-        F.concat(F.lit("u"), "post_url").alias("a"), F.concat(F.lit("d"), F.col("dest_post_id").cast("string")).alias("b")
-    )
-    named = open_rows.withColumn("node", F.concat(F.lit("d"), F.col("dest_post_id").cast("string")))
-    group = components(edges).withColumnRenamed("component", "group")
-    grouped = staged(skew_join(named, group, ["node"], "left", spread_by="id").drop("node"), "grouped")
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
-    large = staged(sizes.select("group"), "large-groups")
-    small = grouped.join(large, "group", "left_anti").select(*columns, "group")
-    settled = staged(_settle_groups(small), "settled")
-    rest = _peel(staged(grouped.join(large, "group", "left_semi").select(*columns), "open"))
-    decided = settled.unionByName(rest)
+    by_url = staged(_by_url(checked.filter("reason IS NULL").select(*columns)), "by-url")
+    plain = by_url.filter(~F.col("tangled")).select(*columns, F.when(~F.col("first"), URL_TAKEN).alias("reason"))
+    tangled = by_url.filter("tangled").select(*columns)
+    decided = plain if tangled.isEmpty() else plain.unionByName(_untangled(tangled))
     accepted = decided.filter("reason IS NULL").select(*columns)
     rejected = checked.filter("reason IS NOT NULL").unionByName(decided.filter("reason IS NOT NULL"))
     return accepted, rejected.select(*columns, "reason")

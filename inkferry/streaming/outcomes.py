@@ -83,7 +83,7 @@ def run_outcomes(
     def advance(batch: DataFrame, batch_id: int) -> None:
         like = batch.sparkSession.createDataFrame([], MAPPED)
         start = post_map.select([c.split()[0] for c in MAPPED.split(", ")])
-        grown = start.unionByName(tiers.before(like, f"{path}/mapped", batch_id, union))
+        grown = staged(start.unionByName(tiers.before(like, f"{path}/mapped", batch_id, union)), "map")
         patched, accepted, out = settle(batch, items, grown)
         tiers.put(accepted, f"{path}/mapped", batch_id, union)
         patched.write.mode("overwrite").parquet(f"{path}/patches/batch_id={batch_id}")

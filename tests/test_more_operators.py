@@ -1,6 +1,7 @@
 """Templates, aliases, token overlap, converters, outcomes and the bucketed post table."""
 
 import collections
+import random
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -241,3 +242,33 @@ def test_positions_shuffle_few_words(spark):
     found = {r.pos: (r["values"], r.messages, r.word) for r in templates._positions(groups, 20).collect()}
     assert {p: v[:2] for p, v in found.items() if p < 2} == {0: (1, 5000), 1: (1, 5000)}
     assert found[0][2] == "post" and 20 < found[2][0] <= 128 and found[2][2] is None
+
+
+MAP = "id long, post_url string, dest_post_id long"
+
+
+def test_clashes_by_address_need_no_components(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "components", lambda edges: pytest.fail("rows of one address took part in components"))
+    start = spark.createDataFrame([(1, "taken", 1)], MAP)
+    new = [(n, f"u{n % 7}", 100 + n) for n in range(10, 60)] + [(70, "taken", 200), (71, "free", 1), (72, None, 3), (73, "x", None)]
+    accepted, rejected = ledger.extend_post_map(start, spark.createDataFrame(new, MAP))
+    assert rows(accepted, "id") == [(n,) for n in range(10, 17)]
+    reasons = collections.Counter(r.reason for r in rejected.collect())
+    assert reasons == {ledger.URL_TAKEN: 44, ledger.ID_TAKEN: 1, ledger.URL_NULL: 1, ledger.ID_NULL: 1}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_map_rows_clash_as_if_inserted_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    new = [(n, f"u{rng.randrange(90)}", rng.choice([1000 + n, 1000 + n, 1000 + n, rng.randrange(20)])) for n in range(200)]
+    want, urls, ids = [], set(), set()
+    for n, url, dest in new:
+        reason = ledger.URL_TAKEN if url in urls else ledger.ID_TAKEN if dest in ids else None
+        if reason is None:
+            urls.add(url)
+            ids.add(dest)
+        want.append((n, url, dest, reason))
+    accepted, rejected = ledger.extend_post_map(spark.createDataFrame([], MAP), spark.createDataFrame(new, MAP))
+    columns = ["id", "post_url", "dest_post_id", "reason"]
+    found = rows(accepted.withColumn("reason", F.lit(None).cast("string")), *columns) + rows(rejected, *columns)
+    assert sorted(found, key=repr) == sorted(want, key=repr)
